@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import format_duplicates, linked_splits, lookalikes, page_noise
+from linkweave.llm import format_duplicates, linked_splits, lookalikes, markup, page_noise
 from linkweave.session import cut, table
 
 P1_UNORDERED = ("paper_id", "url")
@@ -58,6 +58,20 @@ def p5_repaired(spark: SparkSession, sf: str) -> DataFrame:
     return page_noise.repair(scanned_records(spark, sf)).select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id"), "text").distinct()
 
 
+def _md(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "md_file").select(F.col("md_id").cast("long").alias("id"), "text")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    pieces = markup.pieces(_md(spark, sf)).select(F.lit("md_file").alias("record_kind"), F.col("id").alias("record_id"), "piece", "content")
+    urls = markup.marked_addresses(table(spark, sf, "url_candidate"), "cand_id", "url")
+    return pieces.unionByName(urls.select(F.lit("url_candidate").alias("record_kind"), F.col("id").alias("record_id"), F.lit("url").alias("piece"), "content"))
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean_texts(_md(spark, sf)).select(F.col("id").alias("md_id"), "text")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -67,6 +81,8 @@ QUERIES = {
     "p4_consistent": p4_consistent,
     "p5_found": p5_found,
     "p5_repaired": p5_repaired,
+    "p6_found": p6_found,
+    "p6_clean": p6_clean,
 }
 
 _CANON = r"lower(regexp_replace({}, '[\p{{Z}}\p{{P}}\p{{S}}\t\n\x0B\f\r\x1C-\x1F\x{{85}}]+', '', 'g'))"
