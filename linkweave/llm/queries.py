@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import format_duplicates, linked_splits, lookalikes, markup, page_noise
+from linkweave.llm import encoding, format_duplicates, linked_splits, lookalikes, markup, mixing, page_noise
 from linkweave.session import cut, table
 
 P1_UNORDERED = ("paper_id", "url")
@@ -72,6 +72,26 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
     return markup.clean_texts(_md(spark, sf)).select(F.col("id").alias("md_id"), "text")
 
 
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.encode(table(spark, sf, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.sizes(table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")), table(spark, sf, "mix_target")).filter("held_back").select("source")
+
+
+def p8_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")).withColumnRenamed("id", "doc_id")
+
+
+def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.shares(mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")), table(spark, sf, "mix_target"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -83,6 +103,10 @@ QUERIES = {
     "p5_repaired": p5_repaired,
     "p6_found": p6_found,
     "p6_clean": p6_clean,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_mixed": p8_mixed,
+    "p8_shares": p8_shares,
 }
 
 _CANON = r"lower(regexp_replace({}, '[\p{{Z}}\p{{P}}\p{{S}}\t\n\x0B\f\r\x1C-\x1F\x{{85}}]+', '', 'g'))"
