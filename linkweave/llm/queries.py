@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.llm import encoding, format_duplicates, linked_splits, lookalikes, markup, mixing, page_noise
+from linkweave.llm import encoding, format_duplicates, linked_splits, lookalikes, markup, mixing, page_noise, subjects
 from linkweave.session import cut, table
 
 P1_UNORDERED = ("paper_id", "url")
@@ -92,6 +92,23 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.shares(mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")), table(spark, sf, "mix_target"))
 
 
+def _subjects(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("id"), "text", "lang")
+    labels = table(spark, sf, "subject_label").select(F.col("doc_id").cast("long").alias("id"), "subject")
+    areas = [r["subject"] for r in table(spark, sf, "subject_area").select("subject").distinct().collect()]
+    return subjects.subjects_of(docs, labels, areas).withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _subjects(spark, sf).select("doc_id", "subject").distinct()
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    found = cut(_subjects(spark, sf), "p9-composition")
+    docs = table(spark, sf, "documents").select("doc_id", "source")
+    return found.join(docs, "doc_id").groupBy("source", "subject").agg(F.count("*").alias("n_docs"), F.round(F.sum("share"), 6).alias("weight"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_collapsed": p1_collapsed,
@@ -107,6 +124,8 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_mixed": p8_mixed,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _CANON = r"lower(regexp_replace({}, '[\p{{Z}}\p{{P}}\p{{S}}\t\n\x0B\f\r\x1C-\x1F\x{{85}}]+', '', 'g'))"
