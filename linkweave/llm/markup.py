@@ -148,7 +148,11 @@ class Decoder:
 
 def sample_texts(docs: DataFrame, limit: int = SAMPLE) -> list[str]:
     """The texts of the documents with the smallest hashes of their ids: the bounded sample that is labelled."""
-    return [r["text"] for r in docs.filter("text is not null").select("text", F.xxhash64("id").alias("h")).orderBy("h", "text").limit(limit).collect()]
+    hashed = docs.filter("text is not null").withColumn("_h", F.xxhash64("id"))
+    last = hashed.select("_h").orderBy("_h").limit(limit).agg(F.max("_h")).first()[0]  # hashes only: no text but the sample's reaches the driver
+    if last is None:
+        return []
+    return [r["text"] for r in hashed.filter(F.col("_h") <= F.lit(last)).select("_h", "text").orderBy("_h", "text").limit(limit).collect()]
 
 
 def pieces(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
