@@ -84,7 +84,7 @@ def footnotes(tei: DataFrame) -> DataFrame:
     s = _sentences(tei).withColumn("plain", render(F.col("tokens"), "note"))
     s = context_window(s, ["paper_id", "para"], "sent", "plain")
     for c in ("preceding", "trailing"):
-        s = s.withColumn(c, F.when("direct", F.col(c)))
+        s = s.withColumn(c, F.when(F.col("direct"), F.col(c)))
     marks = s.select("*", F.posexplode("tokens").alias("tok", "t"))
     linked = marks.filter("t.kind = 'foot'").withColumn("xml_id", F.col("t.target")).join(n, ["paper_id", "xml_id"])
     one = linked.withColumn("restored", render(F.col("tokens"), "note", target=F.col("xml_id"), text=F.col("content"))).withColumn("step", F.lit(0))
@@ -105,7 +105,7 @@ def references(tei: DataFrame) -> DataFrame:
     s = tei.filter((F.col("kind") == "sentence") & F.col("container").isin("body", "caption", "other")).select("paper_id", "para", "sent", "direct", "tokens")
     s = context_window(s.withColumn("plain", render(F.col("tokens"), "reference")), ["paper_id", "para"], "sent", "plain")
     for c in ("preceding", "trailing"):
-        s = s.withColumn(c, F.when("direct", F.col(c)))
+        s = s.withColumn(c, F.when(F.col("direct"), F.col(c)))
     cites = s.select("*", F.posexplode("tokens").alias("tok", "t")).filter("t.kind = 'bibr'").withColumn("reference_id", F.col("t.target"))
     c = cites.join(e, ["paper_id", "reference_id"])
     return c.select(

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.session import cut
+from linkweave.session import cut, filled
 
 HOSTS = 1 << 16
 DELIMITERS = 256
@@ -297,7 +297,7 @@ def split_packed(df: DataFrame, id_col: str, col: str, singles: bool = False, ro
             yield pd.DataFrame({"id": b["id"], "cell": b["cell"], "starts": b["starts"], "pat": [pattern(x, hosts.value) for x in b["cell"]]})
 
     schema = f"id {dict(cells.dtypes)['id']}, cell string, starts int, pat string"
-    seen = cut(cells.withColumn("starts", F.regexp_count("cell", F.lit(START_SQL))).mapInPandas(patterns, schema), "packed")
+    seen = cut(cells.withColumn("starts", F.regexp_count("cell", F.lit(START_SQL))).mapInPandas(filled(patterns), schema), "packed")
     counted = cut(seen.filter("pat <> ''").groupBy("pat").agg(F.count("*").alias("n")), "packed-patterns")
 
     counts: dict[str, float] = {}
@@ -311,7 +311,7 @@ def split_packed(df: DataFrame, id_col: str, col: str, singles: bool = False, ro
                     expected(p, model, float(n), out)
             yield pd.DataFrame({"k": list(out.keys()), "v": list(out.values())})
 
-        got = counted.mapInPandas(e_step, "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # at most 36 forms and 2 x DELIMITERS
+        got = counted.mapInPandas(filled(e_step), "k string, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()  # at most 36 forms and 2 x DELIMITERS
         counts = {r["k"]: r["v"] for r in got}
     final = spark.sparkContext.broadcast(counts)
 
@@ -328,4 +328,4 @@ def split_packed(df: DataFrame, id_col: str, col: str, singles: bool = False, ro
             yield pd.DataFrame({"id": pd.Series(ids, dtype=b["id"].dtype), "pos": pd.Series(pos, dtype="int64"), "value": pd.Series(values, dtype="object")})
 
     todo = seen if singles else seen.filter("starts > 1")
-    return todo.select("id", "cell").mapInPandas(decode, f"id {dict(cells.dtypes)['id']}, pos long, value string")
+    return todo.select("id", "cell").mapInPandas(filled(decode), f"id {dict(cells.dtypes)['id']}, pos long, value string")

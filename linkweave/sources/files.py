@@ -15,6 +15,7 @@ from linkweave.functions import paper_ids
 from linkweave.functions.text import normalize_chars
 from linkweave.functions.urls import url_set
 from linkweave.operators.scoring import mllm_rows
+from linkweave.session import filled
 
 
 def read_strings(spark: SparkSession, path: str | list[str], columns: list[str] | None = None, required: tuple[str, ...] = ()) -> DataFrame:
@@ -98,7 +99,7 @@ def _unzip(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     """``paper_id, file, text`` of a folder of Markdown files, one file, or a zip of them; characters normalised."""
     if path.lower().endswith(".zip"):
-        raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_unzip, "file string, text string")
+        raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(filled(_unzip), "file string, text string")
         raw = raw.withColumn("paper_id", paper_ids.from_file(F.col("file")))
     else:
         raw = _file_columns(read_binary(spark, path, "*.md"), "text")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from linkweave.functions import paper_ids
 from linkweave.functions.text import first_filled
 from linkweave.sources.files import read_binary
+from linkweave.session import filled
 
 # The payloads' types. Enumerations are plain strings, checked by ``valid``.
 BODY = "items array<struct<url_printed:string,target_sentence:string,preceding_sentence:string,trailing_sentence:string,at_paragraph_start:boolean,at_paragraph_end:boolean,url_lines_joined:boolean,url_span_pages:boolean,confidence:double>>"
@@ -120,7 +121,7 @@ def call_model(df: DataFrame, client: Callable[[str], str], tries: int = 3, para
 
     d = df.repartition(parallelism) if parallelism else df
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", answer string, error string"
-    return d.mapInPandas(run, schema)
+    return d.mapInPandas(filled(run), schema)
 
 
 def two_steps(df: DataFrame, detect: Callable[[str], str], extract: Callable[[str], str], found: str, next_prompt: Callable[[DataFrame], Column]) -> DataFrame:

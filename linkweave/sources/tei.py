@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import paper_ids
 from linkweave.sources.files import read_binary
+from linkweave.session import filled
 
 _NS = "{http://www.tei-c.org/ns/1.0}"
 _ID = "{http://www.w3.org/XML/1998/namespace}id"
@@ -159,4 +160,4 @@ def read_tei(spark: SparkSession, path: str) -> DataFrame:
     if files.select("path").isEmpty():
         files = read_binary(spark, path, "*.xml")
     f = files.select(paper_ids.from_file(F.col("path")).alias("paper_id"), F.col("path").alias("file"), "content")
-    return f.mapInPandas(_parse, SCHEMA)
+    return f.mapInPandas(filled(_parse), SCHEMA)
