@@ -29,6 +29,7 @@ from pyspark.sql.types import StringType
 
 from linkweave.llm.boosted_trees import BoostedTrees
 from linkweave.llm.markup_tree import AMOUNT, KINDS, Node, clean, features, parse, piece
+from linkweave.session import filled
 
 SAMPLE = 1500
 SEED = 7
@@ -170,7 +171,7 @@ def pieces(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
                             rows[(i, kind, c)] = None
             yield pd.DataFrame(list(rows), columns=["id", "piece", "content"])
 
-    return docs.filter("text is not null").select("id", "text").mapInPandas(run, "id long, piece string, content string").distinct()
+    return docs.filter("text is not null").select("id", "text").mapInPandas(filled(run), "id long, piece string, content string").distinct()
 
 
 def cleaned(text: str, decoder: Decoder) -> str:
@@ -222,7 +223,7 @@ def clean_texts(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
         for b in batches:
             yield b.assign(text=[t if t is None else cleaned(t, decoder) for t in b["text"]])
 
-    return docs.select("id", "text").mapInPandas(run, "id long, text string")
+    return docs.select("id", "text").mapInPandas(filled(run), "id long, text string")
 
 
 # --- addresses with remains of markup ---

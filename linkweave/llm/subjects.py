@@ -32,7 +32,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkweave.session import cut
+from linkweave.session import cut, filled
 
 LABELLED = 20_000
 WORDS, RULES = 60_000, 200_000
@@ -98,7 +98,7 @@ def sentence_table(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "k": pd.Series(ks, dtype="int32"), "lang": pd.Series(langs, dtype="object"), "items": items})
 
     schema = "id long, k int, lang string, items array<string>"
-    raw = cut(docs.filter("text is not null").select("id", "text", "lang").mapInPandas(run, schema), "p9-raw")
+    raw = cut(docs.filter("text is not null").select("id", "text", "lang").mapInPandas(filled(run), schema), "p9-raw")
     size = {r["lang"]: r["n"] for r in raw.groupBy("lang").agg(F.count_distinct("id").alias("n")).collect()}
     df = raw.select("id", "lang", F.explode("items").alias("w")).distinct().groupBy("lang", "w").agg(F.count("*").alias("n"))
     n = F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(v))]) if size else None
@@ -110,7 +110,7 @@ def sentence_table(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield b.assign(items=[[w for w in items if (lang, w) not in drop.value] for items, lang in zip(b["items"], b["lang"])])
 
-    return cut(raw.mapInPandas(keep, schema), "p9-sentences")
+    return cut(raw.mapInPandas(filled(keep), schema), "p9-sentences")
 
 
 def topical_words(labelled: DataFrame, subjects: list[str], least: int, lift: float) -> set[str]:
@@ -185,7 +185,7 @@ def mine(labelled: DataFrame, subjects: list[str], least: int, lift: float) -> R
             rows = [[w for w in items if w in known] + [MARK + s] for items, s in zip(b["items"], b["subject"])]
             yield pd.DataFrame({"items": [r for r in rows if len(r) > 1]})
 
-    baskets = cut(labelled.mapInPandas(reduce_, "items array<string>"), "p9-baskets")
+    baskets = cut(labelled.mapInPandas(filled(reduce_), "items array<string>"), "p9-baskets")
     n = baskets.count()
     if not n:
         return rules
@@ -288,7 +288,7 @@ def fit(sents: DataFrame, labels: DataFrame, subjects: list[str]) -> Rules:
                         out += [(x, lang, rules.subjects[only]) for x in ss if id(x) not in sure]
                 yield pd.DataFrame(out, columns=["items", "lang", "subject"])
 
-        again = cut(whole.select("lang", "sents").mapInPandas(pseudo, "items array<string>, lang string, subject string"), "p9-pseudo")
+        again = cut(whole.select("lang", "sents").mapInPandas(filled(pseudo), "items array<string>, lang string, subject string"), "p9-pseudo")
         rules = mine(again, subjects, 3, 2.5)
         calibrate(rules, list(held_out.values()))
     return rules
@@ -313,4 +313,4 @@ def subjects_of(docs: DataFrame, labels: DataFrame, areas: list[str]) -> DataFra
                             rows.append((i, rules.subjects[c], float(share[c])))
             yield pd.DataFrame(rows, columns=["id", "subject", "share"])
 
-    return docs.filter("text is not null").select("id", "text").mapInPandas(run, "id long, subject string, share double")
+    return docs.filter("text is not null").select("id", "text").mapInPandas(filled(run), "id long, subject string, share double")
