@@ -6,8 +6,8 @@ A rule is redundant if one with fewer of its words is as confident. A sentence's
 the logarithms of confidence over share of its matching rules, turned into a probability at the temperature that
 fits the labelled documents best. As labels are few, incomplete and partly wrong, mining is repeated: sentences of all
 documents with clear evidence, which others of their document share, become the labelled transactions of the next round.
-Words in more than ``COMMON`` of a language's documents are of its grammar or of set phrases and make no rules; what is
-frequent with a subject is measured within each language, given or, where it is null, told by its commonest words.
+Words in more than ``COMMON`` of a language's documents are of its grammar or of set phrases and make no rules, unless they
+are nearly always with one subject; what is frequent with a subject is measured within each language, given or, where it is null, told by its commonest words.
 
 A document has the subjects of at least a quarter of its sentences, two at most; sentences whose words fit several
 subjects lean to those of the rest of their document.
@@ -85,7 +85,7 @@ def _language(text: str, profiles: dict[str, set[str]]) -> str:
 
 
 def sentence_table(docs: DataFrame) -> DataFrame:
-    """``id, k, lang, items``: the words of every sentence of documents ``id, text, lang``, without their language's common words; written."""
+    """``id, k, lang, items``: the words of every sentence of documents ``id, text, lang``; written."""
     held = docs.sparkSession.sparkContext.broadcast(language_profiles(docs))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,22 +98,20 @@ def sentence_table(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": pd.Series(ids, dtype="int64"), "k": pd.Series(ks, dtype="int32"), "lang": pd.Series(langs, dtype="object"), "items": items})
 
     schema = "id long, k int, lang string, items array<string>"
-    raw = cut(docs.filter("text is not null").select("id", "text", "lang").mapInPandas(filled(run), schema), "p9-raw")
-    size = {r["lang"]: r["n"] for r in raw.groupBy("lang").agg(F.count_distinct("id").alias("n")).collect()}
-    df = raw.select("id", "lang", F.explode("items").alias("w")).distinct().groupBy("lang", "w").agg(F.count("*").alias("n"))
-    n = F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(v))]) if size else None
-    # a document has some hundred words, so that few can be in a quarter of them
-    common = {(r["lang"], r["w"]) for r in df.filter((F.element_at(n, F.col("lang")) >= 20) & (F.col("n") > COMMON * F.element_at(n, F.col("lang")))).collect()} if size else set()
-    drop = docs.sparkSession.sparkContext.broadcast(common)
-
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(items=[[w for w in items if (lang, w) not in drop.value] for items, lang in zip(b["items"], b["lang"])])
+    return cut(docs.filter("text is not null").select("id", "text", "lang").mapInPandas(filled(run), schema), "p9-sentences")
+
 
-    return cut(raw.mapInPandas(filled(keep), schema), "p9-sentences")
+def common_words(sents: DataFrame) -> set[tuple[str, str]]:
+    """``(lang, word)`` in more than COMMON of a language's documents. A document has some hundred words, so that they are few."""
+    size = {r["lang"]: r["n"] for r in sents.groupBy("lang").agg(F.count_distinct("id").alias("n")).collect()}
+    if not size:
+        return set()
+    df = sents.select("id", "lang", F.explode("items").alias("w")).distinct().groupBy("lang", "w").agg(F.count("*").alias("n"))
+    n = F.element_at(F.create_map(*[x for k, v in size.items() for x in (F.lit(k), F.lit(v))]), F.col("lang"))
+    return {(r["lang"], r["w"]) for r in df.filter((n >= 20) & (F.col("n") > COMMON * n)).collect()}
 
 
-def topical_words(labelled: DataFrame, subjects: list[str], least: int, lift: float) -> set[str]:
+def topical_words(labelled: DataFrame, subjects: list[str], least: int, lift: float, common: set[tuple[str, str]]) -> set[str]:
     """Words that are far more frequent with one subject than with all of their language; ``labelled`` has items, lang and subject."""
     by = labelled.select("subject", "lang", F.explode("items").alias("w")).groupBy("w", "lang", "subject").agg(F.count("*").alias("n"))
     share: dict[str, Counter] = defaultdict(Counter)
@@ -127,8 +125,9 @@ def topical_words(labelled: DataFrame, subjects: list[str], least: int, lift: fl
     rate = F.col("top.n") / F.col("all")
     # half of the uses with one subject, and more of them than chance gives by three standard errors
     sure = (rate - F.col("top.base")) / F.sqrt(F.col("top.base") * (1 - F.col("top.base")) / F.col("all")) > 3.0
-    kept = best.filter((F.col("all") >= least) & (rate >= 0.45) & (rate / F.col("top.base") >= lift) & sure).orderBy(F.desc("all"), "w").limit(WORDS)
-    return {r["w"] for r in kept.collect()}
+    kept = best.filter((F.col("all") >= least) & (rate >= 0.45) & (rate / F.col("top.base") >= lift) & sure).orderBy(F.desc("all"), "w", "lang").limit(WORDS)
+    got = kept.select("w", "lang", "all", rate.alias("rate")).collect()
+    return {r["w"] for r in got if (r["lang"], r["w"]) not in common or r["rate"] >= 0.75 and r["all"] >= 10}
 
 
 class Rules:
@@ -170,10 +169,10 @@ class Rules:
         return p / p.sum()
 
 
-def mine(labelled: DataFrame, subjects: list[str], least: int, lift: float) -> Rules:
+def mine(labelled: DataFrame, subjects: list[str], least: int, lift: float, common: set[tuple[str, str]]) -> Rules:
     """Class-association rules of labelled sentences ``items, lang, subject``."""
     rules = Rules(subjects)
-    topical = topical_words(labelled, subjects, least, lift)
+    topical = topical_words(labelled, subjects, least, lift, common)
     if not topical:
         return rules
     spark = labelled.sparkSession
@@ -265,7 +264,8 @@ def fit(sents: DataFrame, labels: DataFrame, subjects: list[str]) -> Rules:
         held_out[r["id"]][0].append(list(r["items"]))
         held_out[r["id"]][1].update(r["subjects"])
     first = labelled.filter("size(subjects) = 1").select("items", "lang", F.col("subjects")[0].alias("subject"))
-    rules = mine(first, subjects, 2, 2.0)
+    common = common_words(sents)
+    rules = mine(first, subjects, 2, 2.0, common)
     calibrate(rules, list(held_out.values()))
     whole = cut(sents.groupBy("id", "lang").agg(F.collect_list("items").alias("sents")), "p9-whole")  # a document's own sentences
     for _ in range(ROUNDS):
@@ -289,7 +289,7 @@ def fit(sents: DataFrame, labels: DataFrame, subjects: list[str]) -> Rules:
                 yield pd.DataFrame(out, columns=["items", "lang", "subject"])
 
         again = cut(whole.select("lang", "sents").mapInPandas(filled(pseudo), "items array<string>, lang string, subject string"), "p9-pseudo")
-        rules = mine(again, subjects, 3, 2.5)
+        rules = mine(again, subjects, 3, 2.5, common)
         calibrate(rules, list(held_out.values()))
     return rules
 
