@@ -260,6 +260,8 @@ def _relate(nodes: list[Node]) -> None:
             if x.family == "text":
                 before = None
             continue
+        if x.facts.get("glued"):  # what stands before it is prose
+            before = None
         if before is not None and before.family == x.family and before.parent == x.parent:
             x.mates += 1
             before.mates += 1
