@@ -34,4 +34,4 @@ def mllm(c: Column) -> Column:
 def from_file(c: Column) -> Column:
     """The id in a file's name: known suffixes off."""
     name = F.regexp_extract(c, r"([^/\\]+)$", 1)
-    return F.regexp_replace(name, r"(?i)(?:\.grobid)?(?:\.tei)?\.(?:xml|json|md|txt|pdf)$", "")
+    return F.regexp_replace(name, r"(?i)(?:\.tei)?\.(?:xml|json|md|txt|pdf)$", "")

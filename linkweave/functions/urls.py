@@ -17,19 +17,19 @@ GRAMMARS = {
     "field": r"""(?i)\b((?:https?|s?ftps?|sftp|s3|gs|az)://[^\s\]\[<>"']+|www\.[^\s\]\[<>"']+|doi:\s*[^\s\]\[<>"'(),;|]+|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,10}(?::\d+)?(?:/[^\s\]\[<>"'|]*)?|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?:/[^\s\]\[<>"'|]*)?)""",
     "field_mllm": r"""(?i)\b(https?://[^\s\]\[<>"']+|www\.[^\s\]\[<>"']+|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?::\d+)?(?:/[^\s\]\[<>"']*)?|\d{1,3}(?:\.\d{1,3}){3}(?::\d+)?(?:/[^\s\]\[<>"']*)?)""",
     "explicit": r"""(?i)\b(https?://[^\s\]\[<>"']+|www\.[^\s\]\[<>"']+)""",
-    "tei": r"""(?i)((?:https?://|ftp://|www\.)[^\s<>"']+|doi:\s*10\.\d{4,9}/[^\s<>"']+|\b10\.\d{4,9}/[^\s<>"']+)""",
-    "note": r"""(?i)(https?://[^\s<>"'\]]+|ftp://[^\s<>"'\]]+|(?<![\w/.])www\.[^\s<>"'\]]+|doi:\s*10\.\d{4,9}/[^\s<>"'\]]+|arxiv:\s*\d{4}\.\d{4,5}|(?<![\w/.])(?:github|gitlab|bitbucket)\.(?:com|org)/[^\s<>"'\]]+)""",
-    "layout": r"""(?i)(https?\s*:\s*/\s*/\s*[^\s<>"')\]]+|ftp://[^\s<>"')\]]+|doi:\s*10\.\d{4,9}/[^\s<>"')\]]+|(?<![\w/.])www\.[^\s<>"')\]]+|(?<![\w/.])10\.\d{4,9}/[^\s<>"')\]]{3,})""",
+    "tei": r"""(?i)(\b(?:https?://|ftp://|www\.)[^\s<>()\[\]{}"'`]+|(?:\bdoi\s*:\s*)?\b10\.\d{4,9}/[^\s<>()\[\]{}"'`]+)""",
+    "note": r"""(?i)(https?://[^\s<>\[\](){}"'`,;]+|ftp://[^\s<>\[\](){}"'`,;]+|(?<![A-Za-z0-9])www\.[^\s<>\[\](){}"'`,;]+|(?<![A-Za-z])doi:\s?10\.\d+/[^\s<>\[\](){}"'`,;]+|(?<![A-Za-z])arxiv:\s?\d{4}\.\d{4,5}(?:v\d+)?|(?<![A-Za-z/.])(?:github\.com|gitlab\.com|bitbucket\.org)/[^\s<>\[\](){}"'`,;]+)""",
+    "layout": r"""(?i)((?:https?|ftps?|sftp|s3|gs|az)\s*:?\s*//[^\s<>"')\]}]+|(?:doi:|(?:https?://)?(?:dx\.)?doi\.org/)10\.\d{3,}/[^\s<>"')\]}]+|www\.[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?:/[^\s<>"')\]}]*)?|(?<![A-Za-z0-9])10\.\d{4,}/[^\s<>"')\]}]{3,})""",
     "markdown": rf"""(?i)(?<![\w@])((?:https?|ftp|ftps|sftp|s3|gs|az)\s*:?\s*/\s*/\s*[^\s<>{{}}\[\]"'`]+|www\.[^\s<>{{}}\[\]"'`]+|doi\s*:\s*10\.\d{{4,9}}/[^\s<>{{}}\[\]"'`]+|10\.\d{{4,9}}/[^\s<>{{}}\[\]"'`]+|(?:(?:github|gitlab|bitbucket)\.com|arxiv\.org|doi\.org)/[^\s<>{{}}\[\]"'`]+|(?:[A-Za-z0-9][A-Za-z0-9-]{{0,62}}\.)+(?:{_TLD})\b(?:/[^\s<>{{}}\[\]"'`]*)?)""",
-    "reference": r"""(?i)(https?://[^\s<>"'\])]+|(?:dx\.)?doi\.org/[^\s<>"'\])]+|doi:\s*10\.\d{4,9}/[^\s<>"'\])]+)""",
+    "reference": r"""(?i)(https?://[^\s\]\[<>"']+|doi\.org/[^\s\]\[<>"']+|doi:\s*10\.\d{4,}/[^\s\]\[<>"']+)""",
 }
 # What a new address begins with, after a comma in a field.
 _NEXT = r"(?:https?://|s?ftp://|sftp://|s3://|gs://|az://|www\.|doi:|DOI:|10\.\d{4,9}/|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,10}|\d{1,3}(?:\.\d{1,3}){3})"
 _NEXT_MLLM = r"(?:https?://|www\.|(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}|\d{1,3}(?:\.\d{1,3}){3})"
 # Hosts that gold doesn't count, and the boilerplate of page footers.
 BOILERPLATE_HOST = r"(?i)(orcid\.org|creativecommons\.org|crossmark|/?mailto:|(?:^|[^a-z])tel:|javascript:)"
-BOILERPLATE_LAYOUT = r"(?i)^(?:https?://)?(?:www\.)?(?:creativecommons\.org(?:/.*)?|(?:elsevier|springer|springernature|wiley|nature|ieee|acm|tandfonline|sciencedirect)\.(?:com|org)/?|doi\.org/10\.1145/(?:nnnnnnn.*|1122445.*)|example\.(?:com|org|net)(?:/.*)?|w3\.org/?)$"
-BAD_REFERENCE = r"(?i)creativecommons\.org|crossmark|orcid\.org|biomedcentral\.com|link\.springer\.com/article|journals\.plos\.org/.*(?:asset|figure)"
+BOILERPLATE_LAYOUT = r"(?i)^(?:https?://creativecommons\.org/licenses/?\S*|(?:https?://)?(?:www\.)?springerlink\.com/?|https?://link\.springer\.com/?|https?://(?:www\.)?(?:ieee|acm|arxiv|w3)\.org/?|(?:doi:|https?://(?:dx\.)?doi\.org/|https?://doi\.acm\.org/)?10\.1145/0+\.0+|https?://(?:www\.)?example\.(?:com|org|net)(?:/\S*)?)$"
+BAD_REFERENCE = r"(?i)creativecommons\.org|crossmark\.crossref\.org|orcid\.org|crossref\.org/dialog|biomedcentral\.com/\d{4}-\d+/\d+/\d+$|springer\.com/article/.*$|journals\.plos\.org/.*article/asset"
 _GAP = r"(?U)(?<=\w)\s+(?=[/?#&=:%._~\-])"
 
 
@@ -173,7 +173,7 @@ def clean_url(c: Column, dialect: str = "markdown") -> Column:
         u = F.regexp_replace(F.regexp_replace(u, r"^[<\[{\"']+|[>\]}\"']+$", ""), r"[.,;:]+$", "")
         return F.when(u.endswith(")") & ~u.contains("("), F.regexp_replace(u, r"\)$", "")).otherwise(u)
     if dialect == "note":
-        u = F.regexp_replace(u, r"[.,;:!?\]}>\"']+$", "")
+        u = F.regexp_replace(strip_wrappers(u, 1), r"[.,;:]+$", "")
         return F.when(~u.contains("("), F.regexp_replace(u, r"\)+$", "")).otherwise(u)
     if dialect == "layout":
         return F.regexp_replace(repair_scheme(u), r"[.,;:)\]}>\"']+$", "")
@@ -228,8 +228,8 @@ def recover_wrapped(c: Column, passes: int = 5) -> Column:
 
 def is_truncated(c: Column) -> Column:
     """A scheme alone, ``http://ww.``, or a host of fewer than three letters and digits."""
-    host = F.regexp_extract(c, r"(?i)^(?:[a-z]+://)?([^/?#]*)", 1)
-    return c.rlike(r"(?i)^[a-z]+:/{0,2}$|^https?://ww?\.?$") | (F.length(F.regexp_replace(host, "[^A-Za-z0-9]", "")) < 3)
+    host = F.regexp_extract(c, r"(?i)^(?:https?|ftps?|sftp)://([^/?#]+)", 1)
+    return c.rlike(r"(?i)^(?:https?|ftps?|sftp|s3|gs|az)://(?:www\.?)?$|^https?://w{2,3}\.?$") | ((host != "") & (F.length(F.regexp_replace(host, "[.-]", "")) < 3))
 
 
 def in_page(url: Column, page: Column) -> Column:
