@@ -33,6 +33,11 @@ BAD_REFERENCE = r"(?i)creativecommons\.org|crossmark\.crossref\.org|orcid\.org|c
 _GAP = r"(?U)(?<=\w)\s+(?=[/?#&=:%._~\-])"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: expressions of regular expressions multiply otherwise."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def find_all(c: Column, grammar: str) -> Column:
     """The matches of a grammar, in order."""
     return F.regexp_extract_all(c, F.lit(GRAMMARS[grammar]), F.lit(1))
@@ -65,17 +70,25 @@ def strip_wrappers(c: Column, depth: int = 5) -> Column:
     return c
 
 
+_PARTS = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+_NUMERIC_HOST = r"^(?:[^@]*@)?\[[0-9A-Fa-f:.]+\](?::\d*)?$"
+
+
 def _canonical_parts(u: Column, scheme: str) -> Column:
     """``host/path?query`` in lower case: no scheme, fragment, www., doubled or final slash. Port and user stay."""
-    full = F.when(u.rlike(scheme), u).otherwise(F.concat(F.lit("http://"), u))
-    parts = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-    host = F.regexp_replace(F.lower(F.regexp_extract(full, parts, 1)), r"^www\.", "")
-    path = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(full, parts, 2), "/{2,}", "/"), "/+$", ""))
-    query = F.lower(F.regexp_extract(full, parts, 3))
-    whole = F.concat(host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-    # brackets in a host are for numeric addresses only; anything else can't be taken apart
-    odd = F.regexp_extract(full, parts, 1).rlike(r"[\[\]]") & ~F.regexp_extract(full, parts, 1).rlike(r"^(?:[^@]*@)?\[[0-9A-Fa-f:.]+\](?::\d*)?$")
-    return F.when(odd, F.regexp_replace(F.lower(u), "/+$", "")).otherwise(F.regexp_replace(whole, "^/+", ""))
+
+    def of(full: Column) -> Column:
+        path = F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(full, _PARTS, 2), "/{2,}", "/"), "/+$", ""))
+
+        def join(p: Column) -> Column:
+            query = F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise("")
+            whole = F.regexp_replace(F.concat(F.regexp_replace(F.lower(p["host"]), r"^www\.", ""), p["path"], query), "^/+", "")
+            # brackets in a host are for numeric addresses only; anything else can't be taken apart
+            return F.when(p["host"].rlike(r"[\[\]]") & ~p["host"].rlike(_NUMERIC_HOST), F.regexp_replace(F.lower(u), "/+$", "")).otherwise(whole)
+
+        return let(F.struct(F.regexp_extract(full, _PARTS, 1).alias("host"), path.alias("path"), F.lower(F.regexp_extract(full, _PARTS, 3)).alias("query")), join)
+
+    return let(F.when(u.rlike(scheme), u).otherwise(F.concat(F.lit("http://"), u)), of)
 
 
 def canonical_plain(plain: Column) -> Column:
@@ -86,8 +99,8 @@ def canonical_plain(plain: Column) -> Column:
     u = F.regexp_replace(u, r"(?i)^doi:\s*https?://(?:dx\.)?doi\.org/", "doi:")
     u = F.regexp_replace(u, r"(?i)^https?://(?:dx\.)?doi\.org/", "doi:")
     u = F.regexp_replace(u, r"(?U)\s+", "")
-    doi = F.concat(F.lit("doi:"), F.regexp_replace(F.lower(F.regexp_replace(u, r"(?i)^doi:", "")), "/+$", ""))
-    return F.when(u == "", u).when(u.rlike(r"(?i)^(?:doi:|10\.\d{4,9}/)"), doi).otherwise(_canonical_parts(u, r"(?i)^[a-z][a-z0-9+.\-]*://"))
+    doi = lambda x: F.concat(F.lit("doi:"), F.regexp_replace(F.lower(F.regexp_replace(x, r"(?i)^doi:", "")), "/+$", ""))
+    return let(u, lambda x: F.when(x == "", x).when(x.rlike(r"(?i)^(?:doi:|10\.\d{4,9}/)"), doi(x)).otherwise(_canonical_parts(x, r"(?i)^[a-z][a-z0-9+.\-]*://")))
 
 
 def canonical_mllm_plain(plain: Column) -> Column:
@@ -96,7 +109,7 @@ def canonical_mllm_plain(plain: Column) -> Column:
     u = F.trim(F.regexp_replace(u, r"(?i)\[last visit:[^\]]*$", ""))
     u = F.regexp_replace(F.regexp_replace(u, r"^[\[\](){}<>\"'`]+|[\[\](){}<>\"'`]+$", ""), r"[.,;:)\]}>]+$", "")
     u = F.regexp_replace(u, r"(?U)\s+", "")
-    return F.when(u == "", u).otherwise(_canonical_parts(u, r"(?i)^https?://"))
+    return let(u, lambda x: F.when(x == "", x).otherwise(_canonical_parts(x, r"(?i)^https?://")))
 
 
 def canonical_url(c: Column, variant: str = "exact") -> Column:
@@ -108,7 +121,7 @@ def canonical_url(c: Column, variant: str = "exact") -> Column:
 def split_field_plain(plain: Column) -> Column:
     """The chunks of a field: between bars, and at commas before what begins an address."""
     raw = F.trim(repair_spacing(fold(plain)))
-    raw = F.when(raw.rlike(r"(?s)^\[.*\]$"), F.trim(F.substring(raw, F.lit(2), F.length(raw) - 2))).otherwise(raw)
+    raw = let(raw, lambda r: F.when(r.rlike(r"(?s)^\[.*\]$"), F.trim(F.substring(r, F.lit(2), F.length(r) - 2))).otherwise(r))
     chunks = F.flatten(F.transform(F.split(raw, r"\|"), lambda p: F.split(p, r",\s*(?=" + _NEXT + ")")))
     return F.filter(F.transform(chunks, lambda x: F.trim(x)), lambda x: x != "")
 
@@ -122,7 +135,7 @@ def split_field_mllm_plain(plain: Column, side: str) -> Column:
 def _found_or_whole(chunks: Column, grammar: str, canonical) -> Column:
     def of(chunk: Column) -> Column:
         found = F.filter(F.transform(find_all(chunk, grammar), canonical), lambda x: x != "")
-        return F.when(F.size(found) > 0, found).otherwise(F.filter(F.array(canonical(chunk)), lambda x: x != ""))
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(canonical(chunk)), lambda x: x != "")))
 
     return F.array_distinct(F.flatten(F.transform(chunks, of)))
 
@@ -151,14 +164,14 @@ def compare_key(c: Column) -> Column:
 def repair_scheme(c: Column) -> Column:
     """``HTTP : //x`` becomes ``http://x`` for known schemes."""
     p = r"(?i)^\s*(https?|ftps?|sftp|s3|gs|az)\s*:?\s*/\s*/\s*"
-    return F.when(c.rlike(p), F.concat(F.lower(F.regexp_extract(c, p, 1)), F.lit("://"), F.regexp_replace(c, p, ""))).otherwise(c)
+    return let(c, lambda x: F.when(x.rlike(p), F.concat(F.lower(F.regexp_extract(x, p, 1)), F.lit("://"), F.regexp_replace(x, p, ""))).otherwise(x))
 
 
 def _balanced(u: Column) -> Column:
     """Final closing parentheses off while there are more than opening ones."""
+    count = lambda x, p: F.length(F.regexp_replace(x, p, ""))
     for _ in range(3):
-        surplus = F.length(F.regexp_replace(u, r"[^)]", "")) > F.length(F.regexp_replace(u, r"[^(]", ""))
-        u = F.when(u.endswith(")") & surplus, F.regexp_replace(u, r"\)$", "")).otherwise(u)
+        u = let(u, lambda x: F.when(x.endswith(")") & (count(x, r"[^)]") > count(x, r"[^(]")), F.regexp_replace(x, r"\)$", "")).otherwise(x))
     return u
 
 
