@@ -38,6 +38,11 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), lambda x: use(x))[0]
 
 
+def at_once(value: Column, use) -> Column:
+    """``use(value)`` as it stands: outside of lambdas generated code finds what is common, and Python functions may be anywhere."""
+    return use(value)
+
+
 def find_all(c: Column, grammar: str) -> Column:
     """The matches of a grammar, in order."""
     return F.regexp_extract_all(c, F.lit(GRAMMARS[grammar]), F.lit(1))
@@ -74,7 +79,7 @@ _PARTS = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 _NUMERIC_HOST = r"^(?:[^@]*@)?\[[0-9A-Fa-f:.]+\](?::\d*)?$"
 
 
-def _canonical_parts(u: Column, scheme: str) -> Column:
+def _canonical_parts(u: Column, scheme: str, bind) -> Column:
     """``host/path?query`` in lower case: no scheme, fragment, www., doubled or final slash. Port and user stay."""
 
     def of(full: Column) -> Column:
@@ -86,12 +91,12 @@ def _canonical_parts(u: Column, scheme: str) -> Column:
             # brackets in a host are for numeric addresses only; anything else can't be taken apart
             return F.when(p["host"].rlike(r"[\[\]]") & ~p["host"].rlike(_NUMERIC_HOST), F.regexp_replace(F.lower(u), "/+$", "")).otherwise(whole)
 
-        return let(F.struct(F.regexp_extract(full, _PARTS, 1).alias("host"), path.alias("path"), F.lower(F.regexp_extract(full, _PARTS, 3)).alias("query")), join)
+        return bind(F.struct(F.regexp_extract(full, _PARTS, 1).alias("host"), path.alias("path"), F.lower(F.regexp_extract(full, _PARTS, 3)).alias("query")), join)
 
-    return let(F.when(u.rlike(scheme), u).otherwise(F.concat(F.lit("http://"), u)), of)
+    return bind(F.when(u.rlike(scheme), u).otherwise(F.concat(F.lit("http://"), u)), of)
 
 
-def canonical_plain(plain: Column) -> Column:
+def canonical_plain(plain: Column, bind=let) -> Column:
     """The canonical form of the exact evaluators, of text in NFKC; empty for what holds nothing."""
     u = strip_wrappers(fold(repair_spacing(fold(plain))))
     u = F.trim(F.regexp_replace(F.trim(F.regexp_replace(u, r"^[,; ]+|[,; ]+$", "")), r"^['\"]+|['\"]+$", ""))
@@ -100,22 +105,22 @@ def canonical_plain(plain: Column) -> Column:
     u = F.regexp_replace(u, r"(?i)^https?://(?:dx\.)?doi\.org/", "doi:")
     u = F.regexp_replace(u, r"(?U)\s+", "")
     doi = lambda x: F.concat(F.lit("doi:"), F.regexp_replace(F.lower(F.regexp_replace(x, r"(?i)^doi:", "")), "/+$", ""))
-    return let(u, lambda x: F.when(x == "", x).when(x.rlike(r"(?i)^(?:doi:|10\.\d{4,9}/)"), doi(x)).otherwise(_canonical_parts(x, r"(?i)^[a-z][a-z0-9+.\-]*://")))
+    return bind(u, lambda x: F.when(x == "", x).when(x.rlike(r"(?i)^(?:doi:|10\.\d{4,9}/)"), doi(x)).otherwise(_canonical_parts(x, r"(?i)^[a-z][a-z0-9+.\-]*://", bind)))
 
 
-def canonical_mllm_plain(plain: Column) -> Column:
+def canonical_mllm_plain(plain: Column, bind=let) -> Column:
     """The canonical form of the evaluator of model output: no DOI folding, only http(s) is a scheme."""
     u = repair_spacing(fold(plain, tildes=True), mllm=True)
     u = F.trim(F.regexp_replace(u, r"(?i)\[last visit:[^\]]*$", ""))
     u = F.regexp_replace(F.regexp_replace(u, r"^[\[\](){}<>\"'`]+|[\[\](){}<>\"'`]+$", ""), r"[.,;:)\]}>]+$", "")
     u = F.regexp_replace(u, r"(?U)\s+", "")
-    return let(u, lambda x: F.when(x == "", x).otherwise(_canonical_parts(x, r"(?i)^https?://")))
+    return bind(u, lambda x: F.when(x == "", x).otherwise(_canonical_parts(x, r"(?i)^https?://", bind)))
 
 
 def canonical_url(c: Column, variant: str = "exact") -> Column:
     """The canonical form of one address; null becomes empty."""
     plain = nfkc(F.coalesce(c.cast("string"), F.lit("")))
-    return canonical_plain(plain) if variant == "exact" else canonical_mllm_plain(plain)
+    return canonical_plain(plain, at_once) if variant == "exact" else canonical_mllm_plain(plain, at_once)
 
 
 def split_field_plain(plain: Column) -> Column:
@@ -134,7 +139,7 @@ def split_field_mllm_plain(plain: Column, side: str) -> Column:
 
 def _found_or_whole(chunks: Column, grammar: str, canonical) -> Column:
     def of(chunk: Column) -> Column:
-        found = F.filter(F.transform(find_all(chunk, grammar), canonical), lambda x: x != "")
+        found = F.filter(F.transform(find_all(chunk, grammar), lambda x: canonical(x)), lambda x: x != "")
         return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.filter(F.array(canonical(chunk)), lambda x: x != "")))
 
     return F.array_distinct(F.flatten(F.transform(chunks, of)))
@@ -152,7 +157,7 @@ def url_list_mllm(c: Column, side: str, target: Column | None = None) -> Column:
     out = _found_or_whole(split_field_mllm_plain(plain, side), "field_mllm", canonical_mllm_plain)
     if target is not None:
         text = repair_spacing(fold(nfkc(F.coalesce(target, F.lit(""))), tildes=True), mllm=True)
-        out = F.concat(out, F.filter(F.transform(find_all(text, "explicit"), canonical_mllm_plain), lambda x: x != ""))
+        out = F.concat(out, F.filter(F.transform(find_all(text, "explicit"), lambda x: canonical_mllm_plain(x)), lambda x: x != ""))
     return F.array_distinct(out)
 
 
