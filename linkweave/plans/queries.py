@@ -6,6 +6,9 @@ depends on the row's number.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -164,7 +167,7 @@ def index_styles(spark, sf):
 
 
 def _marks(spark, sf):
-    return table(spark, sf, "md_file").filter("text is not null").select("md_id", "paper_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\[\^\w+\])"), F.lit(1)))).alias("surface"), "text").withColumn("marker_norm", cite.marker_norm(F.col("surface"))).withColumn("start", F.position(F.col("surface"), F.col("text")) - 1)
+    return table(spark, sf, "md_file").filter("text is not null").select("md_id", "paper_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(\[\^\w+\])"), F.lit(1)))).alias("surface"), "text").withColumn("marker_norm", cite.marker_norm(F.col("surface")))
 
 
 def footnote_marks(spark, sf):
@@ -172,9 +175,19 @@ def footnote_marks(spark, sf):
     return _marks(spark, sf).join(n, ["paper_id", "marker_norm"]).select("md_id", "footnote_id", "surface", F.concat(F.lit("["), "footnote_text", F.lit("]")).alias("inserted"))
 
 
+_MARK = re.compile(r"\[\^\w+\]", re.A)
+
+
+@F.pandas_udf(extract_markdown.OCC)
+def _mark_places(text: pd.Series) -> pd.Series:
+    """Every occurrence of every mark, with its offset."""
+    return pd.Series([[{"start": m.start(), "surface": m.group()} for m in _MARK.finditer(t)] for t in text], dtype="object")
+
+
 def footnote_nearest_marker(spark, sf):
     n = table(spark, sf, "footnote").filter("start_char is not null").select("paper_id", "marker_norm", F.col("footnote_id").alias("note_ix"), F.col("start_char").alias("start")).distinct()
-    best = cite.nearest_markers(_marks(spark, sf).select("paper_id", "marker_norm", "start", "surface"), n, ["paper_id", "marker_norm"])
+    m = table(spark, sf, "md_file").filter("text is not null").select("paper_id", F.explode(_mark_places("text")).alias("o")).select("paper_id", "o.start", "o.surface").withColumn("marker_norm", cite.marker_norm(F.col("surface")))
+    best = cite.nearest_markers(m, n, ["paper_id", "marker_norm"])
     return best.select(F.col("note_ix").alias("footnote_id"), "score", F.col("occ_start").alias("mark_start"))
 
 

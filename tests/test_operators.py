@@ -1,12 +1,14 @@
 """Sentences, citations, splicing, matching and scoring on hand-made rows."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from linkweave.operators import citations as cite
 from linkweave.operators import extract_layout, extract_markdown, extract_tei, graph, matching, predicates, regions, scoring
 from linkweave.operators import sentences as sen
+from linkweave.plans.queries import QUERIES
 from linkweave.sources import mllm, tei
 
 
@@ -71,6 +73,17 @@ def test_markers_and_splicing(spark):
     assert one(spark, "[12] Smith J. Title", cite.strip_label(c)) == "Smith J. Title"
 
 
+def test_nearest_of_all_marks(spark, tmp_path):
+    text = "One[^1] two[^2]." + " x" * 50 + " Again[^1] and more." + " x" * 50 + " Last[^1] of it."
+    spark.createDataFrame([(1, "P", text), (2, "P", None)], "md_id long, paper_id string, text string").write.parquet(f"{tmp_path}/md_file.parquet")
+    notes = [(7, "P", "1", "note", 140, 1), (8, "P", "2", "note", 140, 1)]
+    spark.createDataFrame(notes, "footnote_id long, paper_id string, marker_norm string, footnote_text string, start_char int, loaded_at int").write.parquet(f"{tmp_path}/footnote.parquet")
+    got = {tuple(r) for r in QUERIES["footnote_nearest_marker"](spark, str(tmp_path)).collect()}
+    at = [m.start() for m in re.finditer(r"\[\^1\]", text)]
+    assert at[0] < at[1] <= 140 < at[2] and got == {(7, 140 - at[1], at[1]), (8, 140 - text.index("[^2]"), text.index("[^2]"))}
+    assert {tuple(r)[:3] for r in QUERIES["footnote_marks"](spark, str(tmp_path)).collect()} == {(1, 7, "[^1]"), (1, 8, "[^2]")}
+
+
 def test_entries(spark):
     refs = "1. Smith J, Doe A. Title. 2019. http://x.org/a\ncontinued\n2. Roe B. Other. 2001."
     got = one(spark, refs, cite.numbered_entries(F.col("c")))
