@@ -39,6 +39,8 @@ PAIRS = 1 << 18
 CORRECTIONS = 500_000
 #: A word is misread only if the right word is that many times as frequent.
 RATIO = 20.0
+#: Least counts of the words in each trie that is searched.
+TIERS = (0, 20, 60, 200, 1000, 5000)
 #: The share of all learned confusions a confusion needs.
 LEAST_SHARE = 0.002
 
@@ -158,10 +160,15 @@ class Language:
         self.total = sum(self.words.values())
 
     def vocabulary(self) -> dict[str, int]:
-        """The words that a misread one may have been: letters only, in lower case at least now and then, not rare."""
+        """The words that a misread one may have been, in whatever case they stand: letters only, not rare."""
         least = max(3, self.least)
+        return {w: n for w, n in self.words.items() if n >= least and w.isalpha() and len(w) > 1}
+
+
+    def lowered(self) -> set[str]:
+        """The words of the vocabulary that stand in lower case at least now and then, or are common: no names."""
         common = 0.0005 * self.total
-        return {w: n for w, n in self.words.items() if n >= least and w.isalpha() and len(w) > 1 and (self.low.get(w, 0) >= max(2, 0.02 * n) or n >= common)}
+        return {w for w, n in self.vocabulary().items() if self.low.get(w, 0) >= max(2, 0.02 * n) or n >= common}
 
 
 def edit(read: str, right: str) -> tuple[str, str]:
@@ -176,44 +183,54 @@ def edit(read: str, right: str) -> tuple[str, str]:
 
 
 def _plausible_word(w: str) -> bool:
-    return len(w) > 2 and len(w) < 40 and sum(c.isalpha() for c in w) >= 2 and not w.isupper()
+    return 1 < len(w) < 40 and any(c.isalpha() for c in w)
+
+
+def needed(w: str, n: int) -> float:
+    """How often a word must occur to be the right one of ``w``, which occurs ``n`` times."""
+    return n * (RATIO if w.isalpha() else 3.0)
 
 
 def candidates(counts: DataFrame, language: Language) -> DataFrame:
-    """``w, n, right, was, became``: all vocabulary words within distance 2 of each word that isn't well known, with their one edit."""
-    vocab = language.vocabulary()
-    held = counts.sparkSession.sparkContext.broadcast((vocab, language.top))
+    """``w, n, low, right, was, became``: of each folded word that isn't well known, all vocabulary words within distance 2
+    that occur often enough to be the right one, with their one edit. Rarer words are left out of the tries, not of the search."""
+    held = counts.sparkSession.sparkContext.broadcast((language.vocabulary(), language.words))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, _ = held.value
-        lower = Trie(w for w, n in vocab.items())
-        initial = Trie(w for w, n in vocab.items() if n >= 50)
-        two, one = Levenshtein(2), Levenshtein(1)
+        vocab, words = held.value
+        two = Levenshtein(2)
+        tries = [(least, Trie(w for w, n in vocab.items() if n >= least)) for least in TIERS]
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("w", "n", "right", "was", "became")}
-            for w, n in zip(b["s"], b["n"]):
+            out: dict[str, list] = {k: [] for k in ("w", "n", "low", "right", "was", "became")}
+            for w, n, low in zip(b["s"], b["n"], b["low"]):
                 if not _plausible_word(w):
                     continue
-                folded = w.lower()
-                titled = w[0].isupper()
-                for right, _ in (one.search(folded, initial) if titled else two.search(folded, lower)):
-                    if right == folded:
+                need = needed(w, max(n, words.get(w, 0)))
+                trie = next((t for least, t in reversed(tries) if least <= need))
+                for right, _ in two.search(w, trie):
+                    if right == w or vocab[right] < need:
                         continue
-                    was, became = edit(folded, right)
+                    was, became = edit(w, right)
                     if 1 <= len(was) <= 2 and 1 <= len(became) <= 2 and len(was) + len(became) < 4:
-                        for k, v in zip(out, (w, n, right, was, became)):
+                        for k, v in zip(out, (w, n, low, right, was, became)):
                             out[k].append(v)
             yield pd.DataFrame(out)
 
-    unknown = counts.filter("t = 'w'").select("s", "n").filter((F.col("n") * RATIO <= language.top) & F.col("s").rlike("[a-z]"))
+    unknown = counts.filter("t = 'w'").groupBy(F.lower("s").alias("s")).agg(F.sum("n").alias("n"), F.max(F.col("s") == F.lower("s")).alias("low"))
+    unknown = unknown.filter((F.col("n") * 3 <= language.top) & F.col("s").rlike(r"\p{L}"))
     # a fixed number of tasks: a search takes a millisecond, so that few bytes are much work
     unknown = unknown.repartition(max(counts.sparkSession.sparkContext.defaultParallelism, unknown.count() // 2000), F.col("s"))
-    return unknown.mapInPandas(filled(look_up), "w string, n long, right string, was string, became string")
+    return unknown.mapInPandas(filled(look_up), "w string, n long, low boolean, right string, was string, became string")
+
 
+def confusion_shares(found: DataFrame, lowered: set[str]) -> dict[tuple[str, str], float]:
+    """How large a share of misreadings each (right, read) has; learned from words in lower case with a single candidate.
 
-def confusion_shares(found: DataFrame) -> dict[tuple[str, str], float]:
-    """How large a share of misreadings each (right, read) has; learned from words in lower case with a single candidate."""
-    single = found.filter(F.col("w") == F.lower("w")).groupBy("w").agg(F.count("*").alias("k"), F.first("was").alias("was"), F.first("became").alias("became")).filter("k = 1")
+    Names and words of two characters teach nothing: they have a neighbour by chance.
+    """
+    held = found.sparkSession.sparkContext.broadcast(lowered)
+    known = F.pandas_udf(lambda r: r.isin(held.value), "boolean")
+    single = found.filter(F.col("low") & (F.length("w") > 2)).filter(known("right")).groupBy("w").agg(F.count("*").alias("k"), F.first("was").alias("was"), F.first("became").alias("became")).filter("k = 1")
     learned = single.groupBy("was", "became").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "was", "became").limit(2000).collect()
     got: dict[tuple[str, str], float] = defaultdict(float)
     for a, b in CONFUSIONS:
@@ -225,23 +242,20 @@ def confusion_shares(found: DataFrame) -> dict[tuple[str, str], float]:
 
 
 def corrections(counts: DataFrame, language: Language) -> DataFrame:
-    """``w, rights, scores``: the plausible right words of each misread one, best first by confusion and frequency."""
+    """``w, rights, scores``: the plausible right words of each misread one (folded), best first by confusion and frequency."""
     found = cut(candidates(counts, language), "p5-candidates")
-    shares = confusion_shares(found)
+    shares = confusion_shares(found, language.lowered())
     spark = counts.sparkSession
-    held = spark.sparkContext.broadcast((shares, language.vocabulary(), language.words))
+    held = spark.sparkContext.broadcast((shares, language.vocabulary()))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shares, vocab, words = held.value
+        shares, vocab = held.value
         for b in batches:
             keep, scores = [], []
-            for w, n, right, was, became in b.itertuples(index=False):
+            for right, was, became in zip(b["right"], b["was"], b["became"]):
                 p = shares.get((was, became))
-                own = max(n, words.get(w.lower(), 0))
-                digits = not w.isalpha()
-                ok = p is not None and vocab[right] >= own * (3.0 if digits else RATIO)
-                keep.append(ok)
-                scores.append(math.log(p) + math.log(vocab[right]) if ok else 0.0)
+                keep.append(p is not None)
+                scores.append(math.log(p) + math.log(vocab[right]) if p is not None else 0.0)
             yield b.assign(score=scores)[keep][["w", "right", "score"]]
 
     scored = found.mapInPandas(filled(score), "w string, right string, score double")
@@ -297,8 +311,8 @@ class Suspects(dict):
 
     def word(self, w: str) -> bool:
         if self.fixes is not None:
-            return w in self.fixes
-        return _plausible_word(w) and self.language.words.get(w.lower(), 0) * RATIO <= self.language.top
+            return w.lower() in self.fixes
+        return _plausible_word(w) and self.language.words.get(w.lower(), 0) * 3 <= self.language.top
 
     def __missing__(self, token: str) -> bool:
         hit = any(self.word(w) for w in words_of(token))
@@ -334,9 +348,9 @@ def noise_of(text: str, language: Language, suspects: Suspects) -> list[tuple[st
             if suspects.word(t):
                 before, after = tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""
                 if suspects.fixes is None:
-                    out.append(("?", f"{t}\x1f{before}\x1f{after}"))
+                    out.append(("?", f"{t.lower()}\x1f{before}\x1f{after}"))
                 else:
-                    out.append(("misread_word", choose(*suspects.fixes[t], before, after, language.pairs)))
+                    out.append(("misread_word", choose(*suspects.fixes[t.lower()], before, after, language.pairs)))
     return out
 
 
@@ -426,9 +440,11 @@ def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], li
     def fix(block: str) -> str:
         def token(m: re.Match) -> str:
             t = m.group()
-            if t not in fixes:
+            if t.lower() not in fixes:
                 return t
-            right = choose(*fixes[t], "", "", language.pairs)
+            right = choose(*fixes[t.lower()], "", "", language.pairs)
+            if t.isupper() and sum(c.isalpha() for c in t) > 1:
+                return right.upper()
             return right.capitalize() if t[0].isupper() else right
 
         def blank(m: re.Match) -> str:

@@ -68,6 +68,18 @@ def test_page_noise(spark):
     assert page_noise.page_noise(df.limit(0)).count() == 0
 
 
+def test_misread_words_in_capitals_and_short_ones(spark):
+    random.seed(6)
+    nouns = "document volume sample tournament harvest".split()
+    text = lambda: " ".join(f"The {random.choice(nouns)} of {random.choice(nouns)} in the old Sammlung was near the DOCUMENT." for _ in range(4))
+    rows = [("footnote", i, text()) for i in range(120)] + [("footnote", 900, "Docurnent was near. Volurne was 0f the old Samrnlung and 1n the D0CUMENT. NASA was near the ICA.")]
+    df = spark.createDataFrame(rows, "kind string, id long, text string")
+    got = {tuple(r)[1:] for r in page_noise.page_noise(df).collect()}
+    assert got == {(900, "misread_word", w) for w in ("document", "volume", "of", "sammlung", "in")}
+    fixed = page_noise.repair(df).filter("id = 900").first()["text"]
+    assert fixed == "Document was near. Volume was of the old Sammlung and in the DOCUMENT. NASA was near the ICA."
+
+
 # --- markup ---
 
 DOC = """# 1 Intro &amp; more
