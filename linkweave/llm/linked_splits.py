@@ -4,7 +4,7 @@ Records are related if they share an entity (here a paper or a source file), dir
 Method: a persisted table ``node, component, split, status``. A batch maps its nodes to the components they
 had, contracts the graph of what is left by hooking every node to its smallest neighbour and pointer jumping,
 and relabels: existing components keep their split, merges of components with different splits are
-quarantined, new components fill the deficits against the target shares.
+quarantined and stay so in all later batches, new components fill the deficits against the target shares.
 
 Graph tables hold a row per distinct (paper, file), not per record; every round is written to the shared
 folder. Nothing that grows with the data reaches the driver or a broadcast.
@@ -126,9 +126,11 @@ def component_splits(facts: DataFrame, comps: DataFrame, targets: DataFrame, pre
     spark = facts.sparkSession
     own = _of_component(facts, comps).groupBy("component").agg(F.sum("n").alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi"))
     if previous is not None:
-        prior = previous.select("node", F.col("split").alias("was")).join(comps, "node").groupBy("component").agg(F.min("was").alias("plo"), F.max("was").alias("phi"))
-        own = own.join(prior, "component", "full_outer").select("component", F.coalesce("n", F.lit(0)).alias("n"), F.least("lo", "plo").alias("lo"), F.greatest("hi", "phi").alias("hi"))
-    status = F.when(F.col("lo").isNull(), "new").when(F.col("lo") == F.col("hi"), "kept").otherwise("quarantined")
+        prior = previous.select("node", F.col("split").alias("was"), (F.col("status") == "quarantined").alias("held")).join(comps, "node").groupBy("component").agg(F.min("was").alias("plo"), F.max("was").alias("phi"), F.max("held").alias("held"))
+        own = own.join(prior, "component", "full_outer").select("component", F.coalesce("n", F.lit(0)).alias("n"), F.least("lo", "plo").alias("lo"), F.greatest("hi", "phi").alias("hi"), F.coalesce("held", F.lit(False)).alias("held"))
+    else:
+        own = own.withColumn("held", F.lit(False))
+    status = F.when(F.col("held"), "quarantined").when(F.col("lo").isNull(), "new").when(F.col("lo") == F.col("hi"), "kept").otherwise("quarantined")
     own = cut(own.withColumn("status", status), "p2-own")
     kept = own.filter("status <> 'new'").select("component", F.when(F.col("status") == "kept", F.col("lo")).alias("split"), "status", "n")
 

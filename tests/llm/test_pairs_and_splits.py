@@ -120,6 +120,20 @@ def test_torn_papers_and_assignment(spark):
     assert set(kept) <= set(later) and all(later[n] in (kept[n], None) for n in kept)
 
 
+def test_quarantine_lasts(spark):
+    schema = "row_id long, paper_id string, url string, file string, split string"
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
+    assign = lambda rows, table: ls.assign_splits(spark.createDataFrame(rows, schema), "row_id", targets, ("paper_id", "url"), "file", "split", previous=table)
+    _, table = assign([(1, "PMC00000001", "u", "f1", "train"), (2, "PMC00000002", "u", "f2", "test"), (3, "PMC00000003", "u", "f3", "train")], None)
+    out, table = assign([(1, "PMC00000001", "u", "f2", None)], table)
+    assert out.first()["status"] == "quarantined"
+    out, table = assign([(1, "PMC00000001", "u", "f2", None), (2, "PMC00000004", "u", "f3", None)], table)
+    assert {r["id"]: (r["split"], r["status"]) for r in out.collect()} == {1: (None, "quarantined"), 2: ("train", "kept")}
+    out, table = assign([(1, "PMC00000002", "u", "f1", "test"), (2, "PMC00000005", "u", "f3", None), (3, "PMC00000005", "u", "f1", None)], table)
+    assert {(r["split"], r["status"]) for r in out.collect()} == {(None, "quarantined")}
+    assert {r["node"]: r["status"] for r in table.collect()}["p:PMC00000004"] == "quarantined"
+
+
 def test_splits_hit_their_shares(spark):
     df = spark.range(6000).select(F.col("id").alias("row_id"), F.format_string("PMC%08d", (F.col("id") / 3).cast("int")).alias("paper_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("split"))
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
