@@ -152,7 +152,7 @@ class Page:
     """A text by lines: ``lines``, their ``kinds``, and ``found``, the furniture.
 
     ``found`` holds (line index, kind, key, strength); kinds are page_number and running_header. Strength 1 is a title
-    that may as well be the first line of a text.
+    that may as well be the first line of a text; ``skip`` holds the lines of the others.
     """
 
     def __init__(self, text: str) -> None:
@@ -185,7 +185,7 @@ class Page:
             out.append((i, "running_header", key, 2 if sure else 1))
         near = {i for i, kind, _, _ in out if kind == "page_number"}
         self.found = [(i, kind, key, 2 if kind == "running_header" and (keys[key] > 1 or near & {i - 1, i + 1, i - 2, i + 2}) else strength) for i, kind, key, strength in out]
-        self.skip = {x[0] for x in self.found}
+        self.skip = {x[0] for x in self.found if x[3] > 1}
 
 
 _DIVIDED = re.compile(rf"(?<![\w{BREAKS}’'])([^\W\d_]+)([{BREAKS}])$")

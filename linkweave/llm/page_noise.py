@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.automata import Levenshtein, Trie
-from linkweave.llm.page_lines import BLANKED, BREAKS, SPACED, Page, divided
+from linkweave.llm.page_lines import BREAKS, Page, divided
 from linkweave.session import cut, filled
 
 VOCABULARY = 200_000
@@ -330,27 +330,18 @@ def noise_of(text: str, language: Language, suspects: Suspects) -> list[tuple[st
     for head, hyphen, rest, by_line in divided(page):
         if join_word(head, hyphen, rest, by_line, language):
             out.append(("broken_word", (head + rest).lower()))
-    if not any([suspects[t] for t in text.split()]):
+    if len(out) == 0 and not any([suspects[t] for t in text.split()]):  # a divided word may be misread as a whole only
         return out
-    torn = False
-    for i, line in enumerate(page.lines):
-        if page.kinds[i] in ("code", "blank") or i in page.skip:
-            continue
-        was, torn = torn, line.rstrip()[-1:] in BREAKS and len(page.lines) > 1
-        parts = line.split()
-        if not any([suspects[t] for t in parts]):
-            continue
-        line = " ".join(parts[was : len(parts) - torn])  # without what is torn at the ends of lines
-        if any(h in line for h in SPACED):
-            line = BLANKED.sub(" ", line)
-        tokens = _TOKEN.findall(_MASK.sub(" ", line))
-        for k, t in enumerate(tokens):
-            if suspects.word(t):
-                before, after = tokens[k - 1] if k else "", tokens[k + 1] if k + 1 < len(tokens) else ""
-                if suspects.fixes is None:
-                    out.append(("?", f"{t.lower()}\x1f{before}\x1f{after}"))
-                else:
-                    out.append(("misread_word", choose(*suspects.fixes[t.lower()], before, after, language.pairs)))
+    for parts in paragraphs(page, language):
+        for code, part in parts:
+            if code or not any([suspects[t] for t in part.split()]):
+                continue
+            for _, t, before, after in in_context(part):
+                if suspects.word(t):
+                    if suspects.fixes is None:
+                        out.append(("?", f"{t.lower()}\x1f{before}\x1f{after}"))
+                    else:
+                        out.append(("misread_word", choose(*suspects.fixes[t.lower()], before, after, language.pairs)))
     return out
 
 
@@ -402,13 +393,13 @@ _REST_OF = re.compile(r"\s*([^\W\d_]+)")
 _GAPPED = re.compile(rf"([^\W\d_]+)([{BREAKS}])[ \t]+([^\W\d_]+)")
 
 
-def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], list[float]]]) -> str:
-    """The text in filled paragraphs of whole words, without furniture. Code, markup lines and addresses keep their form."""
-    if not text or text.isspace():
-        return text
-    page = Page(text)
+def paragraphs(page: Page, language: Language) -> list[list[tuple[bool, str]]]:
+    """The paragraphs of a page without furniture, words divided between lines made whole; each as parts ``(code, text)``.
+
+    The line feeds in a part of text are those of the page.
+    """
     skip, raw, kinds = page.skip, page.lines, page.kinds
-    blocks: list[str] = []
+    blocks: list[list[tuple[bool, str]]] = []
     open_ = False
     gap = False  # a blank line since the last text, not due to furniture
     for i, line in enumerate(raw):
@@ -419,46 +410,59 @@ def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], li
             gap = gap or not near
             continue
         if kinds[i] == "text":
-            last = blocks[-1] if blocks else ""
+            last = blocks[-1][-1][1] if blocks else ""
             m = _HEAD.search(last) if open_ else None
             r = _REST_OF.match(line)
             if open_ and not gap and m and r:
                 glue = "" if join_word(m.group(1), m.group(2), r.group(1), True, language) else "-"
-                blocks[-1] = last[:-1] + glue + line.strip()
+                blocks[-1] = [(False, last[:-1] + glue + line.strip())]
             elif open_ and not gap:
-                blocks[-1] = f"{last} {line.strip()}"
+                blocks[-1] = [(False, f"{last}\n{line.strip()}")]
             else:
-                blocks.append(line.strip())
+                blocks.append([(False, line.strip())])
             open_ = True
         else:
-            if blocks and not gap and kinds[i] == "code" and not open_:
-                blocks[-1] += "\n" + line
+            part = (kinds[i] == "code", line)
+            if blocks and not gap and part[0] and not open_:
+                blocks[-1].append(part)
             else:
-                blocks.append(line)
+                blocks.append([part])
             open_ = False
         gap = False
-    def fix(block: str) -> str:
-        def token(m: re.Match) -> str:
-            t = m.group()
-            if t.lower() not in fixes:
-                return t
-            right = choose(*fixes[t.lower()], "", "", language.pairs)
-            if t.isupper() and sum(c.isalpha() for c in t) > 1:
-                return right.upper()
-            return right.capitalize() if t[0].isupper() else right
-
-        def blank(m: re.Match) -> str:
-            return m.group(1) + m.group(3) if join_word(m.group(1), m.group(2), m.group(3), False, language) else m.group()
-
-        parts, at = [], 0
-        for m in _MASK.finditer(block):
-            parts.append(_TOKEN.sub(token, block[at : m.start()]))
-            parts.append(m.group())
-            at = m.end()
-        parts.append(_TOKEN.sub(token, block[at:]))
-        return _GAPPED.sub(blank, "".join(parts))
-
-    return "\n\n".join(fix(x) if "```" not in x else x for x in blocks)
+
+    def blank(m: re.Match) -> str:
+        return m.group(1) + m.group(3) if join_word(m.group(1), m.group(2), m.group(3), False, language) else m.group()
+
+    return [[(code, part if code else _GAPPED.sub(blank, part)) for code, part in parts] for parts in blocks]
+
+
+def in_context(part: str) -> Iterator[tuple[int, str, str, str]]:
+    """``(begin, word, word before, word after)`` of every word outside of addresses, formulas and markup."""
+    found = list(_TOKEN.finditer(_MASK.sub(lambda m: " " * len(m.group()), part)))
+    words = ["", *(m.group() for m in found), ""]
+    for k, m in enumerate(found):
+        yield m.start(), m.group(), words[k], words[k + 2]
+
+
+def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], list[float]]]) -> str:
+    """The text in filled paragraphs of whole words, without furniture. Code, markup lines and addresses keep their form."""
+    if not text or text.isspace():
+        return text
+
+    def fix(part: str) -> str:
+        out, at = [], 0
+        for begin, t, before, after in in_context(part):
+            if t.lower() in fixes:
+                right = choose(*fixes[t.lower()], before, after, language.pairs)
+                if t.isupper() and sum(c.isalpha() for c in t) > 1:
+                    right = right.upper()
+                elif t[0].isupper():
+                    right = right.capitalize()
+                out += [part[at:begin], right]
+                at = begin + len(t)
+        return "".join([*out, part[at:]]).replace("\n", " ")
+
+    return "\n\n".join("\n".join(part if code else fix(part) for code, part in parts) for parts in paragraphs(Page(text), language))
 
 
 def repair(records: DataFrame) -> DataFrame:

@@ -80,6 +80,27 @@ def test_misread_words_in_capitals_and_short_ones(spark):
     assert fixed == "Document was near. Volume was of the old Sammlung and in the DOCUMENT. NASA was near the ICA."
 
 
+class Words:
+    """A language of a few words and pairs."""
+
+    def __init__(self, words, pairs):
+        self.words, self.compounds, self.top, self.total = words, {}, 10_000, 100_000
+        self.pairs = np.zeros(page_noise.PAIRS, dtype=np.int64)
+        for a, b in pairs:
+            self.pairs[page_noise.pair_bucket(a, b)] = 500
+
+
+def test_repair_asks_the_neighbours_and_keeps_first_lines():
+    language = Words({"library": 50}, [("the", "barn"), ("burn", "wood")])
+    fixes = {"bnrn": (["burn", "barn"], [1.0, 0.9])}
+    text = "The History of Rome\nunderstands what the\nbnrn in the li-\nbrary holds: bnrn wood\n\\(bnrn\\)."
+    page = Page(text)
+    assert [x[3] for x in page.found] == [1]
+    assert page_noise.repaired(text, language, fixes) == "The History of Rome understands what the barn in the library holds: burn wood\n\n\\(bnrn\\)."
+    found = page_noise.noise_of(text, language, page_noise.Suspects(language, fixes))
+    assert found == [("broken_word", "library"), ("misread_word", "barn"), ("misread_word", "burn")]
+
+
 # --- markup ---
 
 DOC = """# 1 Intro &amp; more
