@@ -273,3 +273,28 @@ def test_subjects_on_held_out(spark):
     assert not {900, 901, 902} & set(got)
     assert subjects.subjects_of(df.limit(0), lab, names).count() == 0
     assert subjects.subjects_of(df.limit(5), lab.limit(0), names).count() == 0
+
+
+def test_frequent_sets_by_brute_force(spark, monkeypatch):
+    from itertools import combinations
+
+    monkeypatch.setattr(subjects, "TREE", 40)
+    random.seed(2)
+    rows = [("s", "", " ".join(random.sample("abcdefgh", random.randint(0, 5))), random.randrange(3), random.randint(1, 3)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "t string, lang string, s string, c int, n long").repartition(3)
+    want = Counter()
+    for _, _, s, c, n in rows:
+        known = [w for w in "abcdef" if w in s.split()]
+        for x in [(w, "") for w in known] + list(combinations(known, 2)):
+            want[(*x, c)] += n
+    got = {(r["a"], r["b"], r["c"]): r["n"] for r in subjects.frequent_sets(df, list("abcdef"), 3).collect()}
+    assert got == dict(want)
+
+
+def test_repeated_long_sentences_stay_cheap(spark):
+    text = " ".join(f"topical{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}" for i in range(60))
+    rows = [("s", "", text, i % 2, 1) for i in range(1000)] + [("s", "", " ".join(f"w{i}" for i in range(5000)), 0, 1)]
+    df = spark.createDataFrame(rows, "t string, lang string, s string, c int, n long")
+    sets = subjects.frequent_sets(df, [*text.split(), *[f"w{i}" for i in range(5000)]], 2)
+    assert sets.filter("a like 'topical%' and b = ''").count() == 120 and sets.filter("a like 'topical%' and b <> ''").count() == 60 * 59
+    assert sets.filter("a like 'w%' and b = ''").count() == 5000
