@@ -57,18 +57,39 @@ def test_hot_group_and_small_filter(spark, monkeypatch):
     assert fd.collapse(df.limit(0), "row_id", ("paper_id", "url"), ("target", "_h")).count() == 0
 
 
+def hits(h, filters):
+    lane = fd.lane_of(h, len(filters))
+    return np.array([fd._hit(h[i : i + 1], np.frombuffer(filters[k][0], np.uint8), filters[k][1])[0] for i, k in enumerate(lane.astype(int))])
+
+
 def test_filter_has_no_false_negative(spark):
     rng = np.random.default_rng(1)
     h = rng.integers(-(2**62), 2**62, 5000)
     df = spark.createDataFrame([(int(x),) for x in [*h, *h[:300]]], "h long").repartition(7)
-    bitmap, bits = fd.repeated_filter(df, 5300)
-    m = np.frombuffer(bitmap, np.uint8)
-    hit = np.ones(5000, dtype=bool)
-    for p in fd._positions(h.astype(np.int64), bits):
-        hit &= (m[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+    hit = hits(h, fd.repeated_filters(df, 5300))
     assert hit[:300].all() and hit[300:].mean() < 0.05
 
 
+def test_small_filters_are_as_many_as_needed(spark, monkeypatch):
+    """4,096 bits hold 256 hashes: 2,000 repeats need eight filters or more, and few others pass."""
+    monkeypatch.setattr(fd, "RANGE_ROWS", 100)
+    rng = np.random.default_rng(2)
+    h = rng.integers(-(2**62), 2**62, 20_000)
+    df = spark.createDataFrame([(int(x),) for x in [*h, *h[:2000]]], "h long").repartition(5)
+    filters = fd.repeated_filters(df, 22_000, max_bits=4096)
+    assert len(filters) >= 8 and all(bits <= 4096 for _, bits in filters)
+    hit = hits(h, filters)
+    assert hit[:2000].all() and hit[2000:].mean() < 0.05
+    rows = [(i, f"PMC{i % 3000}", "u", "t", None) for i in range(4000)]
+    rec = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    maybe = fd.possible_repeats(rec, "row_id", ("paper_id", "url"), ("target", "_h"), max_bits=4096)
+    assert maybe.count() == 4000 and 2000 <= maybe.filter("_maybe").count() < 2200
+    assert fd.copy_pairs(rec, "row_id", ("paper_id", "url"), ("target", "_h"), max_bits=4096).count() == 1000
+    monkeypatch.setattr(fd, "TASK_ROWS", 10)  # a hot group is dealt out
+    hot = spark.createDataFrame([(i, "PMC1", "u", "t", None) for i in range(95)] + [(100, "PMC2", "u", "t", None)], SCHEMA)
+    assert {tuple(r) for r in fd.copy_groups(hot, "row_id", ("paper_id", "url"), ("target", "_h")).collect()} == {(i, 0, 95) for i in range(95)}
+
+
 def test_torn_papers_and_assignment(spark):
     random.seed(8)
     rows = []
