@@ -85,7 +85,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p8_mixed(spark: SparkSession, sf: str) -> DataFrame:
-    return mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")).withColumnRenamed("id", "doc_id")
+    return mixing.mix(_sized(spark, sf), table(spark, sf, "mix_target")).select(F.col("id").alias("doc_id"), "source", "tokens", "copies")
 
 
 def p8_shares(spark: SparkSession, sf: str) -> DataFrame:

@@ -208,11 +208,14 @@ def test_pivotal_rounding(spark, monkeypatch):
     monkeypatch.setattr(mixing, "BLOCK", 50)
     rng = np.random.default_rng(3)
     p = rng.random(3000)
-    df = spark.createDataFrame([(i, "g" if i % 3 else "h", float(x)) for i, x in enumerate(p)], "id long, grp string, p double")
+    size = rng.integers(1, 5000, 3000)
+    df = spark.createDataFrame([(i, "g" if i % 3 else "h", float(x), int(n)) for i, (x, n) in enumerate(zip(p, size))], "id long, grp string, p double, size long")
     got = {r["id"]: r["extra"] for r in mixing.round_fractions(df, seed=1).collect()}
     assert len(got) == 3000 and set(got.values()) <= {0, 1}
     for keep in (lambda i: i % 3, lambda i: not i % 3):
         assert abs(sum(got[i] for i in got if keep(i)) - sum(p[i] for i in got if keep(i))) <= 1
+        # by size too: what a block passes on is one row of it at most
+        assert abs(sum(got[i] * size[i] for i in got if keep(i)) - sum(p[i] * size[i] for i in got if keep(i))) <= 0.005 * sum(size[i] for i in got if keep(i))
     assert got == {r["id"]: r["extra"] for r in mixing.round_fractions(df.repartition(3), seed=1).collect()}
     hit = np.mean([[got2 for got2 in mixing._pivot(np.arange(4) + 10 * s, np.array([0.2, 0.5, 0.7, 0.6]), s, True)[0]] for s in range(3000)], axis=0)
     assert np.allclose(hit, [0.2, 0.5, 0.7, 0.6], atol=0.04)
@@ -229,7 +232,14 @@ def test_mixture(spark):
     total = sized.agg(F.sum("tokens")).first()[0]
     s = {r["source"]: r for r in mixing.shares(m, targets).collect()}
     assert s["small"]["held_back"] and s["none"]["held_back"] and not s["big"]["held_back"] and abs(s["big"]["tokens_used"] / total - 0.5) < 0.02 and s["none"]["tokens_used"] == 0
-    assert {r["source"] for r in mixing.held_back(sized, targets).collect()} == {"small", "none"}
+    assert s["small"]["used_up"] and s["none"]["used_up"] and not s["big"]["used_up"]
+    for r in s.values():
+        assert abs(r["tokens_used"] / total - r["reachable_share"]) < 0.002
+    # short because its texts repeat, not because of its cap
+    twice = spark.createDataFrame([(i, f"Text {i % 10} of a few words", "dup") for i in range(40)] + [(100 + i, f"Other text {i} of many more words", "rest") for i in range(20)], "doc_id long, text string, source string")
+    goal = spark.createDataFrame([("dup", 0.5, 1), ("rest", 0.5, 9)], "source string, target_share double, max_repeats long")
+    r = {x["source"]: x for x in mixing.shares(mixing.mix(mixing.sizes(twice, "doc_id", "text", "source"), goal), goal).collect()}
+    assert r["dup"]["used_up"] and not r["dup"]["held_back"] and r["dup"]["reachable_share"] < 0.5 and not r["rest"]["used_up"]
     assert mixing.mix(mixing.sizes(df.limit(0), "doc_id", "text", "source"), targets).count() == 0
 
 
