@@ -34,6 +34,28 @@ def p2_assigned(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("row_id"), "component", "split", "status")
 
 
+def _roots(comps: DataFrame) -> DataFrame:
+    """``node, root``: the components of a table, named by their smallest node."""
+    return comps.join(comps.groupBy("component").agg(F.min("node").alias("root")), "component").select("node", "root", *[c for c in comps.columns if c not in ("node", "component")])
+
+
+def p2_status(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole components and what becomes of them; the split only where one was given, as new ones are dealt by hashes."""
+    _, t = linked_splits.assign_splits(table(spark, sf, "pmc_footnote_gold"), "row_id", table(spark, sf, "split_target"), ("paper_id", "url"), "file", "split")
+    return _roots(t).select("node", "root", "status", F.when(F.col("status") == "kept", F.col("split")).alias("split"), "n")
+
+
+def p2_next(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows in three batches in the order of their loading, each over the table of the one before: the last table."""
+    rows = table(spark, sf, "pmc_footnote_gold")
+    first, second = rows.agg(F.percentile_approx(F.unix_micros(F.col("loaded_at").cast("timestamp")), [1 / 3, 2 / 3], 10_000)).first()[0] or (0, 0)
+    at = F.coalesce(F.unix_micros(F.col("loaded_at").cast("timestamp")), F.lit(0))
+    known = None
+    for batch in (rows.filter(at <= first), rows.filter((at > first) & (at <= second)), rows.filter(at > second)):
+        _, known = linked_splits.assign_splits(batch, "row_id", table(spark, sf, "split_target"), ("paper_id", "url"), "file", "split", previous=known)
+    return _roots(known).select("node", "root", "n")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = lookalikes.look_alike_pairs(table(spark, sf, "pmc_footnote_gold"), "row_id", "paper_id", ("url", "target"))
     return pairs.select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
@@ -114,6 +136,8 @@ QUERIES = {
     "p1_collapsed": p1_collapsed,
     "p2_found": p2_found,
     "p2_assigned": p2_assigned,
+    "p2_status": p2_status,
+    "p2_next": p2_next,
     "p4_found": p4_found,
     "p4_consistent": p4_consistent,
     "p5_found": p5_found,
@@ -143,13 +167,22 @@ ids as (
          regexp_replace(upper(coalesce(paper_id, '')), '[^\p{L}\p{N}]+', '', 'g') as a, regexp_replace(upper(coalesce(url, '')), '[^\p{L}\p{N}]+', '', 'g') as b
   from pmc_footnote_gold),
 facts as (
-  select distinct case when regexp_full_match(a, 'PMC[0-9]{8}') then a when regexp_full_match(b, 'PMC[0-9]{8}') then b end as paper, file, split from ids),
+  select case when regexp_full_match(a, 'PMC[0-9]{8}') then a when regexp_full_match(b, 'PMC[0-9]{8}') then b end as paper, file, split, count(*) as n from ids group by all),
 ends as (select distinct 'p:' || paper as p, 'f:' || file as f from facts where paper is not null and file is not null),
 links as (select p as a, f as b from ends union select f, p from ends),
 nodes as (select distinct 'p:' || paper as n from facts where paper is not null),
 walk as (select n, n as root from nodes union select l.b, w.root from walk w join links l on l.a = w.n)
 """
 
+_P2_ROOTS = (
+    _P2_LINKED.replace("nodes as (select distinct 'p:' || paper as n from facts where paper is not null)", "nodes as (select 'p:' || paper as n from facts where paper is not null union select 'f:' || file from facts where file is not null)").rstrip()
+    + """,
+rooted as (select n as node, min(root) as root from walk group by n),
+sized as (
+  select r.node, r.root, coalesce(sum(t.n), 0)::bigint as n from rooted r left join facts t on r.node = coalesce('p:' || t.paper, 'f:' || t.file) group by r.node, r.root)
+"""
+)
+
 ORACLE_SQL = {
     "p1_found": f"with {_P1_KEYED} select a.row_id as row_id_a, b.row_id as row_id_b from grouped a join grouped b on a.g = b.g and a.row_id < b.row_id",
     "p1_collapsed": f"with {_P1_KEYED} select min(row_id) as row_id, count(*) as n_copies from grouped group by g",
@@ -159,4 +192,10 @@ splits as (
   select w.root, t.split from walk w join facts t on w.n = 'p:' || t.paper where t.split is not null
   union select w.root, t.split from walk w join facts t on w.n = 'f:' || t.file where t.split is not null)
 select root[3:] as paper_id from splits group by root having count(distinct split) > 1""",
+    "p2_status": f"""
+with recursive {_P2_ROOTS},
+given as (select r.root, min(t.split) as lo, max(t.split) as hi from facts t join rooted r on r.node = coalesce('p:' || t.paper, 'f:' || t.file) and t.split in ('train', 'validation', 'test') group by r.root)
+select r.node, r.root, case when g.lo is null then 'new' when g.lo = g.hi then 'kept' else 'quarantined' end as status, case when g.lo = g.hi then g.lo end as split, r.n
+from sized r left join given g on r.root = g.root""",
+    "p2_next": f"with recursive {_P2_ROOTS} select node, root, n from sized",
 }

@@ -155,6 +155,30 @@ def test_quarantine_lasts(spark):
     assert {r["node"]: r["status"] for r in table.collect()}["p:PMC00000004"] == "quarantined"
 
 
+def test_untouched_quarantine_release_and_totals_of_all_batches(spark):
+    schema = "row_id long, paper_id string, url string, file string, split string"
+    targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
+    assign = lambda rows, table: ls.assign_splits(spark.createDataFrame(rows, schema), "row_id", targets, ("paper_id", "url"), "file", "split", previous=table)
+    state = lambda table: {r["node"]: (r["split"], r["status"], r["n"]) for r in table.collect()}
+    _, table = assign([(1, "PMC00000001", "u", "f1", "train"), (2, "PMC00000001", "u", None, "test"), *[(10 + i, f"PMC{i + 10:08d}", "u", None, "train") for i in range(80)]], None)
+    assert state(table)["p:PMC00000001"] == state(table)["f:f1"][:2] + (2,) == (None, "quarantined", 2)
+    _, table = assign([(1, "PMC00000002", "u", None, None)], table)  # an unrelated paper
+    got = state(table)
+    assert got["f:f1"] == (None, "quarantined", 0) and got["p:PMC00000010"] == ("train", "kept", 1) and len(got) == 83
+    # 80 rows are train by now, so that new ones fill validation and test
+    out, table = assign([(i, f"PMC{i:08d}", "u", None, None) for i in range(1000, 1019)], table)
+    n = {}
+    for r in out.collect():
+        n[r["split"]] = n.get(r["split"], 0) + 1
+    assert n.get("train", 0) <= 1 and abs(n["validation"] - n["test"]) <= 3
+    held = next(r["component"] for r in table.collect() if r["status"] == "quarantined")
+    table = ls.released(table, spark.createDataFrame([(held, "test")], "component string, split string"))
+    out, table = assign([(1, "PMC00000001", "u", "f9", None)], table)
+    assert tuple(out.select("split", "status").first()) == ("test", "kept") and state(table)["f:f9"] == ("test", "kept", 0) and state(table)["p:PMC00000001"][2] == 3
+    out, table2 = ls.assign_splits(spark.createDataFrame([], schema), "row_id", targets, ("paper_id", "url"), "file", "split", previous=table)
+    assert out.count() == 0 and state(table2) == state(table)
+
+
 def test_splits_hit_their_shares(spark):
     df = spark.range(6000).select(F.col("id").alias("row_id"), F.format_string("PMC%08d", (F.col("id") / 3).cast("int")).alias("paper_id"), F.lit("u").alias("url"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("string").alias("split"))
     targets = spark.createDataFrame([("train", 0.8), ("validation", 0.1), ("test", 0.1)], "split string, target_share double")
