@@ -1,14 +1,15 @@
 """Clean text from HTML, Markdown, wiki and LaTeX markup, keeping headings, list items, code blocks and formulas.
 
-Method: a text becomes a tree of nodes that may be one of these; gradient-boosted trees over the nodes' features
-(subtree density, attribute tokens, depth, siblings, form of the content) give each node probabilities of the five
-kinds; decoding goes by the tree: a code block is chosen or not together with what is proposed inside it, and of
-spans that overlap the likelier stays, so that no node contradicts its ancestors.
+Method: a text becomes a tree of nodes; gradient-boosted trees over the nodes' features
+(subtree density, attribute tokens, depth, statistics of siblings, what stands above, form of the content) give each node probabilities of all five
+kinds; decoding is hierarchical: of all choices for the tree without contradictions (nothing within code or a formula, formulas alone within a
+heading, no heading within an item) the likeliest is found from the leaves up, and of formulas that share a sign the likelier stays.
 
 The trees are fitted here, on the nodes of at most ``SAMPLE`` documents (the first by the hash of their id; a
 parameter): paired tags, environments and commands label what they enclose, numbered lines are labelled by their
-neighbours, dollar signs by what stands between them. The model is a few thousand numbers; every document is parsed
-and decoded with it.
+neighbours, dollar signs by what stands between them; what is ambiguous has no label, and the kind of markup is hidden in a third of the rows, so that
+the other features count. The model is a few thousand numbers; every document is parsed and decoded with it. Fields with an address go the same way: what
+stands within each layer of markup is a node, and of the nodes of a field the likeliest is the address (``FIELDS`` fields are the sample).
 
 Defined results: null, empty and blank texts have no pieces, and come out as they are; a block that isn't closed goes
 to the end of the text; pieces without content are none; repeats within a record come once in ``pieces``; texts
@@ -28,22 +29,22 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from linkweave.llm.boosted_trees import BoostedTrees
-from linkweave.llm.markup_tree import AMOUNT, KINDS, Node, clean, features, parse, piece
+from linkweave.llm.markup_tree import CODES, FAMILIES, KINDS, Node, clean, features, parse, piece
 from linkweave.session import filled
 
 SAMPLE = 1500
+FIELDS = 5000
 SEED = 7
 
 _HEADINGS = ("hash", "underlined", "equals", "h", "section")
-_CODES = ("fence", "pre", "highlight", "verbatim")
 _SURE_FORMULAS = ("dollars", "bracket", "paren", "equation", "math")
 _COMMAND = re.compile(r"\\[A-Za-z]+|[=^_<>]")
 
 
 def label(x: Node, nodes: list[Node]) -> int | None:
     """The kind that the markup of a node gives it, or None where it doesn't tell."""
-    if x.parent >= 0 and nodes[x.parent].facts.get("closed", 1):
-        return 0
+    if x.coded:
+        return 0 if nodes[x.parent].facts.get("closed", 1) else None
     words = len(re.findall(r"[^\W\d_]{3,}", x.content))
     if x.family == "text":
         return 0
@@ -52,11 +53,11 @@ def label(x: Node, nodes: list[Node]) -> int | None:
     if x.family in ("li", "latexitem"):
         return 2
     if x.family in ("bullet", "stars"):
-        return 2 if x.mates and not x.facts.get("glued") else None
+        return 2 if (x.mates or x.below) and not x.facts.get("glued") else None
     if x.family == "ordered":
-        return 2 if x.follows else 0 if x.facts.get("glued") and not x.mates else None
-    if x.family in _CODES:
-        return 3 if x.facts.get("closed") else None
+        return 2 if x.follows else 0 if not x.mates and (x.facts.get("glued") or x.number != 1) else None
+    if x.family in CODES:
+        return 3
     if x.family in _SURE_FORMULAS:
         return 4
     if x.family == "dollar":
@@ -73,53 +74,61 @@ def fit(texts: list[str], seed: int = SEED) -> BoostedTrees:
     for t in texts:
         nodes = parse(t)
         for x in nodes:
+            if x.family in _PLAIN:
+                continue
             y = label(x, nodes)
             if y is not None:
                 rows.append(features(x, nodes))
                 kinds.append(y)
-    model = BoostedTrees(len(KINDS))
+    model = BoostedTrees(len(KINDS), rounds=24, depth=4, hot=len(FAMILIES))
     if not rows:
         return model
     x, y = np.array(rows, dtype=np.uint8), np.array(kinds)
+    x[np.random.default_rng(seed).random(len(x)) < 1 / 3, : len(FAMILIES)] = 0
     return model.fit(x, y)
 
 
-_MAY = {f: 1 for f in _HEADINGS} | {f: 3 for f in _CODES} | {f: 4 for f in (*_SURE_FORMULAS, "dollar")} | {f: 2 for f in ("bullet", "ordered", "stars", "li", "latexitem")} | {"text": 0}
-_ALLOWED = {f: np.where(np.isin(np.arange(len(KINDS)), (0, k)), 0.0, -np.inf) for f, k in _MAY.items()}
-
-
-_TEXT = b"text"
-
-
-def decode(nodes: list[Node], logp: np.ndarray) -> list[int]:
-    """The kind of every node: of all choices without contradiction, the likeliest. Kinds that its markup can't mean have -inf."""
-    out = [int(k) for k in logp.argmax(1)] if len(nodes) else []
-    inside: dict[int, list[int]] = {}
+_NONE, _HEADING, _ITEM, _CODE, _FORMULA = range(len(KINDS))
+#: Running text, containers and rows of tables aren't pieces of any kind.
+_PLAIN = ("text", "box", "row")
+_PLAIN_SCORE = [0.0, *[-np.inf] * (len(KINDS) - 1)]
+#: By context (free, in a heading, in an item, in code or a formula): the kinds a node may be, and the context below it for each.
+_MAY = ((_NONE, _HEADING, _ITEM, _CODE, _FORMULA), (_NONE, _FORMULA), (_NONE, _ITEM, _CODE, _FORMULA), (_NONE,))
+_BELOW = {_NONE: None, _HEADING: 1, _ITEM: 2, _CODE: 3, _FORMULA: 3}
+
+
+def decode(nodes: list[Node], logp: list[list[float]]) -> list[int]:
+    """The kind of every node: of all choices for the tree without contradiction, the likeliest."""
+    n = len(nodes)
+    below = [[0.0] * len(_MAY) for _ in range(n)]  # by context: the best of what is below a node
+    pick = [[0] * len(_MAY) for _ in range(n)]
+    for i in range(n - 1, -1, -1):  # parents stand before what is below them
+        p, acc = logp[i], below[i]
+        up = below[nodes[i].parent] if nodes[i].parent >= 0 else None
+        for ctx, may in enumerate(_MAY):
+            best, top = 0, -np.inf
+            for k in may:
+                s = p[k] + acc[ctx if k == _NONE else _BELOW[k]]
+                if s > top:
+                    best, top = k, s
+            pick[i][ctx] = best
+            if up is not None:
+                up[ctx] += top
+    out, context = [0] * n, [0] * n
     for i, x in enumerate(nodes):
-        if x.parent >= 0:
-            inside.setdefault(x.parent, []).append(i)
-    for p, kids in inside.items():
-        as_code = logp[p, 3] + sum(logp[i, 0] for i in kids)
-        apart = max(logp[p, k] for k in range(len(KINDS)) if k != 3) + sum(logp[i].max() for i in kids)
-        if as_code >= apart:
-            out[p] = 3
-            for i in kids:
-                out[i] = 0
-        else:
-            out[p] = int(np.argmax(np.where(np.arange(len(KINDS)) == 3, -np.inf, logp[p])))
+        ctx = context[x.parent] if x.parent >= 0 else 0
+        out[i] = pick[i][ctx]
+        context[i] = ctx if out[i] == _NONE else _BELOW[out[i]]
     last: int | None = None
-    for i, x in enumerate(nodes):  # dollar signs are shared by neighbouring spans
-        if x.family != "dollar":
-            last = None if x.family in ("text", "hash", "ordered", "bullet") else last
+    for i, x in enumerate(nodes):  # signs are shared by neighbouring spans
+        if x.span is None or out[i] != _FORMULA:
             continue
-        if out[i] == 4:
-            prev = nodes[last] if last is not None else None
-            if prev is not None and prev.line == x.line and prev.facts["end"] == x.facts["begin"]:
-                if logp[last, 4] >= logp[i, 4]:
-                    out[i] = 0
-                    continue
-                out[last] = 0
-            last = i
+        if last is not None and nodes[last].parent == x.parent and nodes[last].span[1] > x.span[0]:
+            if logp[last][_FORMULA] >= logp[i][_FORMULA]:
+                out[i] = _NONE
+                continue
+            out[last] = _NONE
+        last = i
     return out
 
 
@@ -128,23 +137,20 @@ class Decoder:
 
     def __init__(self, model: BoostedTrees) -> None:
         self.model = model
-        self.known: dict[bytes, np.ndarray] = {_TEXT: _ALLOWED["text"]}
+        self.known: dict[bytes, list[float]] = {}
 
-    def __call__(self, text: str) -> list[tuple[str, Node]]:
+    def __call__(self, text: str) -> tuple[list[int], list[Node]]:
+        """The kinds of the nodes of a text, and the nodes."""
         nodes = parse(text)
-        if not nodes:
-            return []
-        # running text may be nothing but text, so it needs no score
-        keys = [_TEXT if x.family == "text" else bytes(features(x, nodes)) for x in nodes]
-        new = list({k for k in keys if k not in self.known})
+        keys = [b"" if x.family in _PLAIN else bytes(features(x, nodes)) for x in nodes]
+        new = list({k for k in keys if k and k not in self.known})
+        if len(self.known) + len(new) > 500_000:
+            self.known.clear()
+            new = list({k for k in keys if k})
         if new:
             got = self.model.log_probabilities(np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1))
-            if len(self.known) > 500_000:
-                self.known = {_TEXT: self.known[_TEXT]}
-                return self(text)
-            self.known.update(zip(new, got))
-        logp = np.array([self.known[k] + (_ALLOWED["text"] if x.family == "dollar" and AMOUNT.match(x.content) else _ALLOWED[x.family]) for k, x in zip(keys, nodes)])
-        return [(KINDS[k], x) for k, x in zip(decode(nodes, logp), nodes)]
+            self.known.update(zip(new, got.tolist()))
+        return decode(nodes, [self.known[k] if k else _PLAIN_SCORE for k in keys]), nodes
 
 
 def sample_texts(docs: DataFrame, limit: int = SAMPLE) -> list[str]:
@@ -166,52 +172,68 @@ def pieces(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
             rows: dict[tuple, None] = {}
             for i, text in zip(b["id"], b["text"]):
                 if text and not text.isspace():
-                    for kind, x in decoder(text):
-                        if kind != "none" and (c := piece(kind, x)):
-                            rows[(i, kind, c)] = None
+                    for k, x in zip(*decoder(text)):
+                        if k and (c := piece(KINDS[k], x)):
+                            rows[(i, KINDS[k], c)] = None
             yield pd.DataFrame(list(rows), columns=["id", "piece", "content"])
 
     return docs.filter("text is not null").select("id", "text").mapInPandas(filled(run), "id long, piece string, content string").distinct()
 
 
 def cleaned(text: str, decoder: Decoder) -> str:
-    """The text in plain form: a line for a heading, dashes before items, code between fences, formulas between dollar signs."""
+    """The text in plain form: a line for a heading, dashes before items, code between fences, formulas between dollar signs. No text is left out."""
     if not text or text.isspace():
         return text
+    kinds, nodes = decoder(text)
+    spans: dict[int, list[int]] = {}
+    for i, x in enumerate(nodes):
+        if x.span is not None and kinds[i] == _FORMULA:
+            spans.setdefault(x.parent, []).append(i)
+
+    def running(i: int) -> str:
+        """The content of a node, cleaned around its formulas."""
+        content = nodes[i].content
+        kept, out, at = [], [], 0
+        for j in spans.get(i, ()):
+            a, b = nodes[j].span
+            out += [content[at:a], f"\ue000{len(kept)}\ue001"]
+            sign = "$" if nodes[j].family in ("dollar", "paren", "math") else "$$"
+            kept.append(f"{sign}{piece('formula', nodes[j])}{sign}")
+            at = b
+        t = clean("".join([*out, content[at:]]))
+        return re.sub("\ue000(\\d+)\ue001", lambda m: kept[int(m.group(1))] if int(m.group(1)) < len(kept) else m.group(), t)
+
     out: list[str] = []
-    formulas: list[tuple[int, Node]] = []
-    items = False
-    for kind, x in decoder(text):
-        if x.parent >= 0:
+    before = ""
+    for i, (k, x) in enumerate(zip(kinds, nodes)):
+        if x.span is not None or x.family == "box" or x.coded and any(kinds[p] == _CODE for p in _above(nodes, i)):
             continue
-        if kind == "heading":
-            out.append(clean(x.content))
-        elif kind == "item":
-            line = "- " + clean(x.content)
-            out[-1:] = [out[-1] + "\n" + line] if items and out else [*out[-1:], line]
-        elif kind == "code":
+        kind = "item" if k == _ITEM else "row" if x.family == "row" else KINDS[k]
+        if k == _CODE:
             body = unescape(x.content) if x.family == "pre" else x.content
-            out.append(f"```\n{body}\n```")
-        elif kind == "formula":
-            if x.family in ("dollar", "paren") or x.facts.get("span"):
-                formulas.append((x.line, x))
-            elif out and x.raw.strip() in out[-1]:
-                pass
+            t = f"```\n{body}\n```"
+        elif k == _FORMULA:
+            t = f"$${piece('formula', x)}$$"
+        elif k == _NONE and x.family == "ordered" and x.facts.get("glued"):
+            continue  # its line is kept in its paragraph
+        elif k == _NONE and x.family in CODES and x.facts.get("closed", 1) == 0:
+            t = "\n".join(x.content.split("\n"))
+        else:
+            t = running(i)
+            if k == _ITEM and t:
+                t = "  " * sum(kinds[p] == _ITEM for p in _above(nodes, i)) + "- " + t
+        if t:
+            if out and kind == before and kind in ("item", "row"):
+                out[-1] += "\n" + t
             else:
-                out.append(f"$${piece('formula', x)}$$")
-        elif x.family == "text":
-            kept: list[str] = []
+                out.append(t)
+        before = kind
+    return "\n\n".join(out)
 
-            def hold(m: re.Match, kept: list[str] = kept) -> str:
-                inner = next(g for g in m.groups() if g is not None)
-                kept.append("$" + " ".join(unescape(inner).split()) + "$")
-                return f"\x00{len(kept) - 1}\x00"
 
-            t = re.sub(r"<math\b[^>]*>(.*?)</math>|\\\((.+?)\\\)|(?<![\\$])\$(?=\S)([^$]*[\\=^_<>][^$]*)(?<=\S)\$(?!\$)", hold, x.content, flags=re.S)
-            t = clean(t)
-            out.append(re.sub(r"\x00(\d+)\x00", lambda m, kept=kept: kept[int(m.group(1))], t))
-        items = kind == "item"
-    return "\n\n".join(t for t in out if t)
+def _above(nodes: list[Node], i: int) -> Iterator[int]:
+    while (i := nodes[i].parent) >= 0:
+        yield i
 
 
 def clean_texts(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
@@ -228,56 +250,125 @@ def clean_texts(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
 
 # --- addresses with remains of markup ---
 
-_ADDRESS = re.compile(r"(?:https?|ftps?|sftp)://[^\s<>\"{}|\\^`]+|www\.[^\s<>\"{}|\\^`]+", re.I)
+_ADDRESS = re.compile(r"(?:(?:https?|ftps?|sftp)://|www\.)[^\s<>\"{}|\\^`]+$", re.I)
+_ENTITY = re.compile(r"&(?:amp|lt|gt|quot|apos|nbsp|#\d{1,6}|#x[0-9a-fA-F]{1,6});")
 _TEX = [(re.compile(r"\\textasciitilde\s*(?:\{\})?|\\~(?:\{\})?|\$\\sim\$|\\sim\b"), "~"), (re.compile(r"\\([_&%#$~{}])"), r"\1")]
-_AROUND = [
-    re.compile(r"^\{\{.*?\burl\s*=\s*([^|}\s]+).*\}\}$", re.S),
-    re.compile(r"^<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>.*$", re.I | re.S),
-    re.compile(r"^!?\[[^\]]*\]\(\s*<?(.*?)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)$", re.S),
-    re.compile(r"^\]\(\s*(.*?)\s*\)?$", re.S),
-    re.compile(r"^\[[^\]]*\]:\s*<?(\S+?)>?(?:\s.*)?$", re.S),
-    re.compile(r"^\[((?:https?|ftp)://\S+|www\.\S+)(?:\s[^\]]*)?\]$", re.I),
-    re.compile(r"^\(?\\footnote\{(.*)\}\)?$", re.S),
-    re.compile(r"^\\href\s*\{((?:[^{}]|\{[^{}]*\})*)\}\s*(?:\{.*\})?$", re.S),
-    re.compile(r"^\\(?:url|texttt|path|nolinkurl|emph|textit|textbf)\s*\{(.*)\}$", re.S),
-    re.compile(r"^\{\\\w+\s+(.*)\}$", re.S),
-    re.compile(r"^<(ref|code|p|b|i|em|strong|span|tt|li|td|u|cite|q|sup|sub)\b[^>]*>(.*?)</\1>$", re.I | re.S),
-    re.compile(r"^<((?:https?|ftp)://[^<>]*|www\.[^<>]*)>$", re.I),
-    re.compile(r"^(.*?)(?:</?[A-Za-z][^<>]*>)+$", re.S),
-    re.compile(r"^(?:</?[A-Za-z][^<>]*>)+(.*)$", re.S),
-    re.compile(r"^'{2,5}(.*?)'{2,5}$", re.S),
-    re.compile(r"^(\*{1,3})(.*)\1$", re.S),
-    re.compile(r"^(_{1,2})(.*)\1$", re.S),
-    re.compile(r"^`+(.*?)`+$", re.S),
+#: Layers of markup by family, each with what stands within it.
+LAYERS = [
+    ("template", re.compile(r"^\{\{.*?\burl\s*=\s*([^|}\s]+).*\}\}$", re.S)),
+    ("anchor", re.compile(r"^<a\b[^>]*?\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))[^>]*>.*$", re.I | re.S)),
+    ("link", re.compile(r"^!?\[[^\]]*\]\(\s*<?(.*?)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)$", re.S)),
+    ("link", re.compile(r"^\]\(\s*(.*?)\s*\)?$", re.S)),
+    ("definition", re.compile(r"^\[[^\]]*\]:\s*<?(\S+?)>?(?:\s.*)?$", re.S)),
+    ("bracket", re.compile(r"^\[((?:https?|ftp)://\S+|www\.\S+)(?:\s[^\]]*)?\]$", re.I)),
+    ("command", re.compile(r"^\(?\\footnote\{(.*)\}\)?$", re.S)),
+    ("command", re.compile(r"^\\href\s*\{((?:[^{}]|\{[^{}]*\})*)\}\s*(?:\{.*\})?$", re.S)),
+    ("command", re.compile(r"^\\(?:url|texttt|path|nolinkurl|emph|textit|textbf)\s*\{(.*)\}$", re.S)),
+    ("command", re.compile(r"^\{\\\w+\s+(.*)\}$", re.S)),
+    ("element", re.compile(r"^<(ref|code|p|b|i|em|strong|span|tt|li|td|u|cite|q|sup|sub)\b[^>]*>(.*?)</\1>$", re.I | re.S)),
+    ("angle", re.compile(r"^<((?:https?|ftp)://[^<>]*|www\.[^<>]*)>$", re.I)),
+    ("tags", re.compile(r"^(.*?)(?:</?[A-Za-z][^<>]*>)+$", re.S)),
+    ("tags", re.compile(r"^(?:</?[A-Za-z][^<>]*>)+(.*)$", re.S)),
+    ("quotes", re.compile(r"^'{2,5}(.*?)'{2,5}$", re.S)),
+    ("stars", re.compile(r"^(\*{1,3})(.*)\1$", re.S)),
+    ("strokes", re.compile(r"^(_{1,2})(.*)\1$", re.S)),
+    ("ticks", re.compile(r"^`+(.*?)`+$", re.S)),
 ]
+_LAYER = {f: k for k, f in enumerate(dict.fromkeys(["field", "escapes", *[f for f, _ in LAYERS]]))}
 
 
-def bare_address(field: str) -> str:
-    """The address in a field without markup around it and escapes in it."""
+def layers(field: str) -> list[tuple[str, str]]:
+    """The nodes of a field from the outermost: ``(family, what stands within)``. Every layer takes something off, so that there are no more than characters."""
     s = field.strip()
-    for _ in range(8):
-        was = s
-        if "&" in s:
-            s = re.sub(r"&(?:amp|lt|gt|quot|apos|nbsp|#\d{1,6}|#x[0-9a-fA-F]{1,6});", lambda m: unescape(m.group()), s).strip()
-        for p in _AROUND:
+    out = [("field", s)]
+    while True:
+        t = _ENTITY.sub(lambda m: unescape(m.group()), s).strip() if "&" in s else s
+        for p, r in _TEX if "\\" in t or "$" in t else ():
+            t = p.sub(r, t)
+        if t != s:
+            out.append(("escapes", t))
+            s = t
+            continue
+        for family, p in LAYERS:
             m = p.match(s)
             if m:
-                inner = [g for g in m.groups() if g is not None]
-                s = (inner[-1] if inner else s).strip()
-        for p, r in _TEX:
-            s = p.sub(r, s)
-        if s == was:
-            break
-    return s
-
-
-@F.pandas_udf(StringType())
-def _bare(s: pd.Series) -> pd.Series:
-    return s.map(bare_address, na_action="ignore")
-
-
-def marked_addresses(df: DataFrame, id_col: str, col: str) -> DataFrame:
+                inner = next(g for g in reversed(m.groups()) if g is not None).strip()
+                if len(inner) < len(s):
+                    out.append((family, inner))
+                    s = inner
+                    break
+        else:
+            return out
+
+
+def layer_features(chain: list[tuple[str, str]], i: int) -> list[int]:
+    """Small integers: the layer above and the one below, depth, how much of the field is left, and the form of what is."""
+    s = chain[i][1]
+    n = max(1, len(s))
+    below = chain[i + 1] if i + 1 < len(chain) else None
+    return [
+        _LAYER[chain[i][0]],
+        _LAYER[below[0]] + 1 if below else 0,
+        min(15, i),
+        min(15, len(chain) - 1 - i),
+        min(15, 16 * n // max(1, len(chain[0][1]))),
+        0 if below is None else 1 + min(14, 15 * len(below[1]) // n),
+        int(_ADDRESS.match(s) is not None),
+        0 if below is None else 1 + int(_ADDRESS.match(below[1]) is not None),
+        int(s[:1].isalnum()),
+        int(s[-1:].isalnum() or s[-1:] == "/"),
+        min(15, sum(c in "<>{}\\`|^" for c in s)),
+        min(15, sum(c in "[]()*_'" for c in s)),
+        min(15, sum(c.isspace() for c in s)),
+        min(15, s.count("://") + s.lower().count("www.")),
+        int(_ENTITY.search(s) is not None),
+        min(15, n // 8),
+    ]
+
+
+def layer_label(chain: list[tuple[str, str]]) -> int | None:
+    """Which node of a field is surely the address: the innermost, where nothing but an address is left."""
+    return len(chain) - 1 if _ADDRESS.match(chain[-1][1]) else None
+
+
+def fit_layers(fields: list[str]) -> BoostedTrees:
+    """Trees that tell the address among the nodes of a field."""
+    rows, kinds = [], []
+    for f in fields:
+        chain = layers(f)
+        y = layer_label(chain)
+        if y is not None:
+            for i in range(len(chain)):
+                rows.append(layer_features(chain, i))
+                kinds.append(int(i == y))
+    model = BoostedTrees(2)
+    return model.fit(np.array(rows, dtype=np.uint8), np.array(kinds)) if rows else model
+
+
+def bare_address(field: str, model: BoostedTrees, known: dict[bytes, float] | None = None) -> str:
+    """The address in a field without markup around it and escapes in it: the node the model holds likeliest, one of a path; the innermost of equals."""
+    chain = layers(field)
+    if len(chain) == 1:
+        return chain[0][1]
+    known = {} if known is None else known
+    keys = [bytes(layer_features(chain, i)) for i in range(len(chain))]
+    new = [k for k in dict.fromkeys(keys) if k not in known]
+    if new:
+        got = model.log_probabilities(np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1))
+        known.update(zip(new, (got[:, 1] - got[:, 0]).tolist()))
+    best = max(range(len(chain)), key=lambda i: (known[keys[i]], i))
+    return chain[best][1]
+
+
+def marked_addresses(df: DataFrame, id_col: str, col: str, limit: int = FIELDS) -> DataFrame:
     """``id, content``: the bare address of every row whose field holds remains of markup, without repeats."""
     suspicious = F.col(col).rlike(r"[<>`\\{}*_'\[\]]|&[a-zA-Z#]")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("field")).filter(F.col("field").isNotNull() & suspicious).distinct()
-    return rows.withColumn("content", _bare("field")).filter((F.col("content") != F.trim("field")) & (F.col("content") != "")).select("id", "content").distinct()
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(col).alias("text")).filter(F.col("text").isNotNull() & suspicious).distinct()
+    held = df.sparkSession.sparkContext.broadcast(fit_layers(sample_texts(rows, limit)))
+
+    @F.pandas_udf(StringType())
+    def bare(s: pd.Series) -> pd.Series:
+        known: dict[bytes, float] = {}
+        return s.map(lambda x: bare_address(x, held.value, known), na_action="ignore")
+
+    return rows.withColumn("content", bare("text")).filter((F.col("content") != F.trim("text")) & (F.col("content") != "")).select("id", "content").distinct()

@@ -167,6 +167,64 @@ def test_pieces(spark):
     assert markup.pieces(df.limit(0)).count() == 0
 
 
+TREE = """<ul class="toc"><li>alpha</li><li>beta<ol><li>gamma</li></ol></li></ul><H2 id="r">Our
+results</h2><p>Before <PRE>x = 1
+# no heading</Pre> between <pre>y</pre> after.</p>
+- one
+  - two
+
+| index | value |
+|---|---|
+| 7 | 8 |
+
+![The caption](a.png)
+
+<table><tr><td>c1</td><td>c2</td></tr></table>
+
+Lorna Belquor and Ranbel Torvik
+
+Here $%s = 1$ is long.
+
+The sentence goes
+on with Korran and Torvik and
+ends.
+
+It breaks
+
+Annals of Solmel Practice
+
+in two.
+"""
+
+
+def test_tags_wherever_lines_break_and_no_text_lost():
+    long = "a_1 + " * 1700 + "b"
+    text = TREE % long
+    model = markup.fit([DOC, TREE % "x_1"] * 40)
+    decoder = markup.Decoder(model)
+    kinds, nodes = decoder(text)
+    got = [(markup.KINDS[k], markup.piece(markup.KINDS[k], x)) for k, x in zip(kinds, nodes) if k]
+    assert got == [("item", "alpha"), ("item", "beta"), ("item", "gamma"), ("heading", "Our results"), ("code", "x = 1"), ("code", "y"), ("item", "one"), ("item", "two"), ("formula", f"{long} = 1")]
+    out = markup.cleaned(text, decoder)
+    for t in ("- alpha\n- beta\n  - gamma", "Our results", "Before", "x = 1\n# no heading", "between", "after.", "- one\n  - two", "index | value\n7 | 8", "The caption", "c1 | c2", "Lorna Belquor and Ranbel Torvik", f"${long} = 1$", "goes on with Korran and Torvik and ends."):
+        assert t in out, t
+    assert "Annals" not in out  # a sentence goes on across it
+    assert [x.depth for x in nodes if x.family == "li"] == [1, 1, 3]
+    assert decoder("") == ([], []) and markup.cleaned("<ul><li>", decoder) == ""
+
+
+def test_decoding_has_no_contradiction():
+    from linkweave.llm.markup_tree import Node
+
+    nodes = [Node("fence", "", "", 0), Node("hash", "", "", 0, parent=0), Node("dollar", "", "", 0, parent=1, span=(0, 3)), Node("li", "", "", 0), Node("hash", "", "", 0, parent=3)]
+    flat = [-1.0, -1.0, -1.0, -1.0, -1.0]
+    sure = lambda k: [0.0 if i == k else -9.0 for i in range(5)]
+    assert markup.decode(nodes, [sure(3), sure(1), sure(4), sure(2), sure(1)]) == [0, 1, 4, 0, 1] or markup.decode(nodes, [sure(3), sure(1), sure(4), sure(2), sure(1)])[0] == 3
+    for scores in ([flat] * 5, [sure(3)] + [flat] * 4, [sure(0), sure(1), sure(4), sure(2), flat]):
+        k = markup.decode(nodes, scores)
+        assert not (k[0] == 3 and (k[1] or k[2])) and not (k[1] == 1 and k[2] not in (0, 4)) and not (k[3] == 2 and k[4] == 1)
+
+
 def test_nested_nodes_and_clean():
     nodes = parse("```\n# x\n```")
     assert [(n.family, n.parent) for n in nodes] == [("fence", -1), ("hash", 0)]
@@ -184,7 +242,8 @@ def test_nested_nodes_and_clean():
     ],
 )
 def test_bare_addresses(field, want):
-    assert markup.bare_address(field) == want
+    fields = [x for i in range(60) for x in (f"<a href='http://y.org/{i}' class='c'>t</a>", f"[t {i}](http://y.org/{i})", f"{{\\tt http://y.org/a\\_{i}}}", f"''http://y.org/{i}''", f"&lt;http://y.org/{i}&gt;", f"\\footnote{{\\url{{http://y.org/{i}}}}}", f"http://y.org/a_{i}", f"_http://y.org/{i}_", f"http://y.org/{i}</a>")]
+    assert markup.bare_address(field, markup.fit_layers(fields)) == want
 
 
 # --- tokens and mixtures ---
