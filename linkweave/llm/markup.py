@@ -19,7 +19,7 @@ are taken whole; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from html import unescape
 
 import numpy as np
@@ -132,25 +132,33 @@ def decode(nodes: list[Node], logp: list[list[float]]) -> list[int]:
     return out
 
 
+#: Texts whose nodes are scored together.
+CHUNK = 256
+
+
 class Decoder:
-    """Applies a model to batches of texts; nodes with equal features are scored once."""
+    """Applies a model to texts; nodes with equal features are scored once, new ones of many texts together."""
 
     def __init__(self, model: BoostedTrees) -> None:
         self.model = model
-        self.known: dict[bytes, list[float]] = {}
+        self.known: dict[bytes, list[float]] = {b"": _PLAIN_SCORE}
+
+    def each(self, texts: Sequence[str]) -> Iterator[tuple[list[int], list[Node]]]:
+        """The kinds of the nodes of each text, and the nodes."""
+        for k in range(0, len(texts), CHUNK):
+            parsed = [parse(t) for t in texts[k : k + CHUNK]]
+            keys = [[b"" if x.family in _PLAIN else bytes(features(x, nodes)) for x in nodes] for nodes in parsed]
+            if len(self.known) > 500_000:
+                self.known = {b"": _PLAIN_SCORE}
+            new = list({x for ks in keys for x in ks if x not in self.known})
+            if new:
+                got = self.model.log_probabilities(np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1))
+                self.known.update(zip(new, got.tolist()))
+            for nodes, ks in zip(parsed, keys):
+                yield decode(nodes, [self.known[x] for x in ks]), nodes
 
     def __call__(self, text: str) -> tuple[list[int], list[Node]]:
-        """The kinds of the nodes of a text, and the nodes."""
-        nodes = parse(text)
-        keys = [b"" if x.family in _PLAIN else bytes(features(x, nodes)) for x in nodes]
-        new = list({k for k in keys if k and k not in self.known})
-        if len(self.known) + len(new) > 500_000:
-            self.known.clear()
-            new = list({k for k in keys if k})
-        if new:
-            got = self.model.log_probabilities(np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1))
-            self.known.update(zip(new, got.tolist()))
-        return decode(nodes, [self.known[k] if k else _PLAIN_SCORE for k in keys]), nodes
+        return next(self.each([text]))
 
 
 def sample_texts(docs: DataFrame, limit: int = SAMPLE) -> list[str]:
@@ -170,21 +178,18 @@ def pieces(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
         decoder = Decoder(held.value)
         for b in batches:
             rows: dict[tuple, None] = {}
-            for i, text in zip(b["id"], b["text"]):
-                if text and not text.isspace():
-                    for k, x in zip(*decoder(text)):
-                        if k and (c := piece(KINDS[k], x)):
-                            rows[(i, KINDS[k], c)] = None
+            held_ = [(i, t) for i, t in zip(b["id"], b["text"]) if t and not t.isspace()]
+            for (i, _), found in zip(held_, decoder.each([t for _, t in held_])):
+                for k, x in zip(*found):
+                    if k and (c := piece(KINDS[k], x)):
+                        rows[(i, KINDS[k], c)] = None
             yield pd.DataFrame(list(rows), columns=["id", "piece", "content"])
 
     return docs.filter("text is not null").select("id", "text").mapInPandas(filled(run), "id long, piece string, content string").distinct()
 
 
-def cleaned(text: str, decoder: Decoder) -> str:
-    """The text in plain form: a line for a heading, dashes before items, code between fences, formulas between dollar signs. No text is left out."""
-    if not text or text.isspace():
-        return text
-    kinds, nodes = decoder(text)
+def cleaned(kinds: list[int], nodes: list[Node]) -> str:
+    """A decoded text in plain form: a line for a heading, dashes before items, code between fences, formulas between dollar signs. No text is left out."""
     spans: dict[int, list[int]] = {}
     for i, x in enumerate(nodes):
         if x.span is not None and kinds[i] == _FORMULA:
@@ -243,7 +248,9 @@ def clean_texts(docs: DataFrame, limit: int = SAMPLE) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         decoder = Decoder(held.value)
         for b in batches:
-            yield b.assign(text=[t if t is None else cleaned(t, decoder) for t in b["text"]])
+            full = [t for t in b["text"] if t and not t.isspace()]
+            done = iter([cleaned(*found) for found in decoder.each(full)])
+            yield b.assign(text=[next(done) if t and not t.isspace() else t for t in b["text"]])
 
     return docs.select("id", "text").mapInPandas(filled(run), "id long, text string")
 
@@ -345,19 +352,16 @@ def fit_layers(fields: list[str]) -> BoostedTrees:
     return model.fit(np.array(rows, dtype=np.uint8), np.array(kinds)) if rows else model
 
 
-def bare_address(field: str, model: BoostedTrees, known: dict[bytes, float] | None = None) -> str:
-    """The address in a field without markup around it and escapes in it: the node the model holds likeliest, one of a path; the innermost of equals."""
-    chain = layers(field)
-    if len(chain) == 1:
-        return chain[0][1]
-    known = {} if known is None else known
-    keys = [bytes(layer_features(chain, i)) for i in range(len(chain))]
-    new = [k for k in dict.fromkeys(keys) if k not in known]
+def bare_addresses(fields: Sequence[str], model: BoostedTrees) -> list[str]:
+    """The address in each field without markup around it and escapes in it: the node the model holds likeliest, one of a path; the innermost of equals."""
+    chains = [layers(f) for f in fields]
+    keys = [[bytes(layer_features(chain, i)) for i in range(len(chain))] if len(chain) > 1 else [] for chain in chains]
+    new = list({k for ks in keys for k in ks})
+    score = {}
     if new:
         got = model.log_probabilities(np.frombuffer(b"".join(new), dtype=np.uint8).reshape(len(new), -1))
-        known.update(zip(new, (got[:, 1] - got[:, 0]).tolist()))
-    best = max(range(len(chain)), key=lambda i: (known[keys[i]], i))
-    return chain[best][1]
+        score = dict(zip(new, (got[:, 1] - got[:, 0]).tolist()))
+    return [chain[max(range(len(ks)), key=lambda i: (score[ks[i]], i)) if ks else 0][1] for chain, ks in zip(chains, keys)]
 
 
 def marked_addresses(df: DataFrame, id_col: str, col: str, limit: int = FIELDS) -> DataFrame:
@@ -368,7 +372,6 @@ def marked_addresses(df: DataFrame, id_col: str, col: str, limit: int = FIELDS)
 
     @F.pandas_udf(StringType())
     def bare(s: pd.Series) -> pd.Series:
-        known: dict[bytes, float] = {}
-        return s.map(lambda x: bare_address(x, held.value, known), na_action="ignore")
+        return pd.Series(bare_addresses(list(s), held.value), dtype="object")
 
     return rows.withColumn("content", bare("text")).filter((F.col("content") != F.trim("text")) & (F.col("content") != "")).select("id", "content").distinct()

@@ -205,12 +205,12 @@ def test_tags_wherever_lines_break_and_no_text_lost():
     kinds, nodes = decoder(text)
     got = [(markup.KINDS[k], markup.piece(markup.KINDS[k], x)) for k, x in zip(kinds, nodes) if k]
     assert got == [("item", "alpha"), ("item", "beta"), ("item", "gamma"), ("heading", "Our results"), ("code", "x = 1"), ("code", "y"), ("item", "one"), ("item", "two"), ("formula", f"{long} = 1")]
-    out = markup.cleaned(text, decoder)
+    out = markup.cleaned(kinds, nodes)
     for t in ("- alpha\n- beta\n  - gamma", "Our results", "Before", "x = 1\n# no heading", "between", "after.", "- one\n  - two", "index | value\n7 | 8", "The caption", "c1 | c2", "Lorna Belquor and Ranbel Torvik", f"${long} = 1$", "goes on with Korran and Torvik and ends."):
         assert t in out, t
     assert "Annals" not in out  # a sentence goes on across it
     assert [x.depth for x in nodes if x.family == "li"] == [1, 1, 3]
-    assert decoder("") == ([], []) and markup.cleaned("<ul><li>", decoder) == ""
+    assert decoder("") == ([], []) and markup.cleaned(*decoder("<ul><li>")) == ""
 
 
 def test_decoding_has_no_contradiction():
@@ -243,7 +243,7 @@ def test_nested_nodes_and_clean():
 )
 def test_bare_addresses(field, want):
     fields = [x for i in range(60) for x in (f"<a href='http://y.org/{i}' class='c'>t</a>", f"[t {i}](http://y.org/{i})", f"{{\\tt http://y.org/a\\_{i}}}", f"''http://y.org/{i}''", f"&lt;http://y.org/{i}&gt;", f"\\footnote{{\\url{{http://y.org/{i}}}}}", f"http://y.org/a_{i}", f"_http://y.org/{i}_", f"http://y.org/{i}</a>")]
-    assert markup.bare_address(field, markup.fit_layers(fields)) == want
+    assert markup.bare_addresses([field], markup.fit_layers(fields)) == [want]
 
 
 # --- tokens and mixtures ---
