@@ -7,6 +7,19 @@ import re
 # Hyphens that end a line within a word.
 BREAKS = "‐¬\u00ad-"
 
+# Characters and what they are often misread as.
+CONFUSIONS = [
+    ("l", "1"), ("i", "1"), ("i", "l"), ("o", "0"), ("O", "0"), ("s", "5"), ("S", "5"), ("b", "6"), ("B", "8"), ("g", "9"), ("g", "q"), ("z", "2"),
+    ("e", "c"), ("c", "e"), ("a", "o"), ("n", "u"), ("u", "n"), ("h", "b"), ("t", "f"), ("f", "t"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("d", "cl"),
+    ("cl", "d"), ("w", "vv"), ("li", "h"), ("ri", "n"), ("I", "l"), ("l", "I"), ("l", "|"), ("i", "|"),
+]
+
+
+def misread(word: str) -> set[str]:
+    """What a word may look like with one character misread."""
+    return {word[:i] + b + word[i + len(a) :] for a, b in CONFUSIONS for i in range(len(word)) if word.startswith(a, i)}
+
+
 _N = r"(?:\d{1,4}|[ivxlc]{1,7})"
 _MARK = r"[|–—·•~\-]"
 PAGE_NUMBER = re.compile(
@@ -18,9 +31,9 @@ PAGE_NUMBER = re.compile(
 )
 _LEAD = re.compile(rf"^\s*(?:\d{{1,4}}(?:\s{{2,}}|\t|\s*[|·]\s*)|[|·]\s*)")
 _TAIL = re.compile(r"(?:(?:\s{2,}|\t|\s*[|·]\s*)\d{1,4}|\s*[|·])\s*$")
-_SMALL = {"of", "and", "on", "the", "in", "for", "et", "al", "al.", "&", "by", "to", "a", "an", "de", "der", "und", "la", "vol.", "no.", "vol", "no"}
-# The same words with a misread character.
-_SMALL |= {"0f", "ct", "ef", "a1", "a1.", "ol", "ol.", "aud", "ancl", "thc", "tbe", "fhe", "ou", "0n", "v0l.", "vo1."}
+# The small words of titles and names.
+_SMALL = set("of and on the in for et al al. & by to a an de der und la vol. no. vol no".split())
+_SMALL |= {x for w in _SMALL for x in misread(w) if not x.isdigit()}
 _WORD = re.compile(r"^(?:[A-ZÀ-Þ][\w'’-]*\.?,?|[A-Z]\.(?:-?[A-Z]\.)*|\d{1,4}|\(\d{4}\)|\d{1,3}\(\d{1,3}\))$")
 _ABBREVIATED = re.compile(r"(?:\b[ao][l1]|\b[A-Z][a-z]{0,4})\.$")
 _TITLE = re.compile(r"^(?:The|Thc|Tbe|A|An|On)(?: [\w-]+){1,5} (?:of|0f|in|for|on|and|from)(?: (?:the|a|an))? [A-ZÀ-Þ][\w-]+$")

@@ -2,15 +2,16 @@
 
 Method: all texts are counted once: words, hyphenated compounds and, in hashed buckets, pairs of neighbouring
 words. The words that occur often enough are the vocabulary, kept as a trie; Levenshtein automata of distance 2
-run against it give every word that isn't well known its complete candidates. How likely a character is to be
+run against it give every word that isn't well known its complete candidates, with one edit or two. How likely a character is to be
 misread as another is learned from the words with a single candidate, over a prior of known confusions; candidates
 are ranked by that, by frequency, and by the neighbouring words where several remain. Page furniture is then
 removed, divided words are joined (where the joined word is better attested than the compound), and lines are
 filled into paragraphs.
 
-Bounds of what is gathered and broadcast: VOCABULARY words (the least count of a word rises until it holds),
-PAIRS pair counts, and the corrections, as long as there are no more than CORRECTIONS of them; beyond that the
-occurrences of unknown words are joined with the table of corrections instead.
+Bounds of what is gathered and broadcast. The vocabulary: words that make up ``VOCABULARY_SHARE`` of the text or more, at every size, so 250,000 at
+most. Counts of words and compounds that occur twice: up to ``WORDS`` of each, all or the commonest, and up to ``CORRECTIONS`` corrections. Beyond
+these every text is given the exact counts of its own words, and their corrections, by a join: the results are the same. Pair counts: ``PAIRS`` buckets, each less
+the count that chance gives a bucket, so that pairs rarer than one in PAIRS tell nothing, at every size.
 
 Defined results: null, empty and blank texts have no noise and stay as they are; a text without line feeds has no
 furniture; copies of a record (rows delivered twice) give one result; texts are taken whole; extra columns are
@@ -21,8 +22,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections import ChainMap, Counter, defaultdict
+from collections.abc import Callable, Iterator, Mapping
 from zlib import crc32
 
 import numpy as np
@@ -31,26 +32,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.llm.automata import Levenshtein, Trie
-from linkweave.llm.page_lines import BREAKS, Page, divided
+from linkweave.llm.page_lines import BREAKS, CONFUSIONS, Page, divided
 from linkweave.session import cut, filled
 
-VOCABULARY = 200_000
+VOCABULARY_SHARE = 4e-6
+WORDS = 500_000
 PAIRS = 1 << 18
 CORRECTIONS = 500_000
-#: A word is misread only if the right word is that many times as frequent.
+#: A word is misread only if the right word is that many times as frequent; twice misread, if that many times again.
 RATIO = 20.0
 #: Least counts of the words in each trie that is searched.
 TIERS = (0, 20, 60, 200, 1000, 5000)
 #: The share of all learned confusions a confusion needs.
 LEAST_SHARE = 0.002
 
-# Characters and what they are often misread as.
-CONFUSIONS = [
-    ("l", "1"), ("i", "1"), ("i", "l"), ("o", "0"), ("O", "0"), ("s", "5"), ("S", "5"), ("b", "6"), ("B", "8"), ("g", "9"), ("g", "q"), ("z", "2"),
-    ("e", "c"), ("c", "e"), ("a", "o"), ("n", "u"), ("u", "n"), ("h", "b"), ("t", "f"), ("f", "t"), ("u", "ii"), ("m", "rn"), ("rn", "m"), ("d", "cl"),
-    ("cl", "d"), ("w", "vv"), ("li", "h"), ("ri", "n"), ("I", "l"), ("l", "I"), ("l", "|"), ("i", "|"),
-]
-
 _MASK = re.compile(
     r"(?:https?|ftp)://[^\s<>\]})]+|www\.[^\s<>\]})]+|[\w.+-]+@[\w.-]+|`[^`\n]*`|\$[^$\n]{1,300}\$|\\\(.*?\\\)|<(code|math|pre)\b[^>]*>.*?</\1>|</?[A-Za-z][^<>\n]{0,300}>|&#?\w+;|\\[A-Za-z]+\*?|\w*_\w+|!?\[\[[^\]\n]*\]\]",
     re.I | re.S,
@@ -137,34 +132,46 @@ def corpus_counts(records: DataFrame) -> DataFrame:
     return cut(records.select("text").filter("text is not null").mapInPandas(filled(_count), "t string, s string, n long").groupBy("t", "s").agg(F.sum("n").alias("n")), "p5-counts")
 
 
+def folded_words(counts: DataFrame) -> DataFrame:
+    """``s, n, low``: words in lower case, and how often they stand so."""
+    return counts.filter("t = 'w'").groupBy(F.lower("s").alias("s")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("s") == F.lower("s"), F.col("n")).otherwise(0)).alias("low"))
+
+
+def commonest(counted: DataFrame, limit: int) -> tuple[list, bool]:
+    """The rows with ``n`` of two or more, and True; where they are more than ``limit``, those from the least count on that fits, and False."""
+    sizes = counted.filter("n >= 2").groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count("*").alias("size")).orderBy(F.desc("k")).collect()  # at most 64
+    least, room = 1 << 62, limit
+    for r in sizes:
+        room -= r["size"]
+        if room < 0:
+            return counted.filter(F.col("n") >= least).collect(), False
+        least = 1 << r["k"]
+    return counted.filter("n >= 2").collect(), True
+
+
 class Language:
-    """What is broadcast: counts of folded words, of compounds and of pairs."""
-
-    def __init__(self, counts: DataFrame, limit: int = VOCABULARY) -> None:
-        words = counts.filter("t = 'w'").groupBy(F.lower("s").alias("s")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("s") == F.lower("s"), F.col("n")).otherwise(0)).alias("low"))
-        self.least = 2
-        while words.filter(F.col("n") >= self.least).count() > limit:
-            self.least *= 2
-        got = words.filter(F.col("n") >= self.least).collect()  # at most limit
+    """What is broadcast: counts of folded words, of compounds and of pairs. Where ``complete`` is false, rarer words and compounds are left to joins."""
+
+    def __init__(self, counts: DataFrame, limit: int = WORDS) -> None:
+        words = folded_words(counts)
+        got, all_words = commonest(words, limit)
         self.words = {r["s"]: r["n"] for r in got}
         self.low = {r["s"]: r["low"] for r in got if r["low"]}
-        least = 2
-        compounds = counts.filter("t = 'h'")
-        while compounds.filter(F.col("n") >= least).count() > limit:
-            least *= 2
-        self.compounds = {r["s"]: r["n"] for r in compounds.filter((F.col("n") >= least) | (F.lit(least) == 2)).limit(limit).collect()}
-        self.pairs = np.zeros(PAIRS, dtype=np.int64)
+        got, all_compounds = commonest(counts.filter("t = 'h'"), limit)
+        self.compounds = {r["s"]: r["n"] for r in got}
+        self.complete = all_words and all_compounds
+        self.pairs = np.zeros(PAIRS, dtype=np.float64)
         for r in counts.filter("t = 'p'").collect():  # at most PAIRS
             self.pairs[int(r["s"])] = r["n"]
-        self.top = max(self.words.values(), default=0)
-        self.total = sum(self.words.values())
+        self.pairs = np.maximum(0.0, self.pairs - self.pairs.sum() / PAIRS)
+        whole = words.agg(F.sum("n"), F.max("n")).first()
+        self.total, self.top = whole[0] or 0, whole[1] or 0
 
     def vocabulary(self) -> dict[str, int]:
         """The words that a misread one may have been, in whatever case they stand: letters only, not rare."""
-        least = max(3, self.least)
+        least = max(3, VOCABULARY_SHARE * self.total)
         return {w: n for w, n in self.words.items() if n >= least and w.isalpha() and len(w) > 1}
 
-
     def lowered(self) -> set[str]:
         """The words of the vocabulary that stand in lower case at least now and then, or are common: no names."""
         common = 0.0005 * self.total
@@ -182,6 +189,19 @@ def edit(read: str, right: str) -> tuple[str, str]:
     return right[a : len(right) - b], read[a : len(read) - b]
 
 
+def edits(read: str, right: str) -> list[tuple[str, str]]:
+    """The one confusion that makes ``right`` into ``read``, or the two; none where it takes other edits."""
+    was, became = edit(read, right)
+    small = lambda x, y: 1 <= len(x) <= 2 and 1 <= len(y) <= 2 and len(x) + len(y) < 4
+    if small(was, became):
+        return [(was, became)]
+    if len(was) > 2 and len(was) == len(became):  # two letters, each taken for another
+        apart = [(x, y) for x, y in zip(was, became) if x != y]
+        if len(apart) == 2:
+            return apart
+    return []
+
+
 def _plausible_word(w: str) -> bool:
     return 1 < len(w) < 40 and any(c.isalpha() for c in w)
 
@@ -192,8 +212,8 @@ def needed(w: str, n: int) -> float:
 
 
 def candidates(counts: DataFrame, language: Language) -> DataFrame:
-    """``w, n, low, right, was, became``: of each folded word that isn't well known, all vocabulary words within distance 2
-    that occur often enough to be the right one, with their one edit. Rarer words are left out of the tries, not of the search."""
+    """``w, n, low, right, was, became, was2, became2``: of each folded word that isn't well known, all vocabulary words within distance 2
+    that occur often enough to be the right one, with their edits. Rarer words are left out of the tries, not of the search."""
     held = counts.sparkSession.sparkContext.broadcast((language.vocabulary(), language.words))
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,26 +221,26 @@ def candidates(counts: DataFrame, language: Language) -> DataFrame:
         two = Levenshtein(2)
         tries = [(least, Trie(w for w, n in vocab.items() if n >= least)) for least in TIERS]
         for b in batches:
-            out: dict[str, list] = {k: [] for k in ("w", "n", "low", "right", "was", "became")}
+            out: list[tuple] = []
             for w, n, low in zip(b["s"], b["n"], b["low"]):
                 if not _plausible_word(w):
                     continue
-                need = needed(w, max(n, words.get(w, 0)))
+                need = needed(w, n)
                 trie = next((t for least, t in reversed(tries) if least <= need))
                 for right, _ in two.search(w, trie):
                     if right == w or vocab[right] < need:
                         continue
-                    was, became = edit(w, right)
-                    if 1 <= len(was) <= 2 and 1 <= len(became) <= 2 and len(was) + len(became) < 4:
-                        for k, v in zip(out, (w, n, low, right, was, became)):
-                            out[k].append(v)
-            yield pd.DataFrame(out)
-
-    unknown = counts.filter("t = 'w'").groupBy(F.lower("s").alias("s")).agg(F.sum("n").alias("n"), F.max(F.col("s") == F.lower("s")).alias("low"))
-    unknown = unknown.filter((F.col("n") * 3 <= language.top) & F.col("s").rlike(r"\p{L}"))
+                    found = edits(w, right)
+                    if len(found) == 1:
+                        out.append((w, n, low, right, *found[0], None, None))
+                    elif found and vocab[right] >= need * RATIO:
+                        out.append((w, n, low, right, *found[0], *found[1]))
+            yield pd.DataFrame(out, columns=["w", "n", "low", "right", "was", "became", "was2", "became2"])
+
+    unknown = folded_words(counts).select("s", "n", (F.col("low") > 0).alias("low")).filter((F.col("n") * 3 <= language.top) & F.col("s").rlike(r"\p{L}"))
     # a fixed number of tasks: a search takes a millisecond, so that few bytes are much work
     unknown = unknown.repartition(max(counts.sparkSession.sparkContext.defaultParallelism, unknown.count() // 2000), F.col("s"))
-    return unknown.mapInPandas(filled(look_up), "w string, n long, low boolean, right string, was string, became string")
+    return unknown.mapInPandas(filled(look_up), "w string, n long, low boolean, right string, was string, became string, was2 string, became2 string")
 
 
 def confusion_shares(found: DataFrame, lowered: set[str]) -> dict[tuple[str, str], float]:
@@ -230,7 +250,7 @@ def confusion_shares(found: DataFrame, lowered: set[str]) -> dict[tuple[str, str
     """
     held = found.sparkSession.sparkContext.broadcast(lowered)
     known = F.pandas_udf(lambda r: r.isin(held.value), "boolean")
-    single = found.filter(F.col("low") & (F.length("w") > 2)).filter(known("right")).groupBy("w").agg(F.count("*").alias("k"), F.first("was").alias("was"), F.first("became").alias("became")).filter("k = 1")
+    single = found.filter(F.col("low") & (F.length("w") > 2) & F.col("was2").isNull()).filter(known("right")).groupBy("w").agg(F.count("*").alias("k"), F.first("was").alias("was"), F.first("became").alias("became")).filter("k = 1")
     learned = single.groupBy("was", "became").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "was", "became").limit(2000).collect()
     got: dict[tuple[str, str], float] = defaultdict(float)
     for a, b in CONFUSIONS:
@@ -252,10 +272,10 @@ def corrections(counts: DataFrame, language: Language) -> DataFrame:
         shares, vocab = held.value
         for b in batches:
             keep, scores = [], []
-            for right, was, became in zip(b["right"], b["was"], b["became"]):
-                p = shares.get((was, became))
-                keep.append(p is not None)
-                scores.append(math.log(p) + math.log(vocab[right]) if p is not None else 0.0)
+            for right, was, became, was2, became2 in zip(b["right"], b["was"], b["became"], b["was2"], b["became2"]):
+                p = shares.get((was, became), 0.0) * (1.0 if was2 is None else shares.get((was2, became2), 0.0) / RATIO)
+                keep.append(p > 0)
+                scores.append(math.log(p) + math.log(vocab[right]) if p > 0 else 0.0)
             yield b.assign(score=scores)[keep][["w", "right", "score"]]
 
     scored = found.mapInPandas(filled(score), "w string, right string, score double")
@@ -302,17 +322,18 @@ def join_word(head: str, hyphen: str, rest: str, by_line: bool, language: Langua
     return not (known and language.words.get(head.lower(), 0) >= 3 and len(rest) > 3 and len(head) > 2)
 
 
+Fixes = Mapping[str, tuple[list[str], list[float]]]
+
+
 class Suspects(dict):
-    """Whether a blank-separated token holds a word that may be misread; remembers every token asked for."""
+    """Whether a blank-separated token holds a word with a correction; remembers every token asked for."""
 
-    def __init__(self, language: Language, fixes: dict | None) -> None:
+    def __init__(self, fixes: Fixes) -> None:
         super().__init__()
-        self.language, self.fixes = language, fixes
+        self.fixes = fixes
 
     def word(self, w: str) -> bool:
-        if self.fixes is not None:
-            return w.lower() in self.fixes
-        return _plausible_word(w) and self.language.words.get(w.lower(), 0) * 3 <= self.language.top
+        return w.lower() in self.fixes
 
     def __missing__(self, token: str) -> bool:
         hit = any(self.word(w) for w in words_of(token))
@@ -322,7 +343,7 @@ class Suspects(dict):
 
 
 def noise_of(text: str, language: Language, suspects: Suspects) -> list[tuple[str, str]]:
-    """``(noise, detail)`` of a text; without fixes in ``suspects``, unknown words come as ("?", word, before, after)."""
+    """``(noise, detail)`` of a text."""
     if not text or text.isspace():
         return []
     page = Page(text)
@@ -338,53 +359,104 @@ def noise_of(text: str, language: Language, suspects: Suspects) -> list[tuple[st
                 continue
             for _, t, before, after in in_context(part):
                 if suspects.word(t):
-                    if suspects.fixes is None:
-                        out.append(("?", f"{t.lower()}\x1f{before}\x1f{after}"))
-                    else:
-                        out.append(("misread_word", choose(*suspects.fixes[t.lower()], before, after, language.pairs)))
+                    out.append(("misread_word", choose(*suspects.fixes[t.lower()], before, after, language.pairs)))
     return out
 
 
-def _learn(records: DataFrame) -> tuple[Language, DataFrame]:
-    counts = corpus_counts(records)
-    language = Language(counts)
-    return language, corrections(counts, language)
-
-
-def _held_fixes(table: DataFrame, limit: int) -> dict[str, tuple[list[str], list[float]]] | None:
-    if table.count() > limit:
-        return None
-    return {r["w"]: (list(r["rights"]), list(r["scores"])) for r in table.collect()}
+def asked_of(text: str, language: Language) -> set[tuple[str, str]]:
+    """``(t, s)`` of the counts and corrections that the repair of a text may need and that may not be in what is broadcast."""
+    out: set[tuple[str, str]] = set()
+    if not text or text.isspace():
+        return out
+    for token in set(text.split()):
+        out.update(("w", w.lower()) for w in words_of(token))
+    page = Page(text)
+    pairs = [(a, b) for a, _, b, _ in divided(page)]
+    for line in page.lines:
+        pairs += [(m.group(1), m.group(3)) for m in _GAPPED.finditer(line)]
+    for i, line in enumerate(page.lines):
+        if m := _HEAD.search(line.rstrip()):
+            for j in range(i + 1, len(page.lines)):
+                if page.kinds[j] == "text" and (r := _REST_OF.match(page.lines[j])):
+                    pairs.append((m.group(1), r.group(1)))
+                if page.kinds[j] != "blank" and j not in page.skip:
+                    break
+    for a, b in pairs:
+        out |= {("w", (a + b).lower()), ("w", a.lower()), ("w", b.lower()), ("h", f"{a}-{b}".lower())}
+    return out
 
 
-def page_noise(records: DataFrame, limit: int = CORRECTIONS) -> DataFrame:
+class Overlay:
+    """A language with the exact counts that one text asked for over those that are broadcast."""
+
+    def __init__(self, language: Language, words: dict[str, int], compounds: dict[str, int]) -> None:
+        self.words, self.compounds = ChainMap(words, language.words), ChainMap(compounds, language.compounds)
+        self.pairs, self.total, self.top = language.pairs, language.total, language.top
+
+
+class Repair:
+    """What is learned from all records, applied to records: by what is broadcast alone, or with what each text asked for."""
+
+    def __init__(self, records: DataFrame, limit: int = CORRECTIONS, words: int = WORDS) -> None:
+        counts = corpus_counts(records)
+        self.language = Language(counts, words)
+        self.table = corrections(counts, self.language)
+        few = self.table.count() <= limit
+        self.exact = not few or not self.language.complete  # whether texts must ask
+        self.counts = counts
+        fixes = {r["w"]: (list(r["rights"]), list(r["scores"])) for r in self.table.collect()} if few else {}
+        self.held = records.sparkSession.sparkContext.broadcast((self.language, fixes))
+
+    def run(self, records: DataFrame, use: Callable, schema: str) -> DataFrame:
+        """``use(rows, language, suspects)`` over ``kind, id, text``; ``rows`` is a list of (kind, id, text)."""
+        held, exact = self.held, self.exact
+
+        def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            language, fixes = held.value
+            suspects = Suspects(fixes)
+            for b in batches:
+                out: list[tuple] = []
+                if not exact:
+                    for row in zip(b["kind"], b["id"], b["text"]):
+                        out += use(row, language, suspects)
+                else:
+                    for kind, i, text, got in zip(b["kind"], b["id"], b["text"], b["got"]):
+                        got = [] if got is None else got
+                        words = {x["s"]: x["n"] for x in got if x["t"] == "w"}
+                        compounds = {x["s"]: x["n"] for x in got if x["t"] == "h"}
+                        own = {x["s"]: (list(x["rights"]), list(x["scores"])) for x in got if x["rights"] is not None}
+                        out += use((kind, i, text), Overlay(language, words, compounds), Suspects(ChainMap(own, fixes)))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in schema.split(", ")])
+
+        return (self.asked(records) if exact else records.select("kind", "id", "text")).mapInPandas(filled(apply), schema)
+
+    def asked(self, records: DataFrame) -> DataFrame:
+        """``kind, id, text, got``: every text with the counts of two or more, and the corrections, of what it asks for: one row per copy of it."""
+        held = self.held
+
+        def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            language, _ = held.value
+            for b in batches:
+                out = [(k, t, s) for k, text in zip(b["key"], b["text"]) for t, s in asked_of(text, language)]
+                yield pd.DataFrame(out, columns=["key", "t", "s"])
+
+        keyed = cut(records.select("kind", "id", "text", F.sha2("text", 256).alias("key")), "p5-keyed")
+        needs = keyed.filter("text is not null").select("key", "text").distinct().mapInPandas(filled(ask), "key string, t string, s string")
+        known = folded_words(self.counts).select(F.lit("w").alias("t"), "s", "n").unionByName(self.counts.filter("t = 'h'").select("t", "s", "n")).filter("n >= 2")
+        fixes = self.table.select(F.lit("w").alias("t"), F.col("w").alias("s"), "rights", "scores")
+        answers = known.join(fixes, ["t", "s"], "full_outer")
+        got = needs.join(answers, ["t", "s"]).groupBy("key").agg(F.collect_list(F.struct("t", "s", F.coalesce("n", F.lit(1)).alias("n"), "rights", "scores")).alias("got"))
+        return keyed.join(got, "key", "left").select("kind", "id", "text", "got")
+
+
+def page_noise(records: DataFrame, limit: int = CORRECTIONS, words: int = WORDS) -> DataFrame:
     """``record_kind, record_id, noise, detail``, without repeats, of records ``kind, id, text``."""
-    language, table = _learn(records)
-    fixes = _held_fixes(table, limit)
-    held = records.sparkSession.sparkContext.broadcast((language, fixes))
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        language, fixes = held.value
-        suspects = Suspects(language, fixes)
-        for b in batches:
-            out: list[tuple] = []
-            for kind, i, text in zip(b["kind"], b["id"], b["text"]):
-                out += [(kind, i, n, d) for n, d in dict.fromkeys(noise_of(text, language, suspects))]
-            yield pd.DataFrame(out, columns=["record_kind", "record_id", "noise", "detail"])
-
-    found = records.filter("text is not null").mapInPandas(filled(find), "record_kind string, record_id long, noise string, detail string")
-    if fixes is None:  # more corrections than may be broadcast: join the occurrences with them
-        found = cut(found, "p5-found")
-        parts = F.split("detail", "\x1f")
-        occ = found.filter("noise = '?'").select("record_kind", "record_id", parts[0].alias("w"), parts[1].alias("before"), parts[2].alias("after")).join(table, "w")
-
-        @F.pandas_udf("string")
-        def pick(rights: pd.Series, scores: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-            pairs = held.value[0].pairs
-            return pd.Series([choose(list(r), list(s), x, y, pairs) for r, s, x, y in zip(rights, scores, before, after)], dtype="object")
-
-        misread = occ.select("record_kind", "record_id", F.lit("misread_word").alias("noise"), pick("rights", "scores", "before", "after").alias("detail"))
-        found = found.filter("noise <> '?'").unionByName(misread)
+    def find(row: tuple, language: Language, suspects: Suspects) -> list[tuple]:
+        kind, i, text = row
+        return [(kind, i, n, d) for n, d in dict.fromkeys(noise_of(text, language, suspects))]
+
+    found = Repair(records, limit, words).run(records.filter("text is not null"), find, "record_kind string, record_id long, noise string, detail string")
     return found.distinct()
 
 
@@ -444,12 +516,16 @@ def in_context(part: str) -> Iterator[tuple[int, str, str, str]]:
         yield m.start(), m.group(), words[k], words[k + 2]
 
 
-def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], list[float]]]) -> str:
+def repaired(text: str, language: Language, suspects: Suspects) -> str:
     """The text in filled paragraphs of whole words, without furniture. Code, markup lines and addresses keep their form."""
     if not text or text.isspace():
         return text
 
+    fixes = suspects.fixes
+
     def fix(part: str) -> str:
+        if not any([suspects[t] for t in part.split()]):
+            return part.replace("\n", " ")
         out, at = [], 0
         for begin, t, before, after in in_context(part):
             if t.lower() in fixes:
@@ -465,18 +541,11 @@ def repaired(text: str, language: Language, fixes: dict[str, tuple[list[str], li
     return "\n\n".join("\n".join(part if code else fix(part) for code, part in parts) for parts in paragraphs(Page(text), language))
 
 
-def repair(records: DataFrame) -> DataFrame:
-    """``kind, id, text``: the records with their texts repaired; rows stay rows.
+def repair(records: DataFrame, limit: int = CORRECTIONS, words: int = WORDS) -> DataFrame:
+    """``kind, id, text``: the records with their texts repaired; rows stay rows."""
 
-    The corrections are broadcast here, so the least count of vocabulary words bounds them: each is an edit of one of them.
-    """
-    language, table = _learn(records)
-    fixes = _held_fixes(table, 1 << 62)
-    held = records.sparkSession.sparkContext.broadcast((language, fixes))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        language, fixes = held.value
-        for b in batches:
-            yield b.assign(text=[t if t is None else repaired(t, language, fixes) for t in b["text"]])
+    def fix(row: tuple, language: Language, suspects: Suspects) -> list[tuple]:
+        kind, i, text = row
+        return [(kind, i, text if text is None else repaired(text, language, suspects))]
 
-    return records.select("kind", "id", "text").mapInPandas(filled(run), "kind string, id long, text string")
+    return Repair(records, limit, words).run(records, fix, "kind string, id long, text string")

@@ -62,7 +62,10 @@ def test_page_noise(spark):
     got = [tuple(r) for r in page_noise.page_noise(df).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert {tuple(r) for r in page_noise.page_noise(df, limit=0).collect()} == want  # corrections joined instead of broadcast
+    assert {tuple(r) for r in page_noise.page_noise(df, words=30).collect()} == want  # and counts of rare words
     fixed = {r["id"]: r["text"] for r in page_noise.repair(df).collect()}
+    joined = page_noise.repair(df, limit=0, words=30).collect()
+    assert len(joined) == df.count() and {r["id"]: r["text"] for r in joined} == fixed
     assert fixed[900] == "The tournament follows the harvest near the old library of semi-professional patterns." and fixed[901] is None and fixed[902] == "  \n"
     assert fixed[903] == "Pre- and post-test signal of the sediment."
     assert page_noise.page_noise(df.limit(0)).count() == 0
@@ -80,6 +83,11 @@ def test_misread_words_in_capitals_and_short_ones(spark):
     assert fixed == "Document was near. Volume was of the old Sammlung and in the DOCUMENT. NASA was near the ICA."
 
 
+def test_words_with_two_confusions_and_edits():
+    assert page_noise.edits("harvcst", "harvest") == [("e", "c")] and page_noise.edits("tournarnent", "tournament") == [("m", "rn")]
+    assert page_noise.edits("hurvcst", "harvest") == [("a", "u"), ("e", "c")] and page_noise.edits("xurvcstt", "harvest") == []
+
+
 class Words:
     """A language of a few words and pairs."""
 
@@ -96,8 +104,8 @@ def test_repair_asks_the_neighbours_and_keeps_first_lines():
     text = "The History of Rome\nunderstands what the\nbnrn in the li-\nbrary holds: bnrn wood\n\\(bnrn\\)."
     page = Page(text)
     assert [x[3] for x in page.found] == [1]
-    assert page_noise.repaired(text, language, fixes) == "The History of Rome understands what the barn in the library holds: burn wood\n\n\\(bnrn\\)."
-    found = page_noise.noise_of(text, language, page_noise.Suspects(language, fixes))
+    assert page_noise.repaired(text, language, page_noise.Suspects(fixes)) == "The History of Rome understands what the barn in the library holds: burn wood\n\n\\(bnrn\\)."
+    found = page_noise.noise_of(text, language, page_noise.Suspects(fixes))
     assert found == [("broken_word", "library"), ("misread_word", "barn"), ("misread_word", "burn")]
 
 
