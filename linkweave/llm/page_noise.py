@@ -462,6 +462,8 @@ def page_noise(records: DataFrame, limit: int = CORRECTIONS, words: int = WORDS)
 
 _HEAD = re.compile(rf"([^\W\d_]+)([{BREAKS}])$")
 _REST_OF = re.compile(r"\s*([^\W\d_]+)")
+_ENDS = frozenset(BREAKS)
+_GAPS = tuple(h + blank for h in BREAKS for blank in " \t")
 _GAPPED = re.compile(rf"([^\W\d_]+)([{BREAKS}])[ \t]+([^\W\d_]+)")
 
 
@@ -483,7 +485,7 @@ def paragraphs(page: Page, language: Language) -> list[list[tuple[bool, str]]]:
             continue
         if kinds[i] == "text":
             last = blocks[-1][-1][1] if blocks else ""
-            m = _HEAD.search(last) if open_ else None
+            m = _HEAD.search(last[max(last.rfind(" "), last.rfind("\n")) + 1 :]) if open_ and last[-1:] in _ENDS else None
             r = _REST_OF.match(line)
             if open_ and not gap and m and r:
                 glue = "" if join_word(m.group(1), m.group(2), r.group(1), True, language) else "-"
@@ -505,7 +507,10 @@ def paragraphs(page: Page, language: Language) -> list[list[tuple[bool, str]]]:
     def blank(m: re.Match) -> str:
         return m.group(1) + m.group(3) if join_word(m.group(1), m.group(2), m.group(3), False, language) else m.group()
 
-    return [[(code, part if code else _GAPPED.sub(blank, part)) for code, part in parts] for parts in blocks]
+    def filled_(part: str) -> str:
+        return _GAPPED.sub(blank, part) if any(h in part for h in _GAPS) else part
+
+    return [[(code, part if code else filled_(part)) for code, part in parts] for parts in blocks]
 
 
 def in_context(part: str) -> Iterator[tuple[int, str, str, str]]:
