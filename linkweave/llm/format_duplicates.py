@@ -116,8 +116,12 @@ def possible_hashes(hashes: DataFrame, rows: int) -> DataFrame:
 
 
 def repeated_filters(hashes: DataFrame, rows: int, max_bits: int = MAX_BITS) -> list[tuple[bytes, int]]:
-    """The filters of possible repeats with their bits; hash ``h`` belongs to that of number ``lane_of(h, len(filters))``."""
-    found = possible_hashes(hashes, rows)
+    """The filters of the possible repeats among ``hashes``."""
+    return hash_filters(possible_hashes(hashes, rows), max_bits)
+
+
+def hash_filters(found: DataFrame, max_bits: int = MAX_BITS) -> list[tuple[bytes, int]]:
+    """Bloom filters of the bigint column of ``found``, with their bits; hash ``h`` belongs to that of number ``lane_of(h, len(filters))``."""
     n = found.count()
     lanes = _power(n * BITS_A_HASH / max_bits)
     bits = min(max_bits, _power(max(1 << 13, BITS_A_HASH * n / lanes)))
@@ -175,22 +179,26 @@ def _against(held, bits: int):
     return maybe
 
 
-def possible_repeats(df: DataFrame, id_col: str, unordered: Sequence[str], exact: Sequence[str], max_bits: int = MAX_BITS) -> DataFrame:
-    """All rows with their canonical keys and ``_maybe``: false where the row is surely a singleton."""
-    keyed = _with_keys(df, id_col, unordered, exact)
-    filters = repeated_filters(keyed.select("_h"), df.count(), max_bits)
+def held_against(df: DataFrame, hash_col: str, filters: list[tuple[bytes, int]], flag: str = "_maybe") -> DataFrame:
+    """All rows with ``flag``: false where the row's hash is surely in none of the filters."""
     lanes = len(filters)
     parts = []
     for k, (bitmap, bits) in enumerate(filters):
         held = df.sparkSession.sparkContext.broadcast(bitmap)
-        mine = keyed if lanes == 1 else keyed.filter(F.shiftrightunsigned("_h", 52).bitwiseAND(lanes - 1) == k)
-        parts.append(mine.withColumn("_maybe", _against(held, bits)("_h")))
+        mine = df if lanes == 1 else df.filter(F.shiftrightunsigned(hash_col, 52).bitwiseAND(lanes - 1) == k)
+        parts.append(mine.withColumn(flag, _against(held, bits)(hash_col)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
     return out
 
 
+def possible_repeats(df: DataFrame, id_col: str, unordered: Sequence[str], exact: Sequence[str], max_bits: int = MAX_BITS) -> DataFrame:
+    """All rows with their canonical keys and ``_maybe``: false where the row is surely a singleton."""
+    keyed = _with_keys(df, id_col, unordered, exact)
+    return held_against(keyed, "_h", repeated_filters(keyed.select("_h"), df.count(), max_bits))
+
+
 def copy_groups(df: DataFrame, id_col: str, unordered: Sequence[str], exact: Sequence[str], max_bits: int = MAX_BITS) -> DataFrame:
     """``id, group_id, n_copies`` of every row that has copies; ``group_id`` is the smallest id of the group.
 

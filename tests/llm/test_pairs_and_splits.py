@@ -201,6 +201,28 @@ def test_skeletons():
         assert la.clean_of(la.clean_of(t)) == la.clean_of(t)
 
 
+def test_public_table(spark):
+    table = la.public_prototypes(spark)
+    assert len(table) > 4000
+    of = lambda t: la.skeleton_of(t, table)
+    same = [("a.b", "a․b"), ("BP", "ꓐꓑ"), ("1/2", "1⁄2"), ("1/2", "1∕2"), ("a:b", "a∶b"), ("paypal", "pаypаl"), ("In", "Ӏn"), ("Il", "Іl"), ("m", "ⅿ"), ("dz", "ʣ"), ("abc", "ａｂｃ"), ("a..b", "a‥b"), ("10", "1০"), ("x|y", "x∣y")]
+    for a, b in same:
+        assert of(a) == of(b), (a, b, of(b))
+    other = [("x2", "x²"), ("CO2", "CO₂"), ("resume", "résumé"), ("a-b", "a–b"), ("a'b", "a’b"), ("1/2", "½"), ("I", "l"), ("O", "0"), ("m", "rn"), ("1", "①"), ("Ab", "ab"), ("a…", "a..."), ("a•b", "a·b")]
+    for a, b in other:
+        assert of(a) != of(b), (a, b)
+    for t in map(chr, [c for c in table if not 0xD800 <= c < 0xE000]):
+        assert of(of(t)) == of(t) and la.clean_of(la.clean_of(t, table), table) == la.clean_of(t, table), hex(ord(t[0]))
+
+
+def test_pairs_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(la, "HOT", 4)
+    rows = [(i, "p", "abc" if i % 3 else "аbc") for i in range(30)] + [(100 + i, "p", f"х{i}") for i in range(5)]
+    df = spark.createDataFrame(rows, "id long, grp string, url string")
+    got = [tuple(r) for r in la.look_alike_pairs(df, "id", "grp", ("url",)).collect()]
+    assert len(got) == 200 and set(got) == {(a, b) for a in range(30) for b in range(a + 1, 30) if (a % 3 == 0) != (b % 3 == 0)}
+
+
 def test_look_alike_pairs(spark):
     rows = [(1, "p", "abc", None), (2, "p", "аbc", "x"), (3, "p", "abc", "х"), (4, "q", "аbc", "x"), (5, "p", "a​bc", ""), (6, None, "abc", "x"), (7, "p", "ABC", "y")]
     df = spark.createDataFrame(rows, "id long, grp string, url string, target string")
