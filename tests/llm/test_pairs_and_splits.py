@@ -205,7 +205,7 @@ def test_public_table(spark):
     table = la.public_prototypes(spark)
     assert len(table) > 4000
     of = lambda t: la.skeleton_of(t, table)
-    same = [("a.b", "a․b"), ("BP", "ꓐꓑ"), ("1/2", "1⁄2"), ("1/2", "1∕2"), ("a:b", "a∶b"), ("paypal", "pаypаl"), ("In", "Ӏn"), ("Il", "Іl"), ("m", "ⅿ"), ("dz", "ʣ"), ("abc", "ａｂｃ"), ("a..b", "a‥b"), ("10", "1০"), ("x|y", "x∣y")]
+    same = [("a.b", "a․b"), ("BP", "ꓐꓑ"), ("1/2", "1⁄2"), ("1/2", "1∕2"), ("a:b", "a∶b"), ("paypal", "pаypаl"), ("In", "Ӏn"), ("Il", "Іl"), ("m", "ⅿ"), ("dz", "ʣ"), ("abc", "ａｂｃ"), ("a..b", "a‥b"), ("10", "1০")]
     for a, b in same:
         assert of(a) == of(b), (a, b, of(b))
     other = [("x2", "x²"), ("CO2", "CO₂"), ("resume", "résumé"), ("a-b", "a–b"), ("a'b", "a’b"), ("1/2", "½"), ("I", "l"), ("O", "0"), ("m", "rn"), ("1", "①"), ("Ab", "ab"), ("a…", "a..."), ("a•b", "a·b")]
