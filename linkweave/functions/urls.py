@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions.text import TILDES, fold, nfkc
 
+# The ends of host names that are read without a scheme, and what blanks in broken addresses stand before.
 _TLD = "com|org|net|edu|gov|info|io|ai|uk|de|fr|jp|cn|au|ca|nl|es|it|se|ch|eu|int|mil"
 # The grammars of addresses in the reference's fields and texts, each with one capturing group.
 GRAMMARS = {
@@ -68,11 +69,19 @@ def repair_spacing(plain: Column, mllm: bool = False) -> Column:
 _WRAPPED = r"(?s)^\s*(?:\[(.*)\]|\((.*)\)|\{(.*)\}|<(.*)>|\"(.*)\"|'(.*)'|`(.*)`)\s*$"
 
 
-def strip_wrappers(c: Column, depth: int = 5) -> Column:
-    """Pairs of brackets or quotes around the whole taken off, up to ``depth`` of them."""
-    for _ in range(depth):
-        c = F.trim(F.regexp_replace(c, _WRAPPED, "$1$2$3$4$5$6$7"))
-    return c
+def _unwrapped(c: Column) -> Column:
+    return F.trim(F.regexp_replace(c, _WRAPPED, "$1$2$3$4$5$6$7"))
+
+
+def strip_wrappers(c: Column, depth: int | None = None) -> Column:
+    """Pairs of brackets or quotes around the whole taken off, up to ``depth`` of them, or all."""
+    if depth is not None:
+        for _ in range(depth):
+            c = _unwrapped(c)
+        return c
+    # there are no more pairs than characters that may open one
+    opened = F.length(F.regexp_extract(c, r"^([\s\[({<\"'`]*)", 1))
+    return F.when(opened > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(opened, F.lit(1))), c, lambda acc, _: _unwrapped(acc))).otherwise(F.trim(c))
 
 
 _PARTS = r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
@@ -194,7 +203,7 @@ def clean_url(c: Column, dialect: str = "markdown") -> Column:
         u = F.regexp_replace(strip_wrappers(u, 1), r"[.,;:]+$", "")
         return F.when(~u.contains("("), F.regexp_replace(u, r"\)+$", "")).otherwise(u)
     if dialect == "layout":
-        return F.regexp_replace(repair_scheme(u), r"[.,;:)\]}>\"']+$", "")
+        return F.regexp_replace(repair_scheme(u), r"[.,;:)\]}>\"'!?’”]+$", "")
     if dialect == "reference":
         return F.regexp_replace(F.regexp_replace(u, r"(?i)\.\s*Accessed\b.*$", ""), r"[.,;:)\]}>\"']+$", "")
     if dialect == "mllm":

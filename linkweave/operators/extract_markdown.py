@@ -177,6 +177,28 @@ def reference_entries(md: DataFrame) -> DataFrame:
     return cite.with_keys(d.select("paper_id", "file", "body", F.posexplode(entries).alias("entry_ix", "e")).select("paper_id", "file", "body", "entry_ix", "e.index", "e.full_text"))
 
 
+# A name and a year as they are cited, in parentheses or not.
+_OPENED = {")": "(", "]": "["}
+_NAME = r"[A-Z][A-Za-z'’`-]{2,}"
+_AUTHOR_YEAR = re.compile(rf"{_NAME}(?:\s+et al\.?|\s+(?:and|&)\s+{_NAME})?,?\s+[(\[]?(?:19|20)\d{{2}}[a-z]?[)\]]?")
+
+
+@F.pandas_udf(OCC)
+def _author_years(text: pd.Series) -> pd.Series:
+    """Every place of the form of an author-year citation. A closing bracket without its opening one isn't part of it."""
+
+    def places(t: str) -> list[dict]:
+        out = []
+        for m in _AUTHOR_YEAR.finditer(t):
+            s = m.group()
+            if s[-1] in _OPENED and _OPENED[s[-1]] not in s:
+                s = s[:-1]
+            out.append({"start": m.start(), "surface": s})
+        return out
+
+    return text.map(places, na_action="ignore")
+
+
 def restored_references(md: DataFrame) -> DataFrame:
     """Mentions with the entry put into the citing sentence, for numeric and author-year citations of entries that bear an address."""
     entries = reference_entries(md)
@@ -184,12 +206,11 @@ def restored_references(md: DataFrame) -> DataFrame:
     bodies = entries.select("paper_id", "file", "body").distinct()
     numeric = bodies.withColumn("o", F.explode(cite.numeric_spans("body"))).withColumn("n", F.explode(cite.expand_numeric(F.col("o.inner"))))
     numeric = numeric.select("paper_id", "file", "body", F.col("n").cast("string").alias("key"), F.col("n").cast("string").alias("marker"), F.col("o.style").alias("style"), F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.col("o.surface").alias("surface"), F.col("o.inside_parenthetical").alias("inside_parenthetical"))
-    # author-year: every surface of that form is looked up, instead of searching the body for every key
-    name = r"[A-Z][A-Za-z'’`-]{2,}"
-    form = rf"({name}(?:\s+et al\.?|\s+(?:and|&)\s+{name})?,?\s+\(?(?:19|20)\d{{2}}[a-z]?\)?)"
-    ay = bodies.select("paper_id", "file", "body", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit(form), F.lit(1)))).alias("surface"))
-    ay = ay.withColumn("start", (F.position(F.col("surface"), F.col("body")) - 1).cast("int"))
-    ay = ay.select("paper_id", "file", "body", F.lower(F.regexp_replace("surface", r"(?U)\s+", " ")).alias("key"), F.col("surface").alias("marker"), F.lit("author_year").alias("style"), "start", (F.col("start") + F.length("surface")).alias("end"), "surface", F.lit(False).alias("inside_parenthetical"))
+    # author-year: every occurrence of that form is looked up, instead of searching the body for every key
+    ay = bodies.select("paper_id", "file", "body", F.explode(_author_years("body")).alias("o")).select("paper_id", "file", "body", "o.surface", "o.start")
+    folded = F.translate(F.lower(F.regexp_replace("surface", r"(?U)\s+", " ")), "[]", "()")
+    # keys lose the brackets around them, so that one that ends in a year in parentheses has no closing one
+    ay = ay.select("paper_id", "file", "body", F.regexp_replace(folded, r"^[()\[\] ]+|[()\[\] ]+$", "").alias("key"), F.col("surface").alias("marker"), F.lit("author_year").alias("style"), "start", (F.col("start") + F.length("surface")).alias("end"), "surface", F.lit(False).alias("inside_parenthetical"))
     occ = numeric.unionByName(ay).join(look, ["paper_id", "key"])
     occ = first_by(occ, ["paper_id", "file", "start", "end", "entry_ix"], ["marker"])
     p = occ.withColumn("paras", _note_paragraphs("body")).withColumn("para", _at(F.col("paras"), F.col("start"))).drop("paras").filter("para is not null")

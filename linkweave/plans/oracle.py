@@ -209,6 +209,14 @@ select class, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(p, 6)
 union all select 'MACRO', null, null, null, null, null, round(avg(f1), 6) from f where class <> 'MICRO'"""
 
 
+def expanded(inner: str) -> str:
+    """The numbers of a citation group in SQL, as a list; a comma and a blank make a range, as in the operator."""
+    plain = f"replace(regexp_replace({inner}, '[–−]', '-', 'g'), ', ', '-')"
+    lo, hi = (rf"try_cast(nullif(regexp_extract(p, '^(\d{{1,4}})\s*[-–−]\s*(\d{{1,4}})\b', {k}), '') as int)" for k in (1, 2))
+    one = r"try_cast(nullif(regexp_extract(p, '^(\d{1,4})\b', 1), '') as int)"
+    return f"list_sort(list_distinct(flatten(list_transform(list_transform(regexp_split_to_array({plain}, '\\s*[,;]\\s*'), lambda x: trim(x)), lambda p: case when {lo} is not null then case when {lo} > 0 and {lo} <= {hi} and {hi} <= {lo} + 100 then range({lo}, {hi} + 1)::int[] else []::int[] end when {one} is not null then [{one}] else []::int[] end))))"
+
+
 _LATEST_ENTRIES = "(select entry_id, arg_max(paper_id, loaded_at) as paper_id, arg_max(ref_index, loaded_at) as ref_index, arg_max(full_text, loaded_at) as full_text, arg_max(urls, loaded_at) as urls from reference_entry group by entry_id)"
 
 ORACLE_SQL = {
@@ -237,11 +245,12 @@ from (select row_id, {norm_text('target', True)} as t from pmc_footnote_gold)"""
     "sentences_guarded": f"select doc_id, sent_ix, sentence from {_rows(_GUARDED)}",
     "sentence_context": _CONTEXT,
     "sentence_window": _CONTEXT,
-    "citation_numbers": rf"select doc_id, sent_ix, unnest(list_distinct(list_transform(string_split_regex(inner_text, '\s*[,;]\s*'), lambda x: x::int))) as num from (select doc_id, sent_ix, unnest(regexp_extract_all(sentence, '\[(\d{{1,4}}(?:\s*[,;\-–]\s*\d{{1,4}})*)\]', 1)) as inner_text from {_rows(_REFERENCE)})",
+    "citation_numbers": rf"select doc_id, sent_ix, unnest({expanded('inner_text')}) as num from (select doc_id, sent_ix, unnest(regexp_extract_all(sentence, '\[(\d{{1,4}}(?:\s*[,;\-–]\s*\d{{1,4}})*)\]', 1)) as inner_text from {_rows(_REFERENCE)})",
     "reference_restored": rf"""with e as (select paper_id, ref_index, arg_min(full_text, entry_id) as full_text from {_LATEST_ENTRIES} where ref_index is not null and len(urls) > 0 group by all),
-c as (select doc_id, sent_ix, sentence, unnest(list_distinct(regexp_extract_all(sentence, '\[\d{{1,4}}\]'))) as marker from {_rows(_REFERENCE)})
-select c.doc_id, sent_ix, marker, sentence[:instr(sentence, marker) + length(marker) - 1] || '[' || full_text || ']' || sentence[instr(sentence, marker) + length(marker):] as restored
-from c join documents d on c.doc_id = d.doc_id join e on e.paper_id = d.paper_id and e.ref_index = trim(marker, '[]')""",
+m as (select doc_id, sent_ix, sentence, unnest(list_distinct(regexp_extract_all(sentence, '\[\d{{1,4}}(?:\s*[,;\-–]\s*\d{{1,4}})*\]'))) as marker from {_rows(_REFERENCE)}),
+c as (select doc_id, sent_ix, sentence, marker, unnest({expanded("trim(marker, '[]')")}) as num from m)
+select c.doc_id, sent_ix, marker, num, sentence[:instr(sentence, marker) + length(marker) - 1] || '[' || full_text || ']' || sentence[instr(sentence, marker) + length(marker):] as restored
+from c join documents d on c.doc_id = d.doc_id join e on e.paper_id = d.paper_id and e.ref_index = num::varchar""",
     "index_styles": r"""select paper_id, case when i = 0 then 'author_year' when d >= 0.8 * i then 'numeric' when a >= 0.8 * i then 'alpha' else 'mixed' end as style from (
 select paper_id, count(*) filter (where trim(ref_index) <> '') as i, count(*) filter (where regexp_full_match(trim(ref_index), '[\[(]*\d+[\]).]*')) as d, count(*) filter (where regexp_full_match(trim(ref_index), '[\[(]*[A-Za-z][A-Za-z0-9+]*[\]).]*')) as a
 from reference_entry group by paper_id)""",
@@ -249,7 +258,8 @@ from reference_entry group by paper_id)""",
 m as (select md_id, paper_id, unnest(list_distinct(regexp_extract_all(text, '\[\^\w+\]'))) as surface from md_file)
 select md_id, footnote_id, surface, '[' || footnote_text || ']' as inserted from m join n on m.paper_id = n.paper_id and trim(surface, '[]()^:.') = n.marker_norm""",
     "footnote_nearest_marker": r"""with n as (select distinct paper_id, marker_norm, footnote_id, start_char from footnote where start_char is not null),
-m as (select md_id, paper_id, surface, instr(text, surface) - 1 as s from (select *, unnest(list_distinct(regexp_extract_all(text, '\[\^\w+\]'))) as surface from md_file)),
+p as (select md_id, paper_id, regexp_extract_all(text, '\[\^\w+\]') as marks, regexp_split_to_array(text, '\[\^\w+\]') as between from md_file where text is not null),
+m as (select md_id, paper_id, unnest(marks) as surface, unnest(list_transform(marks, lambda x, i: list_sum(list_transform(between[:i], lambda y: length(y))) + coalesce(list_sum(list_transform(marks[:i - 1], lambda y: length(y))), 0)))::int as s from p),
 j as (select footnote_id, s, abs(s - start_char) + case when s > start_char then 500 else 0 end + case when s < 1000 and start_char > 2500 then 2000 else 0 end as score
   from n join m on m.paper_id = n.paper_id and trim(surface, '[]()^:.') = n.marker_norm)
 select footnote_id, min((score, s))[1] as score, min((score, s))[2] as mark_start from j group by footnote_id""",

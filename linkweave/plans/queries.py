@@ -21,11 +21,12 @@ from linkweave.operators import extract_layout, extract_markdown, predicates, sc
 from linkweave.operators.matching import candidate_edges, collapse, match_edges, skeleton_merge
 from linkweave.operators.packed_values import split_packed
 from linkweave.operators.sentences import context_window, posexplode_context, split_guarded, split_layout, split_reference
-from linkweave.plans.oracle import ORACLE_SQL
+from linkweave.plans import forms, oracle
 from linkweave.session import cut, table
 from linkweave.streaming.incremental import latest
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
+ORACLE_SQL = oracle.ORACLE_SQL | forms.ORACLE_SQL
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,10 +137,15 @@ def sentence_filters(spark, sf):
 # --- citations ---
 
 
+_GROUP = r"(\[\d{1,4}(?:\s*[,;\-–]\s*\d{1,4})*\])"
+
+
 def _cited(spark, sf):
+    """Sentences with every number of their marks, groups and ranges."""
     s = _sentence_rows(spark, sf, split_reference)
     docs = table(spark, sf, "documents").select("doc_id", "paper_id")
-    return s.withColumn("marker", F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(r"(\[\d{1,4}\])"), F.lit(1))))).join(docs, "doc_id")
+    marked = s.withColumn("marker", F.explode(F.array_distinct(F.regexp_extract_all("target", F.lit(_GROUP), F.lit(1)))))
+    return marked.withColumn("num", F.explode(cite.expand_numeric(F.regexp_replace("marker", r"[\[\]]", "")))).join(docs, "doc_id")
 
 
 def citation_numbers(spark, sf):
@@ -151,8 +157,8 @@ def citation_numbers(spark, sf):
 def reference_restored(spark, sf):
     e = latest(table(spark, sf, "reference_entry").select("entry_id", "paper_id", "ref_index", "full_text", "urls", "loaded_at"), ["entry_id"], "loaded_at")
     e = scoring.first_by(e.filter("ref_index is not null and size(urls) > 0"), ["paper_id", "ref_index"], ["entry_id"]).select("paper_id", "ref_index", "full_text")
-    c = _cited(spark, sf).withColumn("ref_index", F.regexp_replace("marker", r"[\[\]]", ""))
-    return c.join(e, ["paper_id", "ref_index"]).select("doc_id", "sent_ix", "marker", cite.splice_first(F.col("target"), F.col("marker"), F.col("full_text")).alias("restored"))
+    c = _cited(spark, sf).withColumn("ref_index", F.col("num").cast("string"))
+    return c.join(e, ["paper_id", "ref_index"]).select("doc_id", "sent_ix", "marker", "num", cite.splice_first(F.col("target"), F.col("marker"), F.col("full_text")).alias("restored"))
 
 
 def reference_keys(spark, sf):
@@ -205,6 +211,34 @@ def layout_body(spark, sf):
 
 
 
+def _one_per_file(spark, sf):
+    """The Markdown texts, each under its file's name, as a paper of its own: reruns of a paper have texts of their own."""
+    return table(spark, sf, "md_file").select(F.col("file").alias("paper_id"), "file", "text")
+
+
+def markdown_footnotes(spark, sf):
+    rows, _ = extract_markdown.restored_footnotes(_one_per_file(spark, sf))
+    return rows.select("file", "marker", "url", "preceding", "target", "original_sentence", "trailing", "marker_start_char")
+
+
+def markdown_footnotes_lost(spark, sf):
+    _, lost = extract_markdown.restored_footnotes(_one_per_file(spark, sf))
+    return lost.select("file", "marker", "footnote_text", "reason")
+
+
+def markdown_references(spark, sf):
+    """Every text followed by a numbered list of those entries of its paper that its marks name: as many as it has marks."""
+    e = latest(table(spark, sf, "reference_entry").select("entry_id", "paper_id", "ref_index", "full_text", "loaded_at"), ["entry_id"], "loaded_at").filter("ref_index is not null")
+    e = scoring.first_by(e, ["paper_id", "ref_index"], ["entry_id"]).select("paper_id", F.col("ref_index").cast("int").alias("num"), "full_text")
+    d = table(spark, sf, "md_file").filter("text is not null").select("md_id", "paper_id", "file", "text")
+    cited = d.select("md_id", "paper_id", F.explode(F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("text", F.lit(_GROUP), F.lit(1)), lambda x: cite.expand_numeric(F.regexp_replace(x, r"[\[\]]", "")))))).alias("num"))
+    lists = cited.join(e, ["paper_id", "num"]).groupBy("md_id").agg(F.array_sort(F.collect_list(F.struct("num", F.regexp_replace("full_text", r"\s+", " ").alias("t")))).alias("l"))
+    refs = F.array_join(F.transform("l", lambda x: F.concat(F.lit("["), x["num"].cast("string"), F.lit("] "), x["t"])), "\n")
+    d = d.join(lists, "md_id").select(F.col("file").alias("paper_id"), "file", F.concat("text", F.lit("\n\n## References\n\n"), refs).alias("text"))
+    rows = extract_markdown.restored_references(cut(d, "with-lists"))
+    return rows.select("file", "citation_marker", "url", "target", "original_sentence", "citation_start_char", "reference_index")
+
+
 # --- deliveries, sums, sets ---
 
 
@@ -308,8 +342,9 @@ QUERIES = {
     for f in (
         url_canonical, url_canonical_mllm, url_field_set, url_eval_prf, footnote_urls, best_urls, longer_urls, document_urls, paper_id_rules, target_keys, marker_norms,
         sentences_layout, sentences_guarded, sentence_context, sentence_window, sentence_filters, citation_numbers, reference_restored, reference_keys, index_styles,
-        footnote_marks, footnote_nearest_marker, markdown_body, layout_body, latest_footnotes, location_rollup, corpus_sums, papers_without_gold, target_collapse, piped_contexts,
+        footnote_marks, footnote_nearest_marker, markdown_body, markdown_footnotes, markdown_footnotes_lost, markdown_references, layout_body, latest_footnotes, location_rollup, corpus_sums, papers_without_gold, target_collapse, piped_contexts,
         sentence_ratios, candidate_pairs, matched_pairs, merged_gold, context_report, reference_report, two_stage_report, majority_labels, p3_found,
     )
 }
+QUERIES |= forms.QUERIES
 QUERIES |= {f"class_{g}_v{v}": _classes(g, v) for g in ("fine", "coarse", "binary") for v in (1, 2, 3, 4)}

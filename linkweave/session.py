@@ -31,16 +31,29 @@ def get_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory: st
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as named in ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder is made and set.
+    Only where the session names none and all of it runs on this machine (tests) a temporary folder is made and set.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="linkweave-")
         spark.conf.set("spark.checkpoint.dir", named)
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this application's tables within the shared folder."""
+    return f"{shared_dir(spark)}/linkweave/{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this application wrote with ``cut``; frames that read them are of no use afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame, name: str = "t") -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again.
 
@@ -48,7 +61,7 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     whatever is used twice computed once.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/linkweave/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

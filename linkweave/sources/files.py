@@ -31,8 +31,14 @@ def read_strings(spark: SparkSession, path: str | list[str], columns: list[str]
 
 
 def with_ix(df: DataFrame) -> DataFrame:
-    """With ``ix``, a row number that follows files and their order within one."""
-    return df.withColumn("ix", F.monotonically_increasing_id())
+    """With ``ix``, a row number that follows the sorted paths of the files and the order of rows within one, however files are packed into tasks.
+
+    ``df`` is a scan of files that aren't split, as CSV of several lines a row is. The list of paths is the driver's, as in any scan.
+    """
+    ranks = df.sparkSession.createDataFrame([(p, k) for k, p in enumerate(sorted(df.inputFiles()))], "_path string, _rank long")
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    at = df.withColumn("_path", F.input_file_name()).withColumn("_row", row)
+    return at.join(F.broadcast(ranks), "_path", "left").withColumn("ix", F.coalesce("_rank", F.lit(0)) * F.lit(1 << 33) + F.col("_row")).drop("_path", "_row", "_rank")
 
 
 def read_located(spark: SparkSession, path: str) -> DataFrame:
