@@ -21,12 +21,12 @@ from linkweave.operators import extract_layout, extract_markdown, predicates, sc
 from linkweave.operators.matching import candidate_edges, collapse, match_edges, skeleton_merge
 from linkweave.operators.packed_values import split_packed
 from linkweave.operators.sentences import context_window, posexplode_context, split_guarded, split_layout, split_reference
-from linkweave.plans import forms, oracle
+from linkweave.plans import dialects, forms, oracle
 from linkweave.session import cut, table
 from linkweave.streaming.incremental import latest
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
-ORACLE_SQL = oracle.ORACLE_SQL | forms.ORACLE_SQL
+ORACLE_SQL = oracle.ORACLE_SQL | forms.ORACLE_SQL | dialects.ORACLE_SQL
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
@@ -346,5 +346,5 @@ QUERIES = {
         sentence_ratios, candidate_pairs, matched_pairs, merged_gold, context_report, reference_report, two_stage_report, majority_labels, p3_found,
     )
 }
-QUERIES |= forms.QUERIES
+QUERIES |= forms.QUERIES | dialects.QUERIES
 QUERIES |= {f"class_{g}_v{v}": _classes(g, v) for g in ("fine", "coarse", "binary") for v in (1, 2, 3, 4)}

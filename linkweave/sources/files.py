@@ -66,7 +66,7 @@ def read_predictions(spark: SparkSession, folders: list[str]) -> DataFrame:
 
     A false positive is scored by the output's address, any other by the gold one; the normalised form stands in for an empty one.
     """
-    df = with_ix(read_strings(spark, [f"{f}/*_all_predictions.csv" for f in folders])).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    df = with_ix(read_strings(spark, [f"{f}/*_all_predictions.csv" for f in folders])).withColumn("_file", F.regexp_extract(F.input_file_name(), r"([^/]*_all_predictions\.csv)", 1))
     df = df.filter(~F.col("_file").endswith("_gold_all_predictions.csv")).withColumn("pipeline", F.regexp_replace("_file", "_all_predictions\\.csv$", ""))
     pick = lambda a, b: F.coalesce(F.nullif(F.col(a), F.lit("")), F.col(b))
     url = F.when(F.col("match_rule") == "genuine_fp", pick("url_output", "url_output_norm")).otherwise(pick("url_gold", "url_gold_norm"))
@@ -145,7 +145,7 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """The given fields in order, empty where a row has none, with a header."""
     have = set(df.columns)
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in have else F.lit("").alias(c) for c in fields]
-    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    df.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
