@@ -1,14 +1,14 @@
 """Pairing of predicted with gold records: collapsing, candidate edges, and maximum one-to-one assignment.
 
 Records meet only where they share a paper and a canonical address (an equi-join); sentences are compared behind a bound
-from their lengths. Assignment runs in Python on one connected component of the edges at a time, so a paper with a third
-of all rows is as many tasks as it has components; edges alone on both sides are matched without Python.
+from their lengths. What must run in order runs in Python, a paper at a time; of a paper with more than SMALL rows or edges, a connected
+component at a time, so that a paper with a third of all rows is as many tasks as it has components.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkweave.functions.similarity import indel_ratio, ratio, ratio_bound
@@ -17,6 +17,8 @@ from linkweave.session import cut
 
 THRESHOLD = 80.0
 SKELETON_THRESHOLD = 97.0
+#: Papers of up to that many rows, or edges, are one task.
+SMALL = 1000
 
 
 def collapse(rows: DataFrame, group: list[str], ix: str = "ix", firsts: tuple[str, ...] = (), filled: tuple[str, ...] = (), urls: str = "urls") -> DataFrame:
@@ -30,45 +32,83 @@ def collapse(rows: DataFrame, group: list[str], ix: str = "ix", firsts: tuple[st
     return rows.groupBy(*group).agg(*aggs).join(sets, group, "left").withColumn(urls, F.coalesce(urls, none))
 
 
+def _longest(length: Column, threshold: float) -> Column:
+    """The length of the longest text whose ratio with one of ``length`` can reach the threshold."""
+    return F.floor(length * (200.0 - threshold) / threshold + 1e-9).cast("int")
+
+
+def near_texts(texts: DataFrame, group: str, text: str, threshold: float = SKELETON_THRESHOLD) -> DataFrame:
+    """``group, a, b``: all pairs of different texts of one group (``group, text``, distinct) whose indel ratio reaches the threshold.
+
+    A text of length n that takes at most d insertions and deletions to become another keeps one of d + 1 pieces whole, moved by as many places as
+    characters came or went before it. Shorter texts are looked up by their pieces, longer ones by all places a piece may have moved to: an equi-join, exact.
+    """
+    part = 1.0 - threshold / 100.0
+    t = texts.select(F.col(group).alias("grp"), F.col(text).alias("t")).filter("t <> ''").withColumn("n", F.length("t"))
+    most = lambda n: F.floor((n + _longest(n, threshold)) * part + 1e-9).cast("int")
+    pieces = t.withColumn("k", most(F.col("n")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    index = pieces.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, cast(floor(i * n / k) as int) + 1, cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int))")).alias("h"), F.col("t").alias("a"))
+    probes = t.withColumnRenamed("n", "m").withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("m") * threshold / (200.0 - threshold) - 1e-9).cast("int")), F.col("m"))))
+    probes = probes.withColumn("k", most(F.col("n")) + 1).withColumn("d", F.floor((F.col("m") + F.col("n")) * part + 1e-9).cast("int")).filter("m - n <= d")
+    probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    probes = probes.withColumn("s", F.expr("cast(floor(i * n / k) as int)")).withColumn("z", F.expr("cast(floor((i + 1) * n / k) as int) - s"))
+    probes = probes.withColumn("at", F.explode(F.expr("sequence(s - cast(floor((d - (m - n)) / 2) as int), s + cast(floor((d + m - n) / 2) as int))"))).filter("at >= 0 and at + z <= m")
+    probes = probes.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, at + 1, z)")).alias("h"), F.col("t").alias("b"))
+    pairs = index.join(probes, ["grp", "n", "i", "h"]).filter("a <> b").select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    near = cut(pairs.filter(ratio_bound(F.col("a"), F.col("b")) >= threshold), "near").withColumn("sim", indel_ratio(F.col("a"), F.col("b")))
+    return near.filter(F.col("sim") >= threshold).select(F.col("grp").alias(group), "a", "b")
+
+
 def skeleton_merge(rows: DataFrame, threshold: float = SKELETON_THRESHOLD) -> DataFrame:
     """Near-duplicate gold rows merged greedily, in the order of ``ix``: rows ``ix, paper_id, urls, target_raw, target_norm, skeleton``.
 
     A row absorbs later ones of its paper whose skeleton is as good as equal and whose addresses overlap those gathered
-    so far, or are none. The fold is sequential, but only rows linked by shared addresses can meet: it runs by such components (the
-    whole paper where a row has no address). The representative has the most addresses, then the longest sentence, then comes first.
+    so far, or are none. The fold is sequential, but only rows with near skeletons can meet: in a paper of more than SMALL rows it runs by
+    components of near skeletons. The representative has the most addresses, then the longest sentence, then comes first.
     """
-    keyed = rows.withColumn("_p", F.xxhash64("paper_id", "ix"))
-    bare = keyed.filter(F.size("urls") == 0).select("paper_id").distinct()
-    links = keyed.select(F.concat(F.lit("r"), "ix").alias("a"), "paper_id", F.explode("urls").alias("u")).select("a", F.concat_ws("\u0001", F.lit("u"), "paper_id", "u").alias("b"))
-    comp = components(links)
-    placed = keyed.withColumn("node", F.concat(F.lit("r"), "ix")).join(comp, "node", "left")
-    whole = placed.join(bare.withColumn("_bare", F.lit(True)), "paper_id", "left").withColumn("block", F.when(F.col("_bare"), F.concat_ws("\u0001", F.lit("p"), "paper_id")).otherwise(F.coalesce("component", "node")))
+    n = rows.groupBy("paper_id").agg((F.count("*") > SMALL).alias("_large"))
+    sized = cut(rows.join(n, "paper_id"), "to-merge")
+    node = F.xxhash64("paper_id", "skeleton")
+    large = sized.filter("_large")
+    near = near_texts(large.select("paper_id", "skeleton").distinct(), "paper_id", "skeleton", threshold)
+    comp = components(near.select(F.xxhash64("paper_id", "a").alias("a"), F.xxhash64("paper_id", "b").alias("b")))
+    placed = large.withColumn("node", node).join(comp, "node", "left").withColumn("block", F.coalesce("component", "node")).drop("node", "component")
+    blocks = placed.unionByName(sized.filter("not _large").withColumn("block", F.xxhash64("paper_id")))
     kind = dict(rows.dtypes)["ix"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
+        known: dict[tuple[str, str], bool] = {}
+
+        def alike(a: str, b: str) -> bool:
+            if a == b:
+                return True
+            if min(len(a), len(b)) * 200.0 < threshold * (len(a) + len(b)):
+                return False
+            key = (a, b)
+            if key not in known:
+                known[key] = ratio(a, b) >= threshold
+            return known[key]
+
         for paper, part in pdf.groupby("paper_id", sort=False):
-            part = part.sort_values("ix")
-            recs = part.to_dict("records")
-            free = [True] * len(recs)
-            for i, base in enumerate(recs):
-                if not free[i]:
-                    continue
-                group, urls = [base], set(base["urls"])
-                free[i] = False
-                for j in range(len(recs)):
-                    if not free[j]:
-                        continue
-                    other = set(recs[j]["urls"])
-                    if (urls & other or not urls or not other) and ratio(base["skeleton"], recs[j]["skeleton"]) >= threshold:
-                        free[j] = False
-                        group.append(recs[j])
-                        urls |= other
-                rep = max(group, key=lambda r: (len(set(r["urls"])), len(r["target_raw"])))
+            recs = part.sort_values("ix").to_dict("records")
+            for r in recs:
+                r["set"] = set(r["urls"])
+            left = recs
+            while left:
+                base, group, urls, rest = left[0], [left[0]], set(left[0]["set"]), []
+                for r in left[1:]:
+                    if (not urls or not r["set"] or not urls.isdisjoint(r["set"])) and alike(base["skeleton"], r["skeleton"]):
+                        group.append(r)
+                        urls |= r["set"]
+                    else:
+                        rest.append(r)
+                rep = max(group, key=lambda r: (len(r["set"]), len(r["target_raw"])))
                 out.append((rep["ix"], paper, sorted(urls), rep["target_raw"], rep["target_norm"], rep["skeleton"], [g["ix"] for g in group]))
+                left = rest
         return pd.DataFrame(out, columns=["ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton", "merged"])
 
-    cols = whole.select("block", "ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton")
+    cols = blocks.select("block", "ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton")
     return cols.groupBy("block").applyInPandas(fold, f"ix {kind}, paper_id string, urls array<string>, target_raw string, target_norm string, skeleton string, merged array<{kind}>")
 
 
@@ -117,22 +157,26 @@ def maximum_matching(edges: list[tuple[int, int, int, float]], by_shared: bool =
     return sorted(of_gold.items())
 
 
-def match_edges(edges: DataFrame, by_shared: bool = True) -> DataFrame:
-    """``g, p`` of a maximum assignment of ``g, p, shared, sim`` (ids unique over all papers)."""
-    e = cut(edges.select("g", "p", "shared", "sim"), "to-match")
+def match_edges(edges: DataFrame, by_shared: bool = True, on: tuple[str, ...] = ("loc", "paper_id")) -> DataFrame:
+    """``g, p`` of a maximum assignment of ``g, p, shared, sim`` (ids unique over all papers), by the groups ``on`` that the edges have."""
+    keys = [c for c in on if c in edges.columns]
+    e = cut(edges.select("g", "p", "shared", "sim", F.xxhash64(*keys).alias("grp") if keys else F.lit(0).cast("long").alias("grp")), "to-match")
     dg = e.groupBy("g").agg(F.count("*").alias("ng"))
     dp = e.groupBy("p").agg(F.count("*").alias("np"))
     d = cut(e.join(dg, "g").join(dp, "p"), "degrees")
-    # an edge alone on both sides is matched; the rest goes by component
+    # an edge alone on both sides is matched; the rest goes by group, and in large groups by component
     sure = d.filter("ng = 1 and np = 1").select("g", "p")
-    rest = d.filter("ng > 1 or np > 1").select("g", "p", "shared", "sim")
-    comp = components(rest.select(F.concat(F.lit("g"), "g").alias("a"), F.concat(F.lit("p"), "p").alias("b")))
-    placed = rest.withColumn("node", F.concat(F.lit("g"), "g")).join(comp, "node")
+    rest = d.filter("ng > 1 or np > 1").select("grp", "g", "p", "shared", "sim")
+    large = rest.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > (SMALL if keys else 0)).select("grp", F.lit(True).alias("large"))
+    rest = cut(rest.join(large, "grp", "left"), "rest")
+    comp = components(rest.filter("large").select(F.concat(F.lit("g"), "g").alias("a"), F.concat(F.lit("p"), "p").alias("b")))
+    placed = rest.filter("large").withColumn("node", F.concat(F.lit("g"), "g")).join(comp, "node").select(F.col("component").alias("block"), "g", "p", "shared", "sim")
+    placed = placed.unionByName(rest.filter("large is null").select(F.col("grp").cast("string").alias("block"), "g", "p", "shared", "sim"))
     types = dict(e.dtypes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         got = maximum_matching(list(pdf[["g", "p", "shared", "sim"]].itertuples(index=False, name=None)), by_shared)
         return pd.DataFrame(got, columns=["g", "p"])
 
-    matched = placed.select("component", "g", "p", "shared", "sim").groupBy("component").applyInPandas(run, f"g {types['g']}, p {types['p']}")
+    matched = placed.groupBy("block").applyInPandas(run, f"g {types['g']}, p {types['p']}")
     return sure.unionByName(matched)

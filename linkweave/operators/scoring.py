@@ -140,7 +140,7 @@ def two_stage(gold: DataFrame, pred: DataFrame, accepted: DataFrame, threshold:
         return cut(near.withColumn("s", indel_ratio(F.col("at"), F.col("pt"))), "accepted").filter(F.col("s") >= threshold)
 
     sim2 = liked(shared).groupBy("g", "p").agg(F.max("s").alias("sim"))
-    edges2 = shared.groupBy("g", "p").agg(F.count("*").alias("shared")).join(sim2, ["g", "p"])
+    edges2 = shared.groupBy("paper_id", "g", "p").agg(F.count("*").alias("shared")).join(sim2, ["g", "p"])
     two = cut(match_edges(edges2), "stage2")
     claimed = g.join(one.select(F.col("g").alias("ix")).unionByName(two.select(F.col("g").alias("ix"))), "ix", "left_semi").select("paper_id", F.explode("urls").alias("url")).distinct()
     left = pl.join(two.select(F.col("p").alias("ix")), "ix", "left_anti")

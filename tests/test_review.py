@@ -60,3 +60,61 @@ def test_written_tables_are_released():
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120)
     assert "done" in out.stdout, out.stderr[-2000:]
     assert cut and release and run_dir
+
+
+def test_near_texts_by_brute_force(spark):
+    import random
+
+    from linkweave.functions.similarity import ratio
+    from linkweave.operators.matching import near_texts
+
+    random.seed(4)
+    texts = set()
+    for _ in range(60):
+        base = "".join(random.choice("abcde ") for _ in range(random.choice([3, 10, 40, 90, 130])))
+        texts.add(base)
+        for _ in range(4):
+            t = list(base)
+            for _ in range(random.randint(0, 6)):
+                k = random.randrange(len(t) + 1)
+                if random.random() < 0.5:
+                    t.insert(k, random.choice("abcde "))
+                elif len(t) > k:
+                    t.pop(k)
+            texts.add("".join(t))
+    rows = [(random.choice("pq"), t) for t in texts]
+    want = {(p, *sorted((a, b))) for p, a in rows for q, b in rows if p == q and a != b and a and b and ratio(a, b) >= 97.0}
+    df = spark.createDataFrame(rows, "paper_id string, skeleton string")
+    got = [tuple(r) for r in near_texts(df, "paper_id", "skeleton").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+
+
+def test_large_papers_merge_and_match_as_small_ones(spark, monkeypatch):
+    import random
+
+    from linkweave.operators import matching
+
+    random.seed(7)
+    names = ["The tool of the north is described at the place of its making", "Another sentence stands here and tells of nothing else at all", "Short one"]
+    rows = []
+    for i in range(160):
+        t = random.choice(names)
+        if random.random() < 0.4:
+            k = random.randrange(len(t))
+            t = t[:k] + random.choice("xy") + t[k:]
+        rows.append((i, random.choice("pq"), random.sample(["u1", "u2", "u3"], random.choice([0, 1, 1, 2])), t, t, t.lower()))
+    df = spark.createDataFrame(rows, "ix long, paper_id string, urls array<string>, target_raw string, target_norm string, skeleton string")
+    edges = spark.createDataFrame([("p", g, p, 1, float(80 + (g * p) % 20)) for g in range(40) for p in range(40) if (g * 7 + p * 3) % 5 < 1], "paper_id string, g long, p long, shared long, sim double")
+    merge = lambda: sorted((r["ix"], tuple(r["urls"]), tuple(r["merged"])) for r in matching.skeleton_merge(df).collect())
+    match = lambda: sorted(tuple(r) for r in matching.match_edges(edges).collect())
+    small = (merge(), match())
+    monkeypatch.setattr(matching, "SMALL", 5)
+    assert (merge(), match()) == small and sum(len(m) for _, _, m in small[0]) == 160
+
+
+def test_components_of_chains_and_combs(spark):
+    from linkweave.operators.graph import components
+
+    chain = [(i, i + 1) for i in range(0, 60)] + [(2 * i + 1001, 2 * i + 1000) for i in range(60)] + [(2 * i + 1000, 2 * i + 1002) for i in range(59)] + [(5000, 5000)]
+    got = components(spark.createDataFrame(chain, "a long, b long")).groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("lo")).collect()
+    assert sorted((r["lo"], r["n"]) for r in got) == [(0, 61), (1000, 120), (5000, 1)]
