@@ -50,3 +50,31 @@ def test_long_cell():
 @pytest.mark.parametrize("text,want", [(f"({A}),", A), (f"{A}.", f"{A}."), (f"- {A}", A), ("", "")])
 def test_bare(text, want):
     assert bare(text) == want
+
+
+def test_hosts_without_scheme_count_where_the_column_knows_them(spark):
+    rows = [(i, f"https://h{i % 7}.example/p{i}") for i in range(300)]
+    rows += [(1000, "h3.example/a; h4.example/b"), (1001, "see data.csv; read.me/x"), (1002, "https://h1 . h2.example/x"), (1003, "h5.example/only"), (1004, "http://new.example/1 and www.h2.example/2 or h6.example/3.")]
+    got: dict[int, list] = {}
+    for r in split_packed(spark.createDataFrame(rows, "id long, url string"), "id", "url").collect():
+        got.setdefault(r["id"], []).append((r["pos"], r["value"]))
+    assert {i: [v for _, v in sorted(x)] for i, x in got.items()} == {1000: ["h3.example/a", "h4.example/b"], 1004: ["http://new.example/1", "www.h2.example/2", "h6.example/3."]}
+
+
+def test_expectation_maximisation_does_not_merge_lists():
+    from collections import Counter
+
+    from linkweave.operators.packed_values import expected
+
+    pats = {"A": 500, "A\x1f; \x1fE": 200, "E\x1f, \x1fA\x1f, \x1fa": 100, "n\x1f \x1fA\x1f \x1fn\x1f \x1fE": 50, "a": 80}
+    counts: dict[str, float] = {}
+    for _ in range(12):
+        out = Counter()
+        for p, n in pats.items():
+            expected(p, Model(counts), float(n), out)
+        counts = dict(out)
+    model = Model(counts)
+    assert viterbi("A\x1f; \x1fE", model) == [True] and viterbi("E\x1f, \x1fA\x1f, \x1fa", model) == [True, True] and viterbi("n\x1f \x1fA\x1f \x1fn\x1f \x1fE", model) == [True, True, True]
+    # the lattice has the other edge too: a delimiter that was never seen to separate, before a host that starts nothing else
+    joins = Model(counts | {"j:-\x1fa": 1e14, "s:-\x1fa": 0.0})
+    assert viterbi("A\x1f-\x1fa", joins) == [False]
