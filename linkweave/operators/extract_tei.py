@@ -75,8 +75,20 @@ def notes(tei: DataFrame) -> DataFrame:
     return n.filter(F.size("urls") > 0)
 
 
-def footnotes(tei: DataFrame) -> DataFrame:
-    """Mentions of foot notes: by linked marks, then by reference marks that read like the mark of a note no mark links to.
+def inline_addresses(tei: DataFrame) -> DataFrame:
+    """Sentences with a tagged address as footnote items of their own: no marker, the address as the note, nothing to restore."""
+    s = context_window(_sentences(tei).withColumn("plain", render(F.col("tokens"), "note")), ["paper_id", "para"], "sent", "plain")
+    near = lambda c: F.nullif(F.trim(F.when(F.col("direct"), F.col(c))), F.lit(""))
+    m = s.select("*", F.posexplode("tokens").alias("tok", "t")).filter("t.kind = 'url'")
+    m = m.withColumn("url", clean_url(F.trim(F.coalesce(F.nullif(F.col("t.target"), F.lit("")), F.col("t.text"))), "note"))
+    m = m.filter((F.col("url") != "") & ~F.lower("url").startswith("mailto:") & (F.size(urls_in_text(F.col("url"), "note", "note")) > 0))
+    m = m.withColumn("preceding", near("preceding")).withColumn("trailing", near("trailing"))
+    return m.select("paper_id", F.lit("footnote").alias("location"), F.lit("").alias("footnote_marker"), F.col("url").alias("footnote_content"), F.array("url").alias("urls"), F.col("plain").alias("original_sentence"), F.col("plain").alias("target"), "preceding", "trailing", F.col("preceding").isNull().alias("at_paragraph_start"), F.col("trailing").isNull().alias("at_paragraph_end"))
+
+
+def footnotes(tei: DataFrame, inline: bool = False) -> DataFrame:
+    """Mentions of foot notes: by linked marks, then by reference marks that read like the mark of a note no mark links to; with ``inline`` addresses
+    within sentences too.
 
     Of equal restored sentences of a paper the first counts.
     """
@@ -96,7 +108,8 @@ def footnotes(tei: DataFrame) -> DataFrame:
     cols = ["paper_id", "para", "sent", "tok", "step", F.col("plain").alias("original_sentence"), F.col("restored").alias("target"), "marker", "content", "urls", "preceding", "trailing"]
     both = one.select(*cols).unionByName(two.select(*cols))
     out = first_by(both, ["paper_id", F.lower("target")], ["step", "para", "sent", "tok"])
-    return out.select("paper_id", F.lit("footnote").alias("location"), F.col("marker").alias("footnote_marker"), F.col("content").alias("footnote_content"), "urls", "original_sentence", "target", "preceding", "trailing", F.col("preceding").isNull().alias("at_paragraph_start"), F.col("trailing").isNull().alias("at_paragraph_end"))
+    out = out.select("paper_id", F.lit("footnote").alias("location"), F.col("marker").alias("footnote_marker"), F.col("content").alias("footnote_content"), "urls", "original_sentence", "target", "preceding", "trailing", F.col("preceding").isNull().alias("at_paragraph_start"), F.col("trailing").isNull().alias("at_paragraph_end"))
+    return out.unionByName(inline_addresses(tei)) if inline else out
 
 
 def references(tei: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ AFTER_REFERENCES = [
     "acknowledgements", "acknowledgments", "author contributions", "competing interests", "conflict of interest", "additional information", "supplementary information",
     "reprints and permissions", "publisher's note", "publisher’s note", "open access", "correspondence", "ethics declarations", "data availability", "code availability",
 ]
+# Headings looked for on the pages of a PDF.
+PAGE_HEADINGS = ["references", "bibliography", "works cited", "literature cited", "literature", "sources", "citations", "notes", "reference list", "list of references"]
 LAYOUT_HEADINGS = ["references", "bibliography", "works cited", "literature cited", "literature", "sources", "références", "literatur", "bibliografía", "bibliografia", "bibliographie", "referências", "referencias"]
 _LAYOUT_REFERENCES = r"(?im)^[ \t]*(?:\d+(?:\.\d+)*\.?\s+)?(?:References(?:\s+(?:and\s+Notes|Cited))?|Bibliography|Works\s+Cited|Literature\s+Cited|Cited\s+References|Reference\s+List|Sources)[ \t]*:?[ \t]*\.?[ \t]*$"
 _LAYOUT_ACKNOWLEDGEMENTS = r"(?im)^[ \t]*(?:\d+(?:\.\d+)*\.?\s+)?(?:Acknowledge?ments?|Funding(?:\s+Information)?|Author\s+Contributions)[ \t]*:?[ \t]*\.?[ \t]*$"
@@ -94,6 +96,42 @@ def references_cutoff(boxes: DataFrame) -> DataFrame:
     return hit.groupBy("paper_id").agg(F.min(F.struct("page", "y0")).alias("c")).select("paper_id", F.col("c.page").alias("cut_page"), F.col("c.y0").alias("cut_y0"))
 
 
+def page_heading_line(line: Column) -> Column:
+    """Whether a line of a page's text is a references' heading: alone, or with numbers and signs behind it; 60 characters at most."""
+    t = F.trim(line)
+    key = F.trim(F.regexp_replace(F.lower(t), r"[.:]+$", ""))
+    return F.coalesce((F.length(t) <= 60) & key.rlike(rf"^(?:{'|'.join(PAGE_HEADINGS)})[0-9\s().,:;\-–—]*$"), F.lit(False))
+
+
+def heading_pages(pages: DataFrame) -> DataFrame:
+    """``pdf, ref_page``: the first page ``pdf, page, text`` any line of which is a references' heading."""
+    hit = F.exists(F.split("text", r"\r?\n"), page_heading_line)
+    return pages.filter(hit).groupBy("pdf").agg(F.min("page").alias("ref_page"))
+
+
+def page_plan(pages: DataFrame) -> DataFrame:
+    """``pdf, page, is_body, is_references, tier`` of pages ``pdf, page, text, role``.
+
+    Tier 1: every page of a pdf has a role; mixed pages are both. Tier 2: the pages from the one with a references' heading on are references.
+    Tier 3: neither; roles count where there are some (those of the pages of ``tail_pages``, asked for again), any other page is body.
+    """
+    w = Window.partitionBy("pdf")
+    d = pages.withColumn("_n", F.count("*").over(w)).withColumn("_known", F.count("role").over(w)).join(heading_pages(pages), "pdf", "left")
+    tier = F.when(F.col("_n") == F.col("_known"), 1).when(F.col("ref_page").isNotNull(), 2).otherwise(3)
+    d = d.withColumn("tier", tier)
+    late = F.col("page") >= F.col("ref_page")
+    body = F.when(F.col("tier") == 2, ~late).otherwise(F.coalesce(F.col("role").isin("body", "mixed"), F.lit(True)))
+    refs = F.when(F.col("tier") == 2, late).otherwise(F.coalesce(F.col("role").isin("references", "mixed"), F.lit(False)))
+    return d.select("pdf", "page", body.alias("is_body"), refs.alias("is_references"), "tier")
+
+
+def tail_pages(pages: DataFrame, share: float = 0.7) -> DataFrame:
+    """The pages behind ``share`` of each pdf in tier 3, to be classified again."""
+    n = F.max("page").over(Window.partitionBy("pdf"))
+    plan = page_plan(pages).filter("tier = 3").select("pdf", "page")
+    return pages.withColumn("_late", F.col("page") > F.floor(n * share)).filter("_late").drop("_late").join(plan, ["pdf", "page"], "left_semi")
+
+
 def page_roles(pages: DataFrame) -> DataFrame:
     """``is_body, is_references`` of model-classified pages ``pdf, page, role``; where no page of a pdf has a role, the last 30 % are references."""
     w = Window.partitionBy("pdf")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkweave.functions import paper_ids
 from linkweave.functions.similarity import indel_ratio, ratio_bound, sorted_tokens
-from linkweave.functions.text import norm_text, target_skeleton
+from linkweave.functions.text import match_key, norm_text, target_skeleton
 from linkweave.functions.urls import boilerplate_of_set, url_list_mllm, url_set
 from linkweave.operators.matching import THRESHOLD, candidate_edges, collapse, match_edges, skeleton_merge
 from linkweave.session import cut
@@ -242,6 +242,21 @@ def corpus_counts(mentions: DataFrame, paper: str = "paper_id", url: str = "url"
     return per.agg(F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.count("*").alias("papers"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"))
 
 
+def run_summary(items: DataFrame, papers: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
+    """Of a run over ``papers`` (``paper_id``): items and distinct addresses of every paper, those without any included, and the totals of the corpus."""
+    per = papers.select("paper_id").distinct().join(items.groupBy("paper_id").agg(F.count("*").alias("items"), F.count_distinct(url).alias("urls")), "paper_id", "left")
+    per = per.select("paper_id", F.coalesce("items", F.lit(0)).alias("items"), F.coalesce("urls", F.lit(0)).alias("urls"))
+    totals = per.agg(F.count("*").alias("papers"), F.coalesce(F.sum((F.col("items") > 0).cast("long")), F.lit(0)).alias("papers_with_items"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.coalesce(F.sum("urls"), F.lit(0)).alias("urls"))
+    return per, totals
+
+
+def distinct_items(items: DataFrame, order: list[Column | str], sentence: str = "original_sentence", marker: str = "marker", urls: str = "urls", group: str = "pdf") -> DataFrame:
+    """Items that two pages reported count once: the first of each pdf, sentence (as a key for matching), marker and set of addresses, whatever their case."""
+    keys = [match_key(F.coalesce(F.col(sentence), F.lit(""))), F.lower(F.trim(F.coalesce(F.col(marker), F.lit("")))), F.array_sort(F.transform(F.coalesce(F.col(urls), F.array().cast("array<string>")), lambda u: F.lower(u)))]
+    keyed = items.withColumns({f"_k{i}": k for i, k in enumerate(keys)})
+    return first_by(keyed, [group, "_k0", "_k1", "_k2"], order).drop("_k0", "_k1", "_k2")
+
+
 def first_by(df: DataFrame, keys: list[Column | str], order: list[Column | str]) -> DataFrame:
     """The first row of each key in the given order: the reference's "first wins"."""
     w = Window.partitionBy(*keys).orderBy(*order)

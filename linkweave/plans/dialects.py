@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.operators import extract_layout, extract_tei, regions
+from linkweave.operators import extract_layout, extract_tei, regions, scoring
 from linkweave.plans.forms import FLAGS
 from linkweave.plans.oracle import ws
 from linkweave.session import filled, run_dir, table
@@ -164,6 +164,47 @@ def model_own_pages(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["model_own_pages"] = model_own_pages
 ORACLE_SQL["model_own_pages"] = f"select paper_id as pdf, page::int as page from {_GOLD}, range(1, 4) t(page) where i % 3 = 0 or page = 2"
 
+def model_page_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten pages to a paper: a third of the papers have roles on all pages, a third a heading on the seventh, the rest neither."""
+    k = F.col("pdf").cast("long") % 3
+    p = _prose(spark, sf).select(F.col("paper_id").alias("pdf"), F.explode(F.sequence(F.lit(1), F.lit(10))).alias("page"))
+    role = F.when(k == 0, F.when(F.col("page") == 8, "mixed").when(F.col("page") > 8, "references").otherwise("body")).when((k == 2) & (F.col("page") == 10), "references")
+    text = F.when((k == 1) & (F.col("page") >= 7), "Running head\nREFERENCES (2)\nA. B.").otherwise("references are given below")
+    return regions.page_plan(p.withColumn("role", role).withColumn("text", text))
+
+
+QUERIES["model_page_plan"] = model_page_plan
+ORACLE_SQL["model_page_plan"] = f"""select paper_id as pdf, page::int as page, (i % 3 + 1)::int as tier, case i % 3 when 0 then page <= 8 when 1 then page < 7 else page < 10 end as is_body,
+  case i % 3 when 0 then page >= 8 when 1 then page >= 7 else page = 10 end as is_references from {_GOLD}, range(1, 11) t(page)"""
+QUERIES["model_clips"] = lambda spark, sf: _prose(spark, sf).select("paper_id", mllm.clip(F.lit(600.0), F.lit(800.0), "bottom", 0.5)["y0"].alias("y0"), mllm.clip(F.lit(600.0), F.lit(800.0), "top", 0.25)["y1"].alias("y1"), F.length(mllm.text_section(F.repeat("w", 60))).alias("n"))
+ORACLE_SQL["model_clips"] = f"select paper_id, 400.0 as y0, 200.0 as y1, case when w = '' then 0 else least(3000, 60 * length(w)) + length(chr(10) || 'TEXT LAYER:' || chr(10) || '---' || chr(10) || chr(10) || '---' || chr(10)) end::int as n from {_GOLD}"
+
+
+def model_distinct_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every restored item reported by two pages, with other blanks, dashes and case of the address, and once with another marker."""
+    p = _prose(spark, sf).select(F.col("paper_id").alias("pdf"), F.explode(F.array(*[F.struct(F.lit(k).alias("page"), F.lit(m).alias("marker"), F.lit(t).alias("tail"), F.lit(u).alias("u")) for k, m, t, u in ((1, "[1]", "a - b", "http://A.example"), (2, " [1] ", "a  –  B", "http://a.example"), (3, "[2]", "a - b", "http://a.example"))])).alias("x"), "w")
+    items = p.select("pdf", "x.page", "x.marker", F.concat("w", F.lit(" "), "x.tail").alias("original_sentence"), F.array("x.u").alias("urls"))
+    return scoring.distinct_items(items, ["page"]).select("pdf", "page", "marker")
+
+
+QUERIES["model_distinct_items"] = model_distinct_items
+ORACLE_SQL["model_distinct_items"] = f"select paper_id as pdf, k::int as page, case k when 1 then '[1]' else '[2]' end as marker from {_GOLD}, (values (1), (3)) t(k)"
+QUERIES["tei_inline"] = lambda spark, sf: extract_tei.inline_addresses(_tei(spark, sf)).select("paper_id", "footnote_marker", "footnote_content", "target", "preceding", "trailing")
+ORACLE_SQL["tei_inline"] = f"select paper_id, '' as footnote_marker, 'https://x.example/r/' || paper_id as footnote_content, trim(w || ' uses a link well.') as target, 'It began so.' as preceding, 'All ended so.' as trailing from {_GOLD}"
+
+
+def run_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """The totals of a run over all papers with a text, of the addresses of their notes."""
+    notes = table(spark, sf, "footnote").select("paper_id", F.explode("urls").alias("url"))
+    papers = table(spark, sf, "md_file").select("paper_id")
+    return scoring.run_summary(notes.join(papers.distinct(), "paper_id", "left_semi"), papers)[1]
+
+
+QUERIES["run_totals"] = run_totals
+ORACLE_SQL["run_totals"] = """with n as (select paper_id, unnest(urls) as url from footnote), p as (select distinct paper_id from md_file),
+g as (select p.paper_id, count(n.url) as items, count(distinct n.url) as urls from p left join n using (paper_id) group by 1)
+select count(*) as papers, count(*) filter (where items > 0) as papers_with_items, sum(items)::bigint as items, sum(urls)::bigint as urls from g"""
+
 # --- scans and sinks ---
 
 _FIELDS = ["paper_id", "target", "url", "location", "label", "split", "none"]

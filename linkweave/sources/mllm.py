@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -80,6 +81,22 @@ def prompt(template: str, **fields: Column) -> Column:
     return out
 
 
+#: Characters of a page's text layer that go into a prompt.
+TEXT_LAYER = 3000
+
+
+def text_section(text: Column, title: str = "TEXT LAYER") -> Column:
+    """The beginning of a text layer as a section of a prompt; nothing where there is none."""
+    return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.concat(F.lit(f"\n{title}:\n---\n"), F.substring(text, 1, TEXT_LAYER), F.lit("\n---\n")))
+
+
+def clip(width: Column, height: Column, part: str, share: float | Column) -> Column:
+    """``x0, y0, x1, y1`` of the top of a page up to ``share`` of its height, or of the bottom from there on."""
+    at = height * (F.lit(share) if isinstance(share, float) else share)
+    top = part == "top"
+    return F.struct(F.lit(0.0).alias("x0"), (F.lit(0.0) if top else at).alias("y0"), width.alias("x1"), (at if top else height).alias("y1"))
+
+
 def with_neighbours(pages: DataFrame, *cols: str) -> DataFrame:
     """The previous and next page's columns as ``prev_*`` and ``next_*``."""
     from pyspark.sql import Window
@@ -96,10 +113,11 @@ def page_batches(pages: DataFrame, size: int = 6) -> DataFrame:
     return pages.groupBy("pdf", b.alias("batch")).agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("pages"))
 
 
-def call_model(df: DataFrame, client: Callable[[str], str], tries: int = 3, parallelism: int | None = None) -> DataFrame:
+def call_model(df: DataFrame, client: Callable[[str], str], tries: int = 3, parallelism: int | None = None, pause: float = 0.0) -> DataFrame:
     """Rows with ``prompt`` sent to an injected ``client``; ``answer`` is JSON text, an empty object after ``tries`` failures, ``error`` says why.
 
-    Failures stay with their row. ``parallelism`` bounds the tasks, and so the calls, at a time.
+    Failures stay with their row. ``parallelism`` bounds the tasks, and so the calls, at a time; ``pause`` seconds pass after every call. How long a call may
+    take is the client's to bound.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,6 +133,9 @@ def call_model(df: DataFrame, client: Callable[[str], str], tries: int = 3, para
                         break
                     except Exception as e:  # noqa: BLE001
                         answer, error = "{}", f"{type(e).__name__}: {e}"
+                    finally:
+                        if pause:
+                            time.sleep(pause)
                 answers.append(answer)
                 errors.append(error)
             yield b.assign(answer=answers, error=errors)

@@ -118,3 +118,33 @@ def test_components_of_chains_and_combs(spark):
     chain = [(i, i + 1) for i in range(0, 60)] + [(2 * i + 1001, 2 * i + 1000) for i in range(60)] + [(2 * i + 1000, 2 * i + 1002) for i in range(59)] + [(5000, 5000)]
     got = components(spark.createDataFrame(chain, "a long, b long")).groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("lo")).collect()
     assert sorted((r["lo"], r["n"]) for r in got) == [(0, 61), (1000, 120), (5000, 1)]
+
+
+def test_run_writes_items_and_summaries(spark, tmp_path):
+    from linkweave.run import run
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "p.md").write_text("# Introduction\n\nWe use a tool available at https://a.example.org/x1. It works.\n\nMore text.\n\n")
+    (tmp_path / "in" / "q.md").write_text("Nothing.\n")
+    got = run(spark, "markdown", str(tmp_path / "in"), str(tmp_path / "out"), by_paper=True)
+    assert got["body"] == {"papers": 2, "papers_with_items": 1, "items": 1, "urls": 1} and got["reference"]["items"] == 0 and "error" not in got["footnote"]
+    assert spark.read.json(str(tmp_path / "out/body/items")).first()["url"] == "https://a.example.org/x1"
+    assert spark.read.json(str(tmp_path / "out/body/summary")).count() == 2
+    assert "error" in run(spark, "markdown", str(tmp_path / "none"), str(tmp_path / "out2"), ("body",))["body"]
+
+
+def test_converters_are_tried_again(spark):
+    from linkweave.sources import convert
+
+    def service(name, content):
+        if name == "bad":
+            raise ValueError("no pdf")
+        if name == "busy":
+            raise convert.Transient("503")
+        return "<?xml version='1.0'?><TEI>" + "x" * 300 if name == "good" else "short"
+
+    df = spark.createDataFrame([(n, bytearray(b"%PDF")) for n in ("good", "bad", "busy", "odd")], "file string, content binary")
+    got = {r["file"]: r for r in convert.convert(df, service, pause=0.01).collect()}
+    assert got["good"]["error"] is None and got["bad"]["error"] == "ValueError: no pdf" and got["busy"]["error"] == "transient: 503" and got["odd"]["error"] == "no valid output"
+    done = spark.createDataFrame([("good", "x")], "file string, output string")
+    assert {r["file"] for r in convert.unconverted(df, done).collect()} == {"bad", "busy", "odd"}
