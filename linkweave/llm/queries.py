@@ -5,6 +5,8 @@ Every query runs its operator, with production parameters, over the whole table.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -183,7 +185,38 @@ sized as (
 """
 )
 
+
+
+def _looks_sql(c: str) -> str:
+    """A text by its look, in SQL: each character's own rule and list entry, spelled out from the Unicode database, then composed."""
+    one, to, more = [], [], []
+    for code in range(0x80, 0x10000):
+        ch = chr(code)
+        if not 0xD800 <= code <= 0xDFFF and unicodedata.category(ch) not in ("Cn", "Co"):
+            n = lookalikes.clean_of(ch)
+            if n != unicodedata.normalize("NFC", ch):
+                if len(n) == 1:
+                    one.append(ch)
+                    to.append(n)
+                elif not n:
+                    more.append(ch)
+    ligatures = [(ch, lookalikes.clean_of(ch)) for ch in "ﬀﬁﬂﬃﬄﬅﬆⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶⅷⅸⅺⅻ"]
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    c = f"translate(nfc_normalize({c}), {q(''.join(one))}, {q(''.join(to))})"
+    c = f"translate({c}, {q(''.join(more))}, '')"
+    for a, b in ligatures:
+        c = f"replace({c}, {q(a)}, {q(b)})"
+    return f"nfc_normalize({c})"
+
+
 ORACLE_SQL = {
+    "p4_found": f"""
+with seen as (
+  select row_id, paper_id, 0 as field, url as form from pmc_footnote_gold where paper_id is not null and url is not null
+  union all select row_id, paper_id, 1, target from pmc_footnote_gold where paper_id is not null and target is not null),
+looks as (select *, {_looks_sql('form')} as look from seen)
+select distinct least(a.row_id, b.row_id) as row_id_a, greatest(a.row_id, b.row_id) as row_id_b
+from looks a join looks b on a.paper_id = b.paper_id and a.field = b.field and a.look = b.look and a.form < b.form""",
     "p1_found": f"with {_P1_KEYED} select a.row_id as row_id_a, b.row_id as row_id_b from grouped a join grouped b on a.g = b.g and a.row_id < b.row_id",
     "p1_collapsed": f"with {_P1_KEYED} select min(row_id) as row_id, count(*) as n_copies from grouped group by g",
     "p2_found": f"""
