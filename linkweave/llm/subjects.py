@@ -70,7 +70,7 @@ def sentences(text: str) -> list[str]:
 
 
 def words(sentence: str) -> list[str]:
-    return list(dict.fromkeys(w.lower() for w in _WORD.findall(sentence)))
+    return list(dict.fromkeys(_WORD.findall(sentence.lower())))
 
 
 def _language(words_: set[str], profiles: dict[str, set[str]]) -> str:
@@ -262,12 +262,14 @@ class Rules:
         self.two: dict[tuple[str, str], np.ndarray] = {}
         self.partners: dict[str, set[str]] = defaultdict(set)
         self.temperature = 1.0
+        self.seen: dict[tuple[str, ...], np.ndarray] = {}
 
     def evidence(self, items: list[str]) -> np.ndarray | None:
         """The summed evidence of the matching rules; a rule of two words stands for those of its words."""
         found = [w for w in items if w in self.one]
-        if not found:
-            return None
+        return self._summed(found) if found else None
+
+    def _summed(self, found: list[str]) -> np.ndarray:
         total = np.zeros(len(self.subjects))
         used: set[str] = set()
         if len(found) > 1:
@@ -285,11 +287,22 @@ class Rules:
         return total
 
     def probabilities(self, items: list[str]) -> np.ndarray | None:
-        e = self.evidence(items)
-        if e is None:
+        """How likely each subject is; remembered by the words that matter."""
+        found = tuple([w for w in items if w in self.one])
+        if not found:
             return None
-        p = np.exp((e - e.max()) / self.temperature)
-        return p / p.sum()
+        p = self.seen.get(found)
+        if p is None:
+            e = self._summed(list(found))
+            p = np.exp((e - e.max()) / self.temperature)
+            p /= p.sum()
+            if len(self.seen) > 500_000:
+                self.seen.clear()
+            self.seen[found] = p
+        return p
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": {}}
 
 
 def mine(labelled: DataFrame, subjects: list[str], least: int, lift: float, common: set[tuple[str, str]]) -> Rules:
@@ -362,6 +375,7 @@ def calibrate(rules: Rules, labelled: list[tuple[list[list[str]], set[str]]]) ->
         if total > top:
             best, top = t, total
     rules.temperature = best
+    rules.seen.clear()
 
 
 def _by_hint(sents: list[list[str]], hint: int) -> list[int]:
