@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkweave.operators import extract_layout, extract_tei, regions, scoring
-from linkweave.plans.forms import FLAGS
+from linkweave.operators import extract_layout, extract_markdown, extract_tei, regions, scoring
+from linkweave.operators.predicates import LICENCES, TECHNICAL, any_of
+from linkweave.plans.forms import FLAGS, _is
 from linkweave.plans.oracle import ws
 from linkweave.session import filled, run_dir, table
 from linkweave.sources import files, mllm, tei
@@ -127,6 +128,50 @@ def layout_line_hints(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES["layout_line_hints"] = layout_line_hints
 ORACLE_SQL["layout_line_hints"] = f"select paper_id, 1 as page, 9.0 as line_height, i % 2 = 0 as two_columns from {_GOLD}"
 
+# --- Markdown and layout text ---
+
+_MD = (
+    "# Introduction\n\n{w} is available at https://x.example/r/{id}/p today. All ended so.\n\nThe {w} counts7 well.\n\nAs in [2] {w} so. Nothing else.\n\n7 See https://n.example/n/{id}/p for the note.\n\n"
+    "Padding text that is long enough to push the list below the third of the whole text, which it must be for the list to be found.\n\n"
+    "# References\n\n1. Roe B. Other title. 2001.\n2. Smith J, Doe A. Title. 2019. http://r.example/b/r{id}\n3. Poe C. Third title. 2002.\n"
+)
+_TXT = (
+    "=== PAGE 1 ===\nIt began so. The {w} is at https://code.example/r-\n{id} here. All ended so.\n\n3 http://note.example/x\n\nDepartment of {w} http://office.example/y\n=== PAGE 2 ===\nMore prose at www.second.example/{id} too.\n"
+    "References\n[1] A 2001 http://r.example/b\n"
+)
+
+
+def _markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return _prose(spark, sf).select("paper_id", F.concat("paper_id", F.lit(".md")).alias("file"), _filled(_MD).alias("text"))
+
+
+_MAIL_WORDS = r"(?i)\b(?:e-?mail|email|corresponding author)\b"
+_MD_SAID = "trim(w || ' is available at https://x.example/r/' || paper_id || '/p today.')"
+_MD_KEPT = f"(select not {_is('c', any_of(LICENCES, '(?i)'))} and not {_is('c', any_of(TECHNICAL))} and not {_is('c', _MAIL_WORDS)} from (select {_MD_SAID} || ' All ended so.' as c))"
+QUERIES["markdown_made_body"] = lambda spark, sf: extract_markdown.body(_markdown(spark, sf)).select("paper_id", "url", "preceding", "target", "trailing", "source", "at_paragraph_start")
+ORACLE_SQL["markdown_made_body"] = f"select paper_id, 'https://x.example/r/' || paper_id || '/p' as url, null::varchar as preceding, {_MD_SAID} as target, 'All ended so.' as trailing, 'raw_url' as source, true as at_paragraph_start from {_GOLD} where {_MD_KEPT}"
+QUERIES["markdown_made_footnotes"] = lambda spark, sf: extract_markdown.restored_footnotes(_markdown(spark, sf))[0].select("paper_id", "marker", "url", "footnote_text", "target", "original_sentence", "kind")
+ORACLE_SQL["markdown_made_footnotes"] = f"""select paper_id, '7' as marker, 'https://n.example/n/' || paper_id || '/p' as url, 'See https://n.example/n/' || paper_id || '/p for the note.' as footnote_text,
+  {ws("'The ' || w || ' counts [See https://n.example/n/' || paper_id || '/p for the note.] well.'")} as target, {ws("'The ' || w || ' counts7 well.'")} as original_sentence, 'standalone' as kind from {_GOLD}"""
+QUERIES["markdown_made_references"] = lambda spark, sf: extract_markdown.restored_references(_markdown(spark, sf)).select("paper_id", "citation_marker", "citation_style", "url", "target", "original_sentence", "trailing", "reference_index")
+_ENTRY = "'2. Smith J, Doe A. Title. 2019. http://r.example/b/r' || paper_id"
+ORACLE_SQL["markdown_made_references"] = f"""select paper_id, '2' as citation_marker, 'bracket_number' as citation_style, 'http://r.example/b/r' || paper_id as url, 'As in [2 ' || {_ENTRY} || '] ' || w || ' so.' as target, 'As in [2] ' || w || ' so.' as original_sentence,
+  'Nothing else.' as trailing, '2' as reference_index from {_GOLD}"""
+QUERIES["markdown_made_entries"] = lambda spark, sf: extract_markdown.reference_entries(_markdown(spark, sf)).select("paper_id", "entry_ix", "index", "full_text", F.array_join("urls", " ").alias("urls"), "pub_year", F.array_join("keys", " ").alias("keys"))
+ORACLE_SQL["markdown_made_entries"] = f"""select paper_id, k::int as entry_ix, (k + 1)::varchar as index, case k when 0 then '1. Roe B. Other title. 2001.' when 1 then {_ENTRY} else '3. Poe C. Third title. 2002.' end as full_text,
+  case k when 1 then 'http://r.example/b/r' || paper_id else '' end as urls, case k when 0 then '2001' when 1 then '2019' else '2002' end as pub_year, (k + 1)::varchar as keys from {_GOLD}, range(0, 3) t(k)"""
+QUERIES["markdown_made_notes"] = lambda spark, sf: extract_markdown.footnotes(_markdown(spark, sf)).select("paper_id", "marker", "marker_norm", "footnote_text", F.array_join("urls", " ").alias("urls"), "kind")
+ORACLE_SQL["markdown_made_notes"] = f"select paper_id, '7' as marker, '7' as marker_norm, 'See https://n.example/n/' || paper_id || '/p for the note.' as footnote_text, 'https://n.example/n/' || paper_id || '/p' as urls, 'standalone' as kind from {_GOLD}"
+
+
+def _layout_text(spark: SparkSession, sf: str) -> DataFrame:
+    return _prose(spark, sf).select("paper_id", _filled(_TXT).alias("text"))
+
+
+QUERIES["layout_made_body"] = lambda spark, sf: extract_layout.body(_layout_text(spark, sf)).select("paper_id", "page", "url", "preceding", "target", "trailing")
+ORACLE_SQL["layout_made_body"] = f"""select paper_id, 1 as page, 'https://code.example/r-' || paper_id as url, 'It began so.' as preceding, {ws("'The ' || w || ' is at https://code.example/r-' || paper_id || ' here.'")} as target, 'All ended so.' as trailing from {_GOLD}
+  union all select paper_id, 2, 'www.second.example/' || paper_id, null, 'More prose at www.second.example/' || paper_id || ' too.', null from {_GOLD}"""
+
 # --- output of models ---
 
 
