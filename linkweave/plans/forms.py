@@ -309,3 +309,14 @@ def _of_sentences(names: tuple[str, ...]) -> str:
 
 
 ORACLE_SQL["sentence_filters"] = _of_sentences(("footer", "machine", "bibliographic", "caption"))
+
+
+def _printed_sql(c: str) -> str:
+    """The cleaned distinct addresses of a text in SQL, as a list: the lookbehind of the grammar becomes a character before the address."""
+    grammar = urls.GRAMMARS["markdown"].replace(r"(?<![\w@])", r"(?:^|[^\w@])")
+    found = f"list_transform(regexp_extract_all({_sub(c, r'[\w.+-]+@[\w.-]+', ' ')}, {_q(grammar)}, 1), lambda c: {_BY_DIALECT['markdown']})"
+    kept = f"list_filter({found}, lambda u: u <> '' and not {_is('u', '(?i)^(?:mailto|tel|javascript|data|file):')})"
+    return f"(select list_filter(k, lambda u, i: list_position(list_transform(k, lambda y: lower(y)), lower(u)) = i) from (select {kept} as k))"
+
+
+ORACLE_SQL["document_urls"] = f"select doc_id, unnest({_printed_sql('text')}) as url from documents"
