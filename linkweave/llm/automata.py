@@ -21,12 +21,24 @@ class Trie:
 
 class Levenshtein:
     """The parametric automaton of bound ``k``: states are relative to a base position, so that their transitions,
-    which depend on nothing but where the next characters of the word equal the one read, are shared by all words."""
+    which depend on nothing but where the next characters of the word equal the one read, are shared by all words. States go by number."""
 
     def __init__(self, k: int) -> None:
         self.k = k
         self.window = 2 * k + 1
-        self.moves: dict[tuple[State, int, int], tuple[int, State]] = {}
+        self.states: list[State] = []
+        self.numbers: dict[State, int] = {}
+        self.moves: dict[int, tuple[int, int]] = {}  # by state, characters left and hits: the shift of the base, and the state or -1
+        self._number(((0, 0),))
+
+    def _number(self, state: State) -> int:
+        if not state:
+            return -1
+        got = self.numbers.get(state)
+        if got is None:
+            got = self.numbers[state] = len(self.states)
+            self.states.append(state)
+        return got
 
     def _reduced(self, positions: set[tuple[int, int]]) -> State:
         kept = []
@@ -61,23 +73,25 @@ class Levenshtein:
         masks: dict[str, int] = {}
         for i, ch in enumerate(word):
             masks[ch] = masks.get(ch, 0) | 1 << i
-        stack: list[tuple[dict, int, State]] = [(trie.root, 0, ((0, 0),))]
+        stack: list[tuple[dict, int, int]] = [(trie.root, 0, 0)]
         full = (1 << window) - 1
+        mask = masks.get
         while stack:
             node, base, state = stack.pop()
             left = n - base
             span = left if left < window else window
+            head = state * (window + 1) + span << window
             for ch, child in node.items():
                 if ch == "":
-                    d = min(e + left - i for i, e in state)
+                    d = min([e + left - i for i, e in self.states[state]])
                     if d <= k:
                         out.append((child, d))
                     continue
-                hits = masks.get(ch, 0) >> base & full
-                key = (state, hits, span)
-                got = moves.get(key)
+                hits = mask(ch, 0) >> base & full
+                got = moves.get(head | hits)
                 if got is None:
-                    got = moves[key] = self._move(state, hits, span)
-                if got[1]:
+                    shift, to = self._move(self.states[state], hits, span)
+                    got = moves[head | hits] = (shift, self._number(to))
+                if got[1] >= 0:
                     stack.append((child, base + got[0], got[1]))
         return out

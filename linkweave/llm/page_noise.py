@@ -214,10 +214,10 @@ def needed(w: str, n: int) -> float:
 def candidates(counts: DataFrame, language: Language) -> DataFrame:
     """``w, n, low, right, was, became, was2, became2``: of each folded word that isn't well known, all vocabulary words within distance 2
     that occur often enough to be the right one, with their edits. Rarer words are left out of the tries, not of the search."""
-    held = counts.sparkSession.sparkContext.broadcast((language.vocabulary(), language.words))
+    held = counts.sparkSession.sparkContext.broadcast(language.vocabulary())
 
     def look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab, words = held.value
+        vocab = held.value
         two = Levenshtein(2)
         tries = [(least, Trie(w for w, n in vocab.items() if n >= least)) for least in TIERS]
         for b in batches:

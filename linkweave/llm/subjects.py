@@ -62,7 +62,7 @@ def sentences(text: str) -> list[str]:
         s = " ".join(s.split())
         if not s:
             continue
-        if out and _SHORT.search(out[-1]):
+        if out and out[-1][-1] == "." and _SHORT.search(out[-1]):
             out[-1] += " " + s
         else:
             out.append(s)
