@@ -125,7 +125,7 @@ MD_LINK = r"!?\[([^\]\n]{0,300})\]\(([^)\s]+(?:\)[^\s.,;:]*)?)\)"
 
 def unwrap_links(c: Column) -> Column:
     """Markdown links become their labels; images vanish."""
-    return F.regexp_replace(F.regexp_replace(c, r"!\[[^\]\n]{0,300}\]\([^)\s]+(?:\)[^\s.,;:]*)?\)", ""), MD_LINK, "$1")
+    return F.when(c.contains("]("), F.regexp_replace(F.regexp_replace(c, r"!\[[^\]\n]{0,300}\]\([^)\s]+(?:\)[^\s.,;:]*)?\)", ""), MD_LINK, "$1")).otherwise(c)
 
 
 def strip_fences(c: Column) -> Column:

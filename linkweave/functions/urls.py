@@ -229,7 +229,7 @@ def distinct_web_urls(urls: Column) -> Column:
 
 def urls_in_text(c: Column, grammar: str = "markdown", dialect: str = "markdown") -> Column:
     """Cleaned distinct addresses printed in a text, without mail and script schemes and without hosts of e-mail addresses."""
-    text = F.regexp_replace(c, r"[\w.+-]+@[\w.-]+", " ")
+    text = F.when(c.contains("@"), F.regexp_replace(c, r"[\w.+-]+@[\w.-]+", " ")).otherwise(c)
     found = F.transform(find_all(text, grammar), lambda u: clean_url(u, dialect))
     kept = F.filter(found, lambda u: (u != "") & ~u.rlike(r"(?i)^(?:mailto|tel|javascript|data|file):"))
     return F.aggregate(kept, F.array().cast("array<string>"), lambda acc, u: F.when(F.exists(acc, lambda x: F.lower(x) == F.lower(u)), acc).otherwise(F.concat(acc, F.array(u))))

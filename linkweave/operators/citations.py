@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from linkweave.functions.text import DIGITS, SUPERSCRIPTS, match_key, plain_digits, raised_digits
-from linkweave.functions.urls import urls_in_text
+from linkweave.functions.urls import let, urls_in_text
+from linkweave.session import once
 
 # --- markers ---
 
@@ -74,6 +76,9 @@ def expand_numeric(c: Column, dialect: str = "markdown", compat: bool = True) ->
 _BRACKET = re.compile(r"\[(\d{1,4}(?:\s*[,;\-–−]\s*\d{1,4})*(?:\s*,\s*(?:Chapter|Ch\.|§|Sec\.|Section|p\.|pp\.|Thm\.|Theorem|Eq\.|Fig\.|Table)[^\]]*)?)\]")
 _RAISED = re.compile(rf"[{SUPERSCRIPTS}]+(?:[,\-–−][{SUPERSCRIPTS}]+)*")
 _ATTACHED = re.compile(r"\b([A-Za-z][A-Za-z0-9_./+\-]*?)(\d{1,4})(?=[,.;:)\]\s])")
+_ATTACHED_END = re.compile(r"\d(?=[,.;:)\]\s])")
+_IN_ATTACHED = re.compile(r"[A-Za-z0-9_./+\-\d]")
+_IN_ATTACHED_ALL = re.compile(r"[A-Za-z0-9_./+\-\d]*")
 # What a number at the end of a word belongs to, rather than to a citation.
 _LABEL = re.compile(r"(?i)^(?:Fig|Table|Eq|Sec|Ref|Chapter|KIC|PMC|PMID|COVID|H1N1|H5N1|SARS|MERS)-?")
 OCCURRENCE = ArrayType(
@@ -90,6 +95,20 @@ OCCURRENCE = ArrayType(
 )
 
 
+def _attached(text: str) -> Iterator[re.Match]:
+    """The matches of ``_ATTACHED``: none goes beyond a run of the characters it allows, so only runs with a digit that may end one are searched."""
+    done = 0
+    for end in _ATTACHED_END.finditer(text):
+        b = end.end()
+        if b <= done:
+            continue
+        a = b
+        while a > done and _IN_ATTACHED.match(text, a - 1):
+            a -= 1
+        done = _IN_ATTACHED_ALL.match(text, b).end()
+        yield from _ATTACHED.finditer(text, a, done + 1)
+
+
 def _within(text: str, a: int, b: int) -> bool:
     left, right = text.rfind("(", 0, a), text.find(")", b)
     return left >= 0 <= right and a - left < 180 and right - b < 180
@@ -99,8 +118,9 @@ def numeric_occurrences(text: str) -> list[tuple[str, int, int, str, str, bool]]
     """Bracketed, raised and word-attached numbers of a text: style, offsets, surface, inner text, whether in parentheses."""
     out = [("bracket_number", m.start(), m.end(), m.group(), m.group(1)) for m in _BRACKET.finditer(text)]
     raised = str.maketrans(SUPERSCRIPTS, DIGITS)
-    out += [("superscript_number", m.start(), m.end(), m.group(), m.group().translate(raised)) for m in _RAISED.finditer(text)]
-    for m in _ATTACHED.finditer(text):
+    if not text.isascii():
+        out += [("superscript_number", m.start(), m.end(), m.group(), m.group().translate(raised)) for m in _RAISED.finditer(text)]
+    for m in _attached(text):
         if not (_LABEL.match(m.group(1) + m.group(2)) and len(m.group(1)) < 10):
             out.append(("baseline_numeric", m.start(2), m.end(2), m.group(2), m.group(2)))
     return [(*o, _within(text, o[1], o[2])) for o in sorted(out, key=lambda o: (o[1], o[2]))]
@@ -127,7 +147,7 @@ def numbered_entries(refs: Column) -> Column:
     clean = F.transform(blocks, lambda b: F.trim(F.regexp_replace(b, r"(?U)\s+", " ")))
     index = lambda b: F.coalesce(F.nullif(F.regexp_extract(b, start, 1), F.lit("")), F.regexp_extract(b, start, 2))
     entries = F.transform(clean, lambda b: F.struct(index(b).alias("index"), b.alias("full_text")))
-    return F.when(F.size(entries) >= 2, entries).otherwise(F.slice(entries, 1, 0))
+    return let(entries, lambda e: F.when(F.size(e) >= 2, e).otherwise(F.slice(e, 1, 0)))
 
 
 def paragraph_entries(refs: Column) -> Column:
@@ -168,7 +188,7 @@ def author_year_keys(first: Column, second: Column, year: Column) -> Column:
 def with_keys(entries: DataFrame, text: str = "full_text", index: str = "index") -> DataFrame:
     """Entries with ``urls``, ``pub_year``, ``first_author``, ``second_author`` and the ``keys`` they are cited by."""
     number = F.regexp_replace(F.col(index), r"\D", "")
-    out = entries.withColumn("urls", urls_in_text(F.col(text), "markdown")).withColumn("pub_year", last_year(F.col(text))).withColumn("_names", surnames(F.col(text)))
+    out = once(entries, "urls", urls_in_text(F.col(text), "markdown")).withColumn("pub_year", last_year(F.col(text))).withColumn("_names", surnames(F.col(text)))
     out = out.withColumn("first_author", F.try_element_at("_names", F.lit(1))).withColumn("second_author", F.try_element_at("_names", F.lit(2))).drop("_names")
     ay = author_year_keys(F.col("first_author"), F.col("second_author"), F.col("pub_year"))
     return out.withColumn("keys", F.when(F.col(index).isNotNull(), F.array(number)).otherwise(ay))
@@ -176,7 +196,7 @@ def with_keys(entries: DataFrame, text: str = "full_text", index: str = "index")
 
 def lookup(entries: DataFrame, group: str = "paper_id", order: str = "entry_ix") -> DataFrame:
     """``group, key`` with the first entry of each key that bears an address: the side that citations join."""
-    keyed = entries.filter(F.size("urls") > 0).withColumn("key", F.explode("keys")).withColumn("key", match_key(F.regexp_replace("key", r"^[\[\]() ]+|[\[\]() ]+$", ""))).filter("key <> ''")
+    keyed = once(entries.filter(F.size("urls") > 0), "_keys", F.col("keys")).drop("keys").withColumnRenamed("_keys", "keys").withColumn("key", F.explode("keys")).withColumn("key", match_key(F.regexp_replace("key", r"^[\[\]() ]+|[\[\]() ]+$", ""))).filter("key <> ''")
     rank = F.row_number().over(Window.partitionBy(group, "key").orderBy(order))
     return keyed.withColumn("_r", rank).filter("_r = 1").drop("_r")
 

@@ -7,19 +7,22 @@ equi-join on the paper; Python only finds spans, as Spark's regular expressions
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from linkweave.functions.text import MD_LINK, unwrap_links
-from linkweave.functions.urls import GRAMMARS, clean_url, urls_in_text
+from linkweave.functions.urls import GRAMMARS, clean_url, let, urls_in_text
 from linkweave.operators import citations as cite
 from linkweave.operators.predicates import bibliographic_line, body_url
-from linkweave.operators.regions import body_region, split_references, trim_front
+from linkweave.operators.regions import body_and_references, body_region, split_references, trim_front
 from linkweave.operators.scoring import first_by
-from linkweave.operators.sentences import SPAN, markdown_paragraphs, md_sentence_spans
+from linkweave.operators.sentences import SPAN, joined_lines, markdown_paragraphs, markdown_sentences, md_sentence_spans, paragraph_spans
+from linkweave.session import cut, once
 
 _URL = re.compile(GRAMMARS["markdown"])
 _LINK = re.compile(MD_LINK)
@@ -62,9 +65,24 @@ def _body_paragraphs(c: pd.Series) -> pd.Series:
     return c.map(lambda t: None if t is None else [{"text": x, "start": a, "end": b} for x, a, b in markdown_paragraphs(t, keep_bullets=True)])
 
 
-@F.pandas_udf(SPAN)
-def _note_paragraphs(c: pd.Series) -> pd.Series:
-    return c.map(lambda t: None if t is None else [{"text": x, "start": a, "end": b} for x, a, b in markdown_paragraphs(t, skip_images=False)])
+class Contexts:
+    """The sentences around places of a text, as ``local, sent_start, target, preceding, trailing``: None where there is no paragraph, no sentence: None within."""
+
+    def __init__(self, text: str):
+        self.text, self.paragraphs = text, paragraph_spans(text, skip_images=False)
+        self.sentences: dict[int, list[tuple[str, int, int]]] = {}
+
+    def at(self, pos: int) -> tuple | None:
+        k = next((k for k, (a, b) in enumerate(self.paragraphs) if a <= pos <= b), None)
+        if k is None:
+            return None
+        if k not in self.sentences:
+            self.sentences[k] = markdown_sentences(joined_lines(self.text[slice(*self.paragraphs[k])]))
+        s, local = self.sentences[k], pos - self.paragraphs[k][0]
+        i = next((i for i, (_, a, b) in enumerate(s) if a <= local <= b), None)
+        if i is None:
+            return local, None, None, None, None
+        return local, s[i][1], s[i][0], s[i - 1][0] if i else None, s[i + 1][0] if i + 1 < len(s) else None
 
 
 def _at(spans: Column, pos: Column) -> Column:
@@ -85,14 +103,9 @@ def _with_sentence(df: DataFrame, local: Column) -> DataFrame:
     return d.withColumn("at_paragraph_start", F.col("preceding").isNull()).withColumn("at_paragraph_end", F.col("trailing").isNull())
 
 
-def _joined_local(text: Column, para: Column, pos: Column) -> Column:
-    """A position of the text within its paragraph, as its lines were joined (joining keeps lengths)."""
-    return F.length(F.regexp_replace(F.substring(text, para["start"] + 1, pos - para["start"]), r"(?<!-)\n", " "))
-
-
 def body(md: DataFrame) -> DataFrame:
     """``paper_id, file, location, url, preceding, target, trailing, at_paragraph_start, at_paragraph_end, source, start_char, end_char``."""
-    d = md.select("paper_id", "file", body_region(F.col("text")).alias("text")).filter("text is not null")
+    d = once(md, "body", body_region(F.col("text"))).filter("body is not null").select("paper_id", "file", F.col("body").alias("text"))
     d = d.select("paper_id", "file", "text", _body_paragraphs("text").alias("paras"), _candidates("text").alias("cands"))
     c = d.select("paper_id", "file", "paras", F.explode("cands").alias("c")).withColumn("url", clean_url(F.col("c.raw"))).filter("url <> ''")
     c = c.withColumn("para", _at(F.col("paras"), F.col("c.start"))).filter("para is not null").drop("paras")
@@ -112,21 +125,24 @@ def footnotes(md: DataFrame) -> DataFrame:
 
     ``body`` is the text with standalone notes made blank, so that offsets stay.
     """
-    d = md.select("paper_id", "file", split_references(F.col("text"))[0].alias("raw")).filter("raw is not null")
+    none = F.array().cast("array<string>")
+    urls = lambda x: F.when(x.rlike(_NOTE) & ~bibliographic_line(x), urls_in_text(F.trim(F.regexp_extract(x, _NOTE, 6)))).otherwise(none)
+    found = lambda at, x, u: F.array(F.struct(at.alias("at"), x.alias("line"), u.alias("urls")))
+    # every line is looked at once; of those that are notes the offset, the line and its addresses are kept
     lines = F.aggregate(
         F.split("raw", "\n"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string>>").alias("l")),
-        lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["l"], F.array(F.struct(acc["at"].alias("at"), x.alias("line")))).alias("l")),
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string,urls:array<string>>>").alias("l")),
+        lambda acc, x: let(urls(x), lambda u: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(F.size(u) > 0, F.concat(acc["l"], found(acc["at"], x, u))).otherwise(acc["l"]).alias("l"))),
     )["l"]
-    is_note = lambda x: x.rlike(_NOTE) & ~bibliographic_line(x) & (F.size(urls_in_text(F.regexp_extract(x, _NOTE, 6))) > 0)
-    blanked = F.array_join(F.transform(F.split("raw", "\n"), lambda x: F.when(is_note(x), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n")
-    d = d.withColumn("body", blanked).withColumn("lines", lines)
-    g = lambda k: F.nullif(F.regexp_extract("x.line", _NOTE, k), F.lit(""))
-    alone = d.select("paper_id", "file", "body", F.explode("lines").alias("x")).filter(F.col("x.line").rlike(_NOTE) & ~bibliographic_line(F.col("x.line")))
-    alone = alone.select("paper_id", "file", "body", F.coalesce(*[g(k) for k in range(1, 6)]).alias("marker"), F.trim(F.regexp_extract("x.line", _NOTE, 6)).alias("footnote_text"), F.col("x.at").alias("start"), F.lit("standalone").alias("kind"))
-    inner = d.select("paper_id", "file", "body", F.posexplode(F.regexp_extract_all("raw", F.lit(_INLINE), F.lit(0))).alias("k", "surface"))
-    inner = inner.select("paper_id", "file", "body", F.concat(F.lit("inline"), (F.col("k") + 1).cast("string")).alias("marker"), F.trim(F.regexp_replace(F.regexp_extract("surface", _INLINE, 1), r"(?U)\s+", " ")).alias("footnote_text"), (F.position(F.col("surface"), F.col("body")) - 1).cast("int").alias("start"), F.lit("inline").alias("kind"))
-    both = alone.unionByName(inner).withColumn("urls", urls_in_text(F.col("footnote_text"))).filter(F.size("urls") > 0)
+    blanked = F.aggregate("lines", F.col("raw"), lambda s, n: F.concat(F.substring(s, F.lit(1), n["at"]), F.repeat(F.lit(" "), F.length(n["line"])), F.substring(s, n["at"] + F.length(n["line"]) + 1, F.length(s))))
+    d = once(md, "raw", split_references(F.col("text"))[0]).filter("raw is not null").select("paper_id", "file", "raw")
+    d = once(once(d, "lines", lines), "body", blanked)
+    g = lambda n, k: F.nullif(F.regexp_extract(n["line"], _NOTE, k), F.lit(""))
+    alone = F.transform("lines", lambda n: F.struct(F.coalesce(*[g(n, k) for k in range(1, 6)]).alias("marker"), F.trim(F.regexp_extract(n["line"], _NOTE, 6)).alias("footnote_text"), n["at"].alias("start"), F.lit("standalone").alias("kind"), n["urls"].alias("urls")))
+    said = lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, _INLINE, 1), r"(?U)\s+", " "))
+    inner = F.transform(F.regexp_extract_all("raw", F.lit(_INLINE), F.lit(0)), lambda x, k: F.struct(F.concat(F.lit("inline"), (k + 1).cast("string")).alias("marker"), said(x).alias("footnote_text"), (F.position(x, F.col("body")) - 1).cast("int").alias("start"), F.lit("inline").alias("kind"), urls_in_text(said(x)).alias("urls")))
+    notes = once(d, "notes", F.concat(alone, F.filter(inner, lambda n: F.size(n["urls"]) > 0))).select("paper_id", "file", "body", F.explode("notes").alias("n"))
+    both = notes.select("paper_id", "file", "body", "n.marker", "n.footnote_text", "n.start", "n.kind", "n.urls")
     return both.withColumn("marker_norm", cite.marker_norm(F.col("marker"))).withColumn("note_ix", F.concat_ws(":", "marker", "start"))
 
 
@@ -145,36 +161,62 @@ def marker_places(text: str, marker: str) -> list[tuple[int, str]]:
     return sorted({(m.start(), m.group()) for m in found})
 
 
-@F.pandas_udf(OCC)
-def _places(text: pd.Series, marker: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or m is None else [{"start": a, "surface": s} for a, s in marker_places(t, m)] for t, m in zip(text, marker)])
+CITED = StructType(
+    [StructField(n, IntegerType()) for n in ("score", "at")]
+    + [StructField("surface", StringType()), StructField("para", BooleanType())]
+    + [StructField(n, IntegerType()) for n in ("local", "sent_start")]
+    + [StructField(n, StringType()) for n in ("target", "preceding", "trailing")]
+)
+
+
+@F.pandas_udf(CITED)
+def _cited(text: pd.Series, marker: pd.Series, start: pd.Series, kind: pd.Series, note: pd.Series) -> pd.DataFrame:
+    """The best place of each note's marker, and the sentence there: the nearest, those behind the note and those of a front matter far from it later."""
+    out: list[tuple] = []
+    last = around = None
+    for t, m, s, k, n in zip(text, marker, start, kind, note):
+        occ = [(s, "\\footnote{" + n + "}")] if k == "inline" else marker_places(t, m)
+        best = min(((abs(a - s) + 500 * (a > s) + 2000 * (a < 1000 and s > 2500), a, x) for a, x in occ), default=None)
+        if best is None:
+            out.append((None,) * 9)
+            continue
+        if around is None or t != last:
+            last, around = t, Contexts(t)
+        c = around.at(best[1])
+        out.append((*best, c is not None, *(c or (None,) * 5)))
+    kinds = ["Int32" if isinstance(f.dataType, IntegerType) else "object" for f in CITED]
+    return pd.DataFrame({f.name: pd.Series([o[i] for o in out], dtype=k) for i, (f, k) in enumerate(zip(CITED, kinds))})
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Rows whose place is in a sentence, with ``at_paragraph_start, at_paragraph_end``."""
+    return df.filter("target is not null").withColumn("at_paragraph_start", F.col("preceding").isNull()).withColumn("at_paragraph_end", F.col("trailing").isNull())
 
 
 def restored_footnotes(md: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mentions with the note put into the citing sentence, and the notes that found none with their reason."""
-    notes = footnotes(md)
-    inline = F.array(F.struct(F.col("start").alias("start"), F.concat(F.lit("\\footnote{"), F.col("footnote_text"), F.lit("}")).alias("surface")))
-    n = notes.withColumn("occ", F.when(F.col("kind") == "inline", inline.cast(OCC)).otherwise(_places("body", "marker")))
-    near = F.transform("occ", lambda o: F.struct((F.abs(o["start"] - F.col("start")) + F.when(o["start"] > F.col("start"), 500).otherwise(0) + F.when((o["start"] < 1000) & (F.col("start") > 2500), 2000).otherwise(0)).alias("score"), o["start"].alias("at"), o["surface"].alias("surface")))
-    n = n.withColumn("best", F.array_min(near))
-    lost = n.filter("best is null").select("paper_id", "file", "marker", "urls", "footnote_text", F.lit("marker_not_found").alias("reason"))
-    p = n.filter("best is not null").withColumn("paras", _note_paragraphs("body")).withColumn("para", _at(F.col("paras"), F.col("best.at"))).drop("paras")
-    no_para = p.filter("para is null").select("paper_id", "file", "marker", "urls", "footnote_text", F.lit("sentence_not_found").alias("reason"))
-    s = _with_sentence(p.filter("para is not null"), _joined_local(F.col("body"), F.col("para"), F.col("best.at")))
-    a = F.col("_local") - F.col("sent_start")
-    s = s.withColumn("restored", cite.splice_offset(F.col("target"), a, a + F.length("best.surface"), F.col("footnote_text")))
-    rows = s.select("paper_id", "file", F.lit("footnote").alias("location"), "marker", "marker_norm", F.explode("urls").alias("url"), "footnote_text", "preceding", F.col("restored").alias("target"), F.col("target").alias("original_sentence"), "trailing", "at_paragraph_start", "at_paragraph_end", F.col("best.surface").alias("marker_surface"), F.col("best.at").alias("marker_start_char"), F.col("start").alias("footnote_start_char"), "kind")
+    n = footnotes(md).withColumn("c", _cited("body", "marker", "start", "kind", "footnote_text")).drop("body").select("*", "c.*").drop("c")
+    lost = n.filter("at is null or not para")
+    lost = lost.select("paper_id", "file", "marker", "urls", "footnote_text", F.when(F.col("at").isNull(), "marker_not_found").otherwise("sentence_not_found").alias("reason"))
+    s = _around(n)
+    a = F.col("local") - F.col("sent_start")
+    s = s.withColumn("restored", cite.splice_offset(F.col("target"), a, a + F.length("surface"), F.col("footnote_text")))
+    rows = s.select("paper_id", "file", F.lit("footnote").alias("location"), "marker", "marker_norm", F.explode("urls").alias("url"), "footnote_text", "preceding", F.col("restored").alias("target"), F.col("target").alias("original_sentence"), "trailing", "at_paragraph_start", "at_paragraph_end", F.col("surface").alias("marker_surface"), F.col("at").alias("marker_start_char"), F.col("start").alias("footnote_start_char"), "kind")
     rows = first_by(rows, ["paper_id", "file", "marker_norm", F.lower("url"), F.lower("original_sentence")], ["footnote_start_char"])
-    return rows, lost.unionByName(no_para)
+    return rows, lost
 
 
 def reference_entries(md: DataFrame) -> DataFrame:
     """``paper_id, file, body, entry_ix, index, full_text, urls, pub_year, first_author, second_author, keys`` of every paper's list."""
-    body_, refs = split_references(F.col("text"))
-    d = md.select("paper_id", "file", unwrap_links(trim_front(body_)).alias("body"), refs.alias("refs")).filter("refs <> ''")
-    numbered = cite.numbered_entries(F.col("refs"))
-    entries = F.when(F.size(numbered) > 0, numbered).otherwise(cite.paragraph_entries(F.col("refs")))
-    return cite.with_keys(d.select("paper_id", "file", "body", F.posexplode(entries).alias("entry_ix", "e")).select("paper_id", "file", "body", "entry_ix", "e.index", "e.full_text"))
+    e = _lists(md).select("paper_id", "file", "body", F.posexplode("entries").alias("entry_ix", "e"))
+    return cite.with_keys(e.select("paper_id", "file", "body", "entry_ix", "e.index", "e.full_text"))
+
+
+def _lists(md: DataFrame) -> DataFrame:
+    """``paper_id, file, body, entries`` of every text with a list of references that has entries."""
+    d = once(md, "parts", body_and_references(F.col("text"))).filter("parts.refs <> ''")
+    entries = let(cite.numbered_entries(F.col("parts.refs")), lambda n: F.when(F.size(n) > 0, n).otherwise(cite.paragraph_entries(F.col("parts.refs"))))
+    return once(d, "entries", entries).filter("size(entries) > 0").select("paper_id", "file", unwrap_links(trim_front(F.col("parts.body"))).alias("body"), "entries")
 
 
 # A name and a year as they are cited, in parentheses or not.
@@ -183,39 +225,53 @@ _NAME = r"[A-Z][A-Za-z'’`-]{2,}"
 _AUTHOR_YEAR = re.compile(rf"{_NAME}(?:\s+et al\.?|\s+(?:and|&)\s+{_NAME})?,?\s+[(\[]?(?:19|20)\d{{2}}[a-z]?[)\]]?")
 
 
-@F.pandas_udf(OCC)
-def _author_years(text: pd.Series) -> pd.Series:
+def author_years(t: str) -> list[tuple[int, str]]:
     """Every place of the form of an author-year citation. A closing bracket without its opening one isn't part of it."""
-
-    def places(t: str) -> list[dict]:
-        out = []
-        for m in _AUTHOR_YEAR.finditer(t):
-            s = m.group()
-            if s[-1] in _OPENED and _OPENED[s[-1]] not in s:
-                s = s[:-1]
-            out.append({"start": m.start(), "surface": s})
-        return out
-
-    return text.map(places, na_action="ignore")
+    out = []
+    for m in _AUTHOR_YEAR.finditer(t):
+        s = m.group()
+        if s[-1] in _OPENED and _OPENED[s[-1]] not in s:
+            s = s[:-1]
+        out.append((m.start(), s))
+    return out
+
+
+OCCURRENCES = "paper_id string, file string, style string, start int, end int, surface string, inner string, inside_parenthetical boolean, para boolean, local int, sent_start int, target string, preceding string, trailing string"
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every citation of ``paper_id, file, body`` with the sentence it is in."""
+    kinds = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (c.split() for c in OCCURRENCES.split(", "))])
+    for batch in batches:
+        rows: list[tuple] = []
+        for paper, file, t in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            if t is None:
+                continue
+            # author-year: every occurrence of that form is looked up, instead of searching the body for every key
+            found = [*cite.numeric_occurrences(t), *(("author_year", a, a + len(s), s, None, False) for a, s in author_years(t))]
+            around = Contexts(t) if found else None
+            for o in found:
+                c = around.at(o[1])
+                rows.append((paper, file, *o, c is not None, *(c or (None,) * 5)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
 def restored_references(md: DataFrame) -> DataFrame:
     """Mentions with the entry put into the citing sentence, for numeric and author-year citations of entries that bear an address."""
-    entries = reference_entries(md)
-    look = cite.lookup(entries, "paper_id", "entry_ix").select("paper_id", "key", F.col("index").alias("reference_index"), F.col("full_text").alias("reference_entry"), "urls", "entry_ix")
-    bodies = entries.select("paper_id", "file", "body").distinct()
-    numeric = bodies.withColumn("o", F.explode(cite.numeric_spans("body"))).withColumn("n", F.explode(cite.expand_numeric(F.col("o.inner"))))
-    numeric = numeric.select("paper_id", "file", "body", F.col("n").cast("string").alias("key"), F.col("n").cast("string").alias("marker"), F.col("o.style").alias("style"), F.col("o.start").alias("start"), F.col("o.end").alias("end"), F.col("o.surface").alias("surface"), F.col("o.inside_parenthetical").alias("inside_parenthetical"))
-    # author-year: every occurrence of that form is looked up, instead of searching the body for every key
-    ay = bodies.select("paper_id", "file", "body", F.explode(_author_years("body")).alias("o")).select("paper_id", "file", "body", "o.surface", "o.start")
+    lists = cut(_lists(md), "lists")
+    entries = lists.select("paper_id", F.posexplode("entries").alias("entry_ix", "e")).select("paper_id", "entry_ix", "e.index", "e.full_text")
+    look = cite.lookup(cite.with_keys(entries), "paper_id", "entry_ix").select("paper_id", "key", F.col("index").alias("reference_index"), F.col("full_text").alias("reference_entry"), "urls", "entry_ix")
+    occ = lists.select("paper_id", "file", "body").mapInArrow(_occurrences, OCCURRENCES)
     folded = F.translate(F.lower(F.regexp_replace("surface", r"(?U)\s+", " ")), "[]", "()")
     # keys lose the brackets around them, so that one that ends in a year in parentheses has no closing one
-    ay = ay.select("paper_id", "file", "body", F.regexp_replace(folded, r"^[()\[\] ]+|[()\[\] ]+$", "").alias("key"), F.col("surface").alias("marker"), F.lit("author_year").alias("style"), "start", (F.col("start") + F.length("surface")).alias("end"), "surface", F.lit(False).alias("inside_parenthetical"))
-    occ = numeric.unionByName(ay).join(look, ["paper_id", "key"])
-    occ = first_by(occ, ["paper_id", "file", "start", "end", "entry_ix"], ["marker"])
-    p = occ.withColumn("paras", _note_paragraphs("body")).withColumn("para", _at(F.col("paras"), F.col("start"))).drop("paras").filter("para is not null")
-    s = _with_sentence(p, _joined_local(F.col("body"), F.col("para"), F.col("start")))
-    a = F.col("_local") - F.col("sent_start")
+    ay = F.col("style") == "author_year"
+    keys = F.when(ay, F.array(F.regexp_replace(folded, r"^[()\[\] ]+|[()\[\] ]+$", ""))).otherwise(F.transform(cite.expand_numeric(F.col("inner")), lambda n: n.cast("string")))
+    occ = once(occ, "keys", keys).withColumn("key", F.explode("keys")).drop("keys", "inner").withColumn("marker", F.when(ay, F.col("surface")).otherwise(F.col("key")))
+    occ = first_by(occ.join(look, ["paper_id", "key"]), ["paper_id", "file", "start", "end", "entry_ix"], ["marker"])
+    s = _around(occ)
+    a = F.col("local") - F.col("sent_start")
     s = s.withColumn("restored", cite.splice_offset(F.col("target"), a, a + (F.col("end") - F.col("start")), F.col("reference_entry"), F.col("marker")))
     rows = s.select("paper_id", "file", F.lit("reference").alias("location"), F.col("marker").alias("citation_marker"), F.col("style").alias("citation_style"), F.explode("urls").alias("url"), "reference_entry", "preceding", F.col("restored").alias("target"), F.col("target").alias("original_sentence"), "trailing", "at_paragraph_start", "at_paragraph_end", "inside_parenthetical", F.col("surface").alias("citation_surface"), F.col("start").alias("citation_start_char"), "reference_index")
     return first_by(rows, ["paper_id", "file", "citation_marker", F.lower("url"), F.lower("original_sentence"), "citation_start_char"], ["url"])

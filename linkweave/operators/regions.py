@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.text import strip_fences
-from linkweave.functions.urls import GRAMMARS
+from linkweave.functions.urls import GRAMMARS, let
 from linkweave.operators.predicates import footnote_line_with_url
 
 # Headings of reference lists, and of what may follow them.
@@ -27,6 +30,11 @@ def heading_key(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.trim(line), r"^#{1,6}\s*", ""), r"[:.\-–,\s]+$", "")))
 
 
+def _holds(line: Column, words: list[str]) -> Column:
+    """Whether a line holds any of the words, whatever its case: asked before its key is made, which costs much more."""
+    return let(F.lower(line), lambda low: reduce(or_, [low.contains(w) for w in words]))
+
+
 def _line_offsets(text: Column, hit) -> Column:
     """The offsets (from 0) of the lines for which ``hit`` holds."""
     step = F.aggregate(
@@ -39,9 +47,9 @@ def _line_offsets(text: Column, hit) -> Column:
 
 def reference_start(text: Column) -> Column:
     """The offset of the references' heading: the first in the last 65 %, else the last; null if there is none."""
-    hits = _line_offsets(text, lambda x, at: heading_key(x).isin(REFERENCE_HEADINGS))
-    later = F.filter(hits, lambda h: h >= F.floor(F.length(text) * 0.35))
-    return F.coalesce(F.try_element_at(later, F.lit(1)), F.try_element_at(hits, F.lit(-1)))
+    words = [w for w in REFERENCE_HEADINGS if not any(o != w and o in w for o in REFERENCE_HEADINGS)]
+    hits = _line_offsets(text, lambda x, at: _holds(x, words) & heading_key(x).isin(REFERENCE_HEADINGS))
+    return let(hits, lambda found: F.coalesce(F.try_element_at(F.filter(found, lambda h: h >= F.floor(F.length(text) * 0.35)), F.lit(1)), F.try_element_at(found, F.lit(-1))))
 
 
 def layout_body_end(text: Column) -> Column:
@@ -52,16 +60,25 @@ def layout_body_end(text: Column) -> Column:
     return F.least(refs, acks)
 
 
+def _body(t: Column, at: Column) -> Column:
+    return F.when(at.isNull(), t).otherwise(F.substring(t, F.lit(1), at))
+
+
+def _references(t: Column, at: Column) -> Column:
+    ends = lambda rest: _line_offsets(rest, lambda x, pos: (pos > 200) & (heading_key(x).isin(AFTER_REFERENCES) | x.rlike(r"(?i)^\s*E-?mail address\s*:")))
+    upto = lambda rest: let(F.try_element_at(ends(rest), F.lit(1)), lambda end: F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end)))
+    return F.when(at.isNull(), F.lit("")).otherwise(let(F.regexp_replace(F.substring(t, at + 1, F.length(t)), r"^[^\n]*\n?", ""), upto))
+
+
 def split_references(text: Column) -> tuple[Column, Column]:
     """Body and references of a Markdown text without fenced code; the references end at a back-matter heading after 200 characters."""
-    t = strip_fences(text)
-    at = reference_start(t)
-    body = F.when(at.isNull(), t).otherwise(F.substring(t, F.lit(1), at))
-    rest = F.substring(t, at + 1, F.length(t))
-    rest = F.regexp_replace(rest, r"^[^\n]*\n?", "")
-    ends = _line_offsets(rest, lambda x, pos: (pos > 200) & (heading_key(x).isin(AFTER_REFERENCES) | x.rlike(r"(?i)^\s*E-?mail address\s*:")))
-    end = F.try_element_at(ends, F.lit(1))
-    return body, F.when(at.isNull(), F.lit("")).otherwise(F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end)))
+    part = lambda of: let(strip_fences(text), lambda t: let(reference_start(t), lambda at: of(t, at)))
+    return part(_body), part(_references)
+
+
+def body_and_references(text: Column) -> Column:
+    """The same as a struct ``body, refs``, for those that need both."""
+    return let(strip_fences(text), lambda t: let(reference_start(t), lambda at: F.struct(_body(t, at).alias("body"), _references(t, at).alias("refs"))))
 
 
 def blank_note_lines(text: Column) -> Column:
@@ -76,11 +93,10 @@ def body_region(text: Column) -> Column:
 
 def trim_front(body: Column) -> Column:
     """From the abstract or introduction on, where one begins early in the text."""
-    early = F.greatest(F.lit(3000), F.floor(F.length(body) * 0.35).cast("int"))
-    keys = ["abstract", "background", "introduction", "1 introduction", "1. introduction"]
-    hit = lambda x, at: (at < early) & (heading_key(x).isin(keys) | heading_key(x).rlike(r"^(?:abstract|1 introduction|introduction)"))
-    at = F.try_element_at(_line_offsets(body, hit), F.lit(1))
-    return F.when(at.isNull(), body).otherwise(F.substring(body, at + 1, F.length(body)))
+    heading = r"^(?:abstract|1 introduction|introduction)|^(?:background|1\. introduction)\z"
+    first = lambda b, early: F.try_element_at(_line_offsets(b, lambda x, at: (at < early) & _holds(x, ["abstract", "introduction", "background"]) & heading_key(x).rlike(heading)), F.lit(1))
+    cut_at = lambda b, at: F.when(at.isNull(), b).otherwise(F.substring(b, at + 1, F.length(b)))
+    return let(body, lambda b: let(F.greatest(F.lit(3000), F.floor(F.length(b) * 0.35).cast("int")), lambda early: let(first(b, early), lambda at: cut_at(b, at))))
 
 
 def reference_start_page(toc: Column, page_count: Column) -> Column:

@@ -8,7 +8,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory: str = "6g") -> SparkSession:
@@ -66,6 +67,11 @@ def cut(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with ``value`` as a column that is computed once a row: filters and projections that name it aren't merged with what computes it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def filled(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """``run`` for mapInPandas without frames of no rows, neither in nor out: Arrow can't tell their columns' types."""
 
