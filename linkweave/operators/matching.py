@@ -7,7 +7,11 @@ component at a time, so that a paper with a third of all rows is as many tasks a
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,47 +41,83 @@ def _longest(length: Column, threshold: float) -> Column:
     return F.floor(length * (200.0 - threshold) / threshold + 1e-9).cast("int")
 
 
-def near_texts(texts: DataFrame, group: str, text: str, threshold: float = SKELETON_THRESHOLD) -> DataFrame:
-    """``group, a, b``: all pairs of different texts of one group (``group, text``, distinct) whose indel ratio reaches the threshold.
+def near_texts(texts: DataFrame, group: str, text: str, threshold: float = SKELETON_THRESHOLD, marked: str | None = None) -> DataFrame:
+    """``group, a, b``: all pairs of different texts of one group (``group, text``, distinct) whose indel ratio reaches the threshold; with ``marked``, those of which one at least is.
 
     A text of length n that takes at most d insertions and deletions to become another keeps one of d + 1 pieces whole, moved by as many places as
     characters came or went before it. Shorter texts are looked up by their pieces, longer ones by all places a piece may have moved to: an equi-join, exact.
     """
     part = 1.0 - threshold / 100.0
-    t = texts.select(F.col(group).alias("grp"), F.col(text).alias("t")).filter("t <> ''").withColumn("n", F.length("t"))
+    mark = F.col(marked) if marked else F.lit(True)
+    t = texts.select(F.col(group).alias("grp"), F.col(text).alias("t"), mark.alias("mark")).filter("t <> ''").withColumn("n", F.length("t"))
     most = lambda n: F.floor((n + _longest(n, threshold)) * part + 1e-9).cast("int")
     pieces = t.withColumn("k", most(F.col("n")) + 1).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    index = pieces.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, cast(floor(i * n / k) as int) + 1, cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int))")).alias("h"), F.col("t").alias("a"))
+    index = pieces.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, cast(floor(i * n / k) as int) + 1, cast(floor((i + 1) * n / k) as int) - cast(floor(i * n / k) as int))")).alias("h"), F.col("t").alias("a"), "mark")
     probes = t.withColumnRenamed("n", "m").withColumn("n", F.explode(F.sequence(F.greatest(F.lit(1), F.ceil(F.col("m") * threshold / (200.0 - threshold) - 1e-9).cast("int")), F.col("m"))))
     probes = probes.withColumn("k", most(F.col("n")) + 1).withColumn("d", F.floor((F.col("m") + F.col("n")) * part + 1e-9).cast("int")).filter("m - n <= d")
     probes = probes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     probes = probes.withColumn("s", F.expr("cast(floor(i * n / k) as int)")).withColumn("z", F.expr("cast(floor((i + 1) * n / k) as int) - s"))
     probes = probes.withColumn("at", F.explode(F.expr("sequence(s - cast(floor((d - (m - n)) / 2) as int), s + cast(floor((d + m - n) / 2) as int))"))).filter("at >= 0 and at + z <= m")
-    probes = probes.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, at + 1, z)")).alias("h"), F.col("t").alias("b"))
-    pairs = index.join(probes, ["grp", "n", "i", "h"]).filter("a <> b").select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    probes = probes.select("grp", "n", "i", F.xxhash64(F.expr("substring(t, at + 1, z)")).alias("h"), F.col("t").alias("b"), "mark")
+    met = lambda x, y: x.drop("mark").join(y.drop("mark"), ["grp", "n", "i", "h"])
+    both = met(index.filter("mark"), probes).unionByName(met(index.filter("not mark"), probes.filter("mark"))) if marked else met(index, probes)
+    pairs = both.filter("a <> b").select("grp", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     near = cut(pairs.filter(ratio_bound(F.col("a"), F.col("b")) >= threshold), "near").withColumn("sim", indel_ratio(F.col("a"), F.col("b")))
     return near.filter(F.col("sim") >= threshold).select(F.col("grp").alias(group), "a", "b")
 
 
+def _merge_blocks(large: DataFrame, threshold: float) -> DataFrame:
+    """``large`` with ``block``, so that rows which the merge can bring together are in one.
+
+    Two rows with addresses come together only where these hang together through rows of their paper, so that most blocks are such sets of addresses.
+    Similarity is asked for only within sets of more than SMALL rows, and of rows without addresses, which may meet any row of their paper.
+    """
+    key = lambda u: F.xxhash64("paper_id", u)
+    several = large.filter("size(urls) > 1").select(key(F.col("urls")[0]).alias("a"), "paper_id", F.explode(F.slice("urls", 2, F.size("urls") - 1)).alias("u"))
+    linked = components(several.select("a", key(F.col("u")).alias("b")))
+    sets = large.withColumn("node", F.when(F.size("urls") > 0, key(F.get("urls", F.lit(0))))).join(linked, "node", "left").withColumn("cell", F.coalesce("component", "node")).drop("node", "component")
+    sets = cut(sets, "address-sets")
+    many = sets.filter("cell is not null").groupBy("cell").agg(F.count("*").alias("_n")).filter(F.col("_n") > SMALL).select("cell", F.lit(True).alias("many"))
+    bare = sets.filter("cell is null").select("paper_id").distinct()
+    has_many, has_bare = not many.isEmpty(), not bare.isEmpty()
+    if not has_many and not has_bare:
+        return sets.withColumnRenamed("cell", "block")
+    said = F.xxhash64(F.lit("said"), "paper_id", "skeleton")
+    nodes = sets.join(many, "cell", "left").withColumn("node", F.when(F.col("cell").isNull(), said).when(F.col("many"), F.xxhash64("cell", "skeleton")).otherwise(F.col("cell")))
+    nodes = cut(nodes, "nodes")
+    edges = []
+    if has_many:
+        near = near_texts(nodes.filter("many").select("cell", "skeleton").distinct(), "cell", "skeleton", threshold)
+        edges.append(near.select(F.xxhash64("cell", "a").alias("a"), F.xxhash64("cell", "b").alias("b")))
+    if has_bare:
+        texts = nodes.join(bare, "paper_id", "left_semi").groupBy("paper_id", "skeleton").agg(F.max(F.col("cell").isNull()).alias("bare"))
+        near = cut(near_texts(texts, "paper_id", "skeleton", threshold, "bare"), "near-bare")
+        met = near.select("paper_id", F.col("a").alias("skeleton")).unionByName(near.select("paper_id", F.col("b").alias("skeleton"))).unionByName(texts.filter("bare").select("paper_id", "skeleton")).distinct()
+        edges.append(near.select(F.xxhash64(F.lit("said"), "paper_id", "a").alias("a"), F.xxhash64(F.lit("said"), "paper_id", "b").alias("b")))
+        # a sentence that a row without addresses meets brings all rows that say it together
+        edges.append(nodes.join(met, ["paper_id", "skeleton"]).select(said.alias("a"), F.col("node").alias("b")))
+    all_ = edges[0]
+    for e in edges[1:]:
+        all_ = all_.unionByName(e)
+    return nodes.join(components(all_), "node", "left").withColumn("block", F.coalesce("component", "node")).drop("node", "component", "cell", "many")
+
+
 def skeleton_merge(rows: DataFrame, threshold: float = SKELETON_THRESHOLD) -> DataFrame:
     """Near-duplicate gold rows merged greedily, in the order of ``ix``: rows ``ix, paper_id, urls, target_raw, target_norm, skeleton``.
 
     A row absorbs later ones of its paper whose skeleton is as good as equal and whose addresses overlap those gathered
-    so far, or are none. The fold is sequential, but only rows with near skeletons can meet: in a paper of more than SMALL rows it runs by
-    components of near skeletons. The representative has the most addresses, then the longest sentence, then comes first.
+    so far, or are none. The fold is sequential, but only rows with near skeletons and addresses that hang together can meet: a paper of more
+    than SMALL rows is folded by blocks of such rows. The representative has the most addresses, then the longest sentence, then comes first.
     """
     n = rows.groupBy("paper_id").agg((F.count("*") > SMALL).alias("_large"))
-    sized = cut(rows.join(n, "paper_id"), "to-merge")
-    node = F.xxhash64("paper_id", "skeleton")
-    large = sized.filter("_large")
-    near = near_texts(large.select("paper_id", "skeleton").distinct(), "paper_id", "skeleton", threshold)
-    comp = components(near.select(F.xxhash64("paper_id", "a").alias("a"), F.xxhash64("paper_id", "b").alias("b")))
-    placed = large.withColumn("node", node).join(comp, "node", "left").withColumn("block", F.coalesce("component", "node")).drop("node", "component")
-    blocks = placed.unionByName(sized.filter("not _large").withColumn("block", F.xxhash64("paper_id")))
+    sized = cut(rows.select("ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton").join(n, "paper_id"), "to-merge")
+    cols = ("block", "paper_id", "ix", "urls", "target_raw", "target_norm", "skeleton")
+    blocks = sized.filter("not _large").withColumn("block", F.xxhash64("paper_id")).select(*cols).unionByName(_merge_blocks(sized.filter("_large"), threshold).select(*cols))
     kind = dict(rows.dtypes)["ix"]
+    long = {"int": pa.int32(), "bigint": pa.int64()}[kind]
+    schema = pa.schema([("ix", long), ("paper_id", pa.string()), ("urls", pa.list_(pa.string())), ("target_raw", pa.string()), ("target_norm", pa.string()), ("skeleton", pa.string()), ("merged", pa.list_(long))])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
+    def fold(recs: list[dict]) -> Iterator[tuple]:
         known: dict[tuple[str, str], bool] = {}
 
         def alike(a: str, b: str) -> bool:
@@ -90,26 +130,35 @@ def skeleton_merge(rows: DataFrame, threshold: float = SKELETON_THRESHOLD) -> Da
                 known[key] = ratio(a, b) >= threshold
             return known[key]
 
-        for paper, part in pdf.groupby("paper_id", sort=False):
-            recs = part.sort_values("ix").to_dict("records")
-            for r in recs:
-                r["set"] = set(r["urls"])
-            left = recs
-            while left:
-                base, group, urls, rest = left[0], [left[0]], set(left[0]["set"]), []
-                for r in left[1:]:
-                    if (not urls or not r["set"] or not urls.isdisjoint(r["set"])) and alike(base["skeleton"], r["skeleton"]):
-                        group.append(r)
-                        urls |= r["set"]
-                    else:
-                        rest.append(r)
-                rep = max(group, key=lambda r: (len(r["set"]), len(r["target_raw"])))
-                out.append((rep["ix"], paper, sorted(urls), rep["target_raw"], rep["target_norm"], rep["skeleton"], [g["ix"] for g in group]))
-                left = rest
-        return pd.DataFrame(out, columns=["ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton", "merged"])
-
-    cols = blocks.select("block", "ix", "paper_id", "urls", "target_raw", "target_norm", "skeleton")
-    return cols.groupBy("block").applyInPandas(fold, f"ix {kind}, paper_id string, urls array<string>, target_raw string, target_norm string, skeleton string, merged array<{kind}>")
+        for r in recs:
+            r["set"] = set(r["urls"])
+        left = recs
+        while left:
+            base, group, urls, rest = left[0], [left[0]], set(left[0]["set"]), []
+            for r in left[1:]:
+                if (not urls or not r["set"] or not urls.isdisjoint(r["set"])) and alike(base["skeleton"], r["skeleton"]):
+                    group.append(r)
+                    urls |= r["set"]
+                else:
+                    rest.append(r)
+            rep = max(group, key=lambda r: (len(r["set"]), len(r["target_raw"])))
+            yield (rep["ix"], rep["paper_id"], sorted(urls), rep["target_raw"], rep["target_norm"], rep["skeleton"], [g["ix"] for g in group])
+            left = rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows of a task block by block, as they are sorted; no more than a block and a batch is held."""
+        out: list[tuple] = []
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, recs in groupby(rows, key=lambda r: (r["block"], r["paper_id"])):
+            out.extend(fold(list(recs)))
+            if len(out) >= 5000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+
+    ordered = blocks.repartition("block").sortWithinPartitions("block", "paper_id", "ix")
+    return ordered.mapInArrow(run, f"ix {kind}, paper_id string, urls array<string>, target_raw string, target_norm string, skeleton string, merged array<{kind}>")
 
 
 def candidate_edges(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, on: tuple[str, ...] = ("paper_id",)) -> DataFrame:
