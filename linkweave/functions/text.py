@@ -59,9 +59,14 @@ def fold(c: Column, tildes: bool = False) -> Column:
     return collapse_ws(c)
 
 
+def fold_rare(c: Column, tildes: bool = False) -> Column:
+    """``fold`` of a column that is named twice at no cost: text of ASCII has nothing to fold but blanks."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), fold(c, tildes)).otherwise(collapse_ws(F.coalesce(c, F.lit(""))))
+
+
 def norm_text(c: Column, tildes: bool = False) -> Column:
     """NFKC, folded quotes, dashes and blanks, single spaces; null becomes empty."""
-    return fold(nfkc(c), tildes)
+    return fold_rare(nfkc(c), tildes)
 
 
 def normalize_chars(c: Column, dashes: bool = False) -> Column:

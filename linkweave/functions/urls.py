@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkweave.functions.text import TILDES, fold, nfkc
+from linkweave.functions.text import TILDES, fold, fold_rare, nfkc
 
 # The ends of host names that are read without a scheme, and what blanks in broken addresses stand before.
 _TLD = "com|org|net|edu|gov|info|io|ai|uk|de|fr|jp|cn|au|ca|nl|es|it|se|ch|eu|int|mil"
@@ -119,7 +119,8 @@ def canonical_plain(plain: Column, bind=let) -> Column:
 
 def canonical_mllm_plain(plain: Column, bind=let) -> Column:
     """The canonical form of the evaluator of model output: no DOI folding, only http(s) is a scheme."""
-    u = repair_spacing(fold(plain, tildes=True), mllm=True)
+    # without blanks there is no spacing to repair
+    u = bind(fold_rare(plain, tildes=True), lambda x: F.when(x.rlike(r"(?U)\s"), repair_spacing(x, mllm=True)).otherwise(x))
     u = F.trim(F.regexp_replace(u, r"(?i)\[last visit:[^\]]*$", ""))
     u = F.regexp_replace(F.regexp_replace(u, r"^[\[\](){}<>\"'`]+|[\[\](){}<>\"'`]+$", ""), r"[.,;:)\]}>]+$", "")
     u = F.regexp_replace(u, r"(?U)\s+", "")
@@ -141,7 +142,7 @@ def split_field_plain(plain: Column) -> Column:
 
 
 def split_field_mllm_plain(plain: Column, side: str) -> Column:
-    raw = repair_spacing(fold(plain, tildes=True), mllm=True)
+    raw = repair_spacing(fold_rare(plain, tildes=True), mllm=True)
     chunks = F.split(raw, r"\|") if side == "pred" else F.split(raw, r",\s*(?=" + _NEXT_MLLM + ")")
     return F.filter(F.transform(chunks, lambda x: F.trim(x)) if side == "pred" else chunks, lambda x: x != "")
 
@@ -165,7 +166,7 @@ def url_list_mllm(c: Column, side: str, target: Column | None = None) -> Column:
     plain = nfkc(F.coalesce(c.cast("string"), F.lit("")))
     out = _found_or_whole(split_field_mllm_plain(plain, side), "field_mllm", canonical_mllm_plain)
     if target is not None:
-        text = repair_spacing(fold(nfkc(F.coalesce(target, F.lit(""))), tildes=True), mllm=True)
+        text = repair_spacing(fold_rare(nfkc(F.coalesce(target, F.lit(""))), tildes=True), mllm=True)
         out = F.concat(out, F.filter(F.transform(find_all(text, "explicit"), lambda x: canonical_mllm_plain(x)), lambda x: x != ""))
     return F.array_distinct(out)
 

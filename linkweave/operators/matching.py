@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 from itertools import groupby
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -163,11 +162,11 @@ def skeleton_merge(rows: DataFrame, threshold: float = SKELETON_THRESHOLD) -> Da
 
 def candidate_edges(gold: DataFrame, pred: DataFrame, threshold: float = THRESHOLD, on: tuple[str, ...] = ("paper_id",)) -> DataFrame:
     """``on, g, p, shared, sim`` of all pairs that share an address and are similar enough. Both sides have ``ix, urls, target_norm``."""
-    g = gold.select(*on, F.col("ix").alias("g"), F.col("target_norm").alias("gt"), F.explode(F.array_distinct("urls")).alias("u"))
-    p = pred.select(*on, F.col("ix").alias("p"), F.col("target_norm").alias("pt"), F.explode(F.array_distinct("urls")).alias("u"))
-    pairs = g.join(p, [*on, "u"]).filter(ratio_bound(F.col("gt"), F.col("pt")) >= threshold)
-    shared = cut(pairs.groupBy(*on, "g", "p").agg(F.count("*").alias("shared"), F.first("gt").alias("gt"), F.first("pt").alias("pt")), "pairs")
-    return cut(shared.withColumn("sim", indel_ratio(F.col("gt"), F.col("pt"))), "edges").filter(F.col("sim") >= threshold).select(*on, "g", "p", "shared", "sim")
+    side = lambda d, ix, text, urls: d.select(*on, F.col("ix").alias(ix), F.col("target_norm").alias(text), F.array_compact(F.array_distinct("urls")).alias(urls)).withColumn("u", F.explode(urls))
+    both = F.array_intersect("gu", "pu")
+    # of the addresses that two rows share, the smallest pairs them: texts are shuffled once
+    pairs = side(gold, "g", "gt", "gu").join(side(pred, "p", "pt", "pu"), [*on, "u"]).filter((F.col("u") == F.array_min(both)) & (ratio_bound(F.col("gt"), F.col("pt")) >= threshold))
+    return cut(pairs.select(*on, "g", "p", F.size(both).cast("long").alias("shared"), indel_ratio(F.col("gt"), F.col("pt")).alias("sim")), "edges").filter(F.col("sim") >= threshold)
 
 
 def maximum_matching(edges: list[tuple[int, int, int, float]], by_shared: bool = True) -> list[tuple[int, int]]:
@@ -223,9 +222,26 @@ def match_edges(edges: DataFrame, by_shared: bool = True, on: tuple[str, ...] =
     placed = placed.unionByName(rest.filter("large is null").select(F.col("grp").cast("string").alias("block"), "g", "p", "shared", "sim"))
     types = dict(e.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        got = maximum_matching(list(pdf[["g", "p", "shared", "sim"]].itertuples(index=False, name=None)), by_shared)
-        return pd.DataFrame(got, columns=["g", "p"])
-
-    matched = placed.groupBy("block").applyInPandas(run, f"g {types['g']}, p {types['p']}")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The edges of a task block by block, as they are sorted."""
+        got: list[tuple] = []
+        kinds: list[pa.DataType] = []
+
+        def each() -> Iterator[tuple]:
+            for batch in batches:
+                kinds[:] = [batch.schema.field(c).type for c in ("g", "p")]
+                yield from zip(*(batch.column(c).to_pylist() for c in ("block", "g", "p", "shared", "sim")))
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], kinds[i]) for i in (0, 1)], names=["g", "p"])
+
+        for _, block in groupby(each(), key=lambda r: r[0]):
+            got += maximum_matching([r[1:] for r in block], by_shared)
+            if len(got) >= 5000:
+                yield made()
+                got = []
+        if got:
+            yield made()
+
+    matched = placed.repartition("block").sortWithinPartitions("block").mapInArrow(run, f"g {types['g']}, p {types['p']}")
     return sure.unionByName(matched)

@@ -133,11 +133,13 @@ def two_stage(gold: DataFrame, pred: DataFrame, accepted: DataFrame, threshold:
     ge = gl.select("paper_id", F.col("ix").alias("g"), F.explode("urls").alias("url"))
     pe = pl.select("paper_id", F.col("ix").alias("p"), F.col("target_norm").alias("pt"), F.explode("urls").alias("url"))
     shared = ge.join(pe, ["paper_id", "url"])
-    acc = accepted.select("paper_id", "url", F.col("target_norm").alias("at")).distinct()
+    # only sentences of addresses that a prediction left over has are asked for, twice
+    asked = pe.select("paper_id", "url").distinct()
+    acc = cut(accepted.select("paper_id", "url", F.col("target_norm").alias("at")).join(asked, ["paper_id", "url"], "left_semi").distinct(), "accepted-sentences")
 
     def liked(pairs: DataFrame) -> DataFrame:
         near = pairs.join(acc, ["paper_id", "url"]).filter(ratio_bound(F.col("at"), F.col("pt")) >= threshold)
-        return cut(near.withColumn("s", indel_ratio(F.col("at"), F.col("pt"))), "accepted").filter(F.col("s") >= threshold)
+        return cut(near.select(*[c for c in pairs.columns if c != "pt"], indel_ratio(F.col("at"), F.col("pt")).alias("s")), "accepted").filter(F.col("s") >= threshold)
 
     sim2 = liked(shared).groupBy("g", "p").agg(F.max("s").alias("sim"))
     edges2 = shared.groupBy("paper_id", "g", "p").agg(F.count("*").alias("shared")).join(sim2, ["g", "p"])

@@ -314,8 +314,8 @@ def reference_report(spark, sf):
 
 
 def two_stage_report(spark, sf):
-    g = cut(gold(spark, sf), "gold")
-    acc = scoring.mllm_rows(g, "gold", False).select("paper_id", F.explode("urls").alias("url"), "target_norm").distinct()
+    g = gold(spark, sf)
+    acc = scoring.mllm_rows(g, "gold", False).select("paper_id", F.explode("urls").alias("url"), "target_norm")
     return scoring.two_stage_counts(cut(scoring.two_stage(g, predictions(g), acc), "stages"))
 
 
