@@ -7,10 +7,13 @@ equi-join on the paper; Python only finds spans, as Spark's regular expressions
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -70,11 +73,12 @@ class Contexts:
 
     def __init__(self, text: str):
         self.text, self.paragraphs = text, paragraph_spans(text, skip_images=False)
+        self.starts = [a for a, _ in self.paragraphs]
         self.sentences: dict[int, list[tuple[str, int, int]]] = {}
 
     def at(self, pos: int) -> tuple | None:
-        k = next((k for k, (a, b) in enumerate(self.paragraphs) if a <= pos <= b), None)
-        if k is None:
+        k = bisect_right(self.starts, pos) - 1
+        if k < 0 or pos > self.paragraphs[k][1]:
             return None
         if k not in self.sentences:
             self.sentences[k] = markdown_sentences(joined_lines(self.text[slice(*self.paragraphs[k])]))
@@ -117,6 +121,8 @@ def body(md: DataFrame) -> DataFrame:
 
 
 _NOTE = r"(?i)^\s*(?:\[\^?([A-Za-z0-9]+)\]\s*:?|\^([A-Za-z0-9]+)\s*:?|([⁰¹²³⁴⁵⁶⁷⁸⁹]+)|(\d{1,3})|([*†‡§¶]))\s*[:.)\-]?\s*(.*?(?:https?://|ftp://|www\.|doi\s*:\s*10\.|10\.\d{4,9}/|(?:github|gitlab|bitbucket)\.com/|(?:[A-Za-z0-9-]+\.)+(?:com|org|net|edu|gov|io|ai)\b).*)$"
+# What a line begins with that may be a note.
+_MAY_BE_NOTE = r"\n(?=[ \t\x0B\f\r]*[\[\^⁰¹²³⁴⁵⁶⁷⁸⁹0-9*†‡§¶])"
 _INLINE = r"(?i)\\footnote\{([^{}]*(?:https?://|www\.|ftp://|doi\s*:|10\.)[^{}]*)\}"
 
 
@@ -125,40 +131,62 @@ def footnotes(md: DataFrame) -> DataFrame:
 
     ``body`` is the text with standalone notes made blank, so that offsets stay.
     """
-    none = F.array().cast("array<string>")
-    urls = lambda x: F.when(x.rlike(_NOTE) & ~bibliographic_line(x), urls_in_text(F.trim(F.regexp_extract(x, _NOTE, 6)))).otherwise(none)
-    found = lambda at, x, u: F.array(F.struct(at.alias("at"), x.alias("line"), u.alias("urls")))
-    # every line is looked at once; of those that are notes the offset, the line and its addresses are kept
-    lines = F.aggregate(
-        F.split("raw", "\n"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,line:string,urls:array<string>>>").alias("l")),
-        lambda acc, x: let(urls(x), lambda u: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.when(F.size(u) > 0, F.concat(acc["l"], found(acc["at"], x, u))).otherwise(acc["l"]).alias("l"))),
-    )["l"]
-    blanked = F.aggregate("lines", F.col("raw"), lambda s, n: F.concat(F.substring(s, F.lit(1), n["at"]), F.repeat(F.lit(" "), F.length(n["line"])), F.substring(s, n["at"] + F.length(n["line"]) + 1, F.length(s))))
+    notes = _notes(md).select("paper_id", "file", "body", F.explode("notes").alias("n"))
+    return _with_norm(notes.select("paper_id", "file", "body", "n.marker", "n.footnote_text", "n.start", "n.kind", "n.urls"))
+
+
+def _with_norm(notes: DataFrame) -> DataFrame:
+    return notes.withColumn("marker_norm", cite.marker_norm(F.col("marker"))).withColumn("note_ix", F.concat_ws(":", "marker", "start"))
+
+
+def _notes(md: DataFrame) -> DataFrame:
+    """``paper_id, file, body, notes``: the notes of a body as an array in its row."""
+
+    def note(x: Column) -> Column:
+        """Of a line that is a note its text, addresses and marker; null for others."""
+        said = lambda t: F.struct(x.alias("line"), t.alias("text"), urls_in_text(t).alias("urls"), F.regexp_replace(x, _NOTE + r"(?s:.*)", "$1$2$3$4$5").alias("marker"))
+        return F.when(x.rlike(_NOTE) & ~bibliographic_line(x), let(let(F.trim(F.regexp_extract(x, _NOTE, 6)), said), lambda n: F.when(F.size(n["urls"]) > 0, n)))
+
+    # a text is cut before the lines that may be notes; each of those is looked at once
+    parts = F.transform(F.split("raw", _MAY_BE_NOTE), lambda x: let(F.substring_index(x, "\n", 1), lambda line: F.struct(x.alias("x"), note(line).alias("n"))))
+    gone = lambda p: F.concat(F.repeat(F.lit(" "), F.length(p["n"]["line"])), F.substring(p["x"], F.length(p["n"]["line"]) + 1, F.length(p["x"])))
+    blanked = F.array_join(F.transform("parts", lambda p: F.when(p["n"].isNull(), p["x"]).otherwise(gone(p))), "\n")
     d = once(md, "raw", split_references(F.col("text"))[0]).filter("raw is not null").select("paper_id", "file", "raw")
-    d = once(once(d, "lines", lines), "body", blanked)
-    g = lambda n, k: F.nullif(F.regexp_extract(n["line"], _NOTE, k), F.lit(""))
-    alone = F.transform("lines", lambda n: F.struct(F.coalesce(*[g(n, k) for k in range(1, 6)]).alias("marker"), F.trim(F.regexp_extract(n["line"], _NOTE, 6)).alias("footnote_text"), n["at"].alias("start"), F.lit("standalone").alias("kind"), n["urls"].alias("urls")))
+    d = once(once(d, "parts", parts), "body", F.when(F.exists("parts", lambda p: p["n"].isNotNull()), blanked).otherwise(F.col("raw")))
+    as_note = lambda n, at: F.struct(n["marker"].alias("marker"), n["text"].alias("footnote_text"), at.alias("start"), F.lit("standalone").alias("kind"), n["urls"].alias("urls"))
+    alone = F.aggregate(
+        "parts",
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<marker:string,footnote_text:string,start:int,kind:string,urls:array<string>>>").alias("l")),
+        lambda acc, p: F.struct((acc["at"] + F.length(p["x"]) + 1).alias("at"), F.when(p["n"].isNotNull(), F.concat(acc["l"], F.array(as_note(p["n"], acc["at"])))).otherwise(acc["l"]).alias("l")),
+    )["l"]
     said = lambda x: F.trim(F.regexp_replace(F.regexp_extract(x, _INLINE, 1), r"(?U)\s+", " "))
     inner = F.transform(F.regexp_extract_all("raw", F.lit(_INLINE), F.lit(0)), lambda x, k: F.struct(F.concat(F.lit("inline"), (k + 1).cast("string")).alias("marker"), said(x).alias("footnote_text"), (F.position(x, F.col("body")) - 1).cast("int").alias("start"), F.lit("inline").alias("kind"), urls_in_text(said(x)).alias("urls")))
-    notes = once(d, "notes", F.concat(alone, F.filter(inner, lambda n: F.size(n["urls"]) > 0))).select("paper_id", "file", "body", F.explode("notes").alias("n"))
-    both = notes.select("paper_id", "file", "body", "n.marker", "n.footnote_text", "n.start", "n.kind", "n.urls")
-    return both.withColumn("marker_norm", cite.marker_norm(F.col("marker"))).withColumn("note_ix", F.concat_ws(":", "marker", "start"))
+    notes = F.when(F.col("raw").contains("\\"), F.concat(alone, F.filter(inner, lambda n: F.size(n["urls"]) > 0))).otherwise(alone)
+    return once(d, "notes", notes).select("paper_id", "file", "body", "notes")
 
 
 OCC = ArrayType(StructType([StructField("start", IntegerType()), StructField("surface", StringType())]))
 
 
+_RAISED, _PLAIN = str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"), str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789")
+
+
+@lru_cache(maxsize=4096)
+def _marker_form(marker: str) -> re.Pattern | None:
+    """The surfaces of a marker. Every alternative begins with its first character, so that a search passes over all others at once."""
+    plain = marker.strip().strip("[]()^:.").translate(_PLAIN)
+    if not plain:
+        return None
+    forms = [re.escape(v) for v in dict.fromkeys((marker, plain, plain.translate(_RAISED)))]
+    first = [rf"\^{v}" for v in forms] + forms
+    attached = "|".join(rf"{v}(?<=[A-Za-z_)\]]{v})(?=[,.;:!?)\]\s])" for v in first)
+    return re.compile("|".join([*(rf"\[{v}\]" for v in forms), attached] if plain.isdigit() else [attached]))
+
+
 def marker_places(text: str, marker: str) -> list[tuple[int, str]]:
     """Where a marker stands in a text: in brackets, or attached to a word or bracket and followed by a blank or punctuation."""
-    plain = marker.strip().strip("[]()^:.").translate(str.maketrans("⁰¹²³⁴⁵⁶⁷⁸⁹", "0123456789"))
-    if not plain:
-        return []
-    raised = plain.translate(str.maketrans("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"))
-    forms = "|".join(re.escape(v) for v in dict.fromkeys((marker, plain, raised)))
-    attached = rf"(?<=[A-Za-z_)\]])\^?(?:{forms})(?=[,.;:!?)\]\s])"
-    found = re.finditer(rf"\[(?:{forms})\]|{attached}" if plain.isdigit() else attached, text)
-    return sorted({(m.start(), m.group()) for m in found})
+    form = _marker_form(marker)
+    return [(m.start(), m.group()) for m in form.finditer(text)] if form else []
 
 
 CITED = StructType(
@@ -167,25 +195,36 @@ CITED = StructType(
     + [StructField(n, IntegerType()) for n in ("local", "sent_start")]
     + [StructField(n, StringType()) for n in ("target", "preceding", "trailing")]
 )
+_NOTE_FIELDS = "marker string, footnote_text string, start int, kind string, urls array<string>"
+_KINDS = {IntegerType(): pa.int32(), StringType(): pa.string(), BooleanType(): pa.bool_()}
 
 
-@F.pandas_udf(CITED)
-def _cited(text: pd.Series, marker: pd.Series, start: pd.Series, kind: pd.Series, note: pd.Series) -> pd.DataFrame:
-    """The best place of each note's marker, and the sentence there: the nearest, those behind the note and those of a front matter far from it later."""
-    out: list[tuple] = []
-    last = around = None
-    for t, m, s, k, n in zip(text, marker, start, kind, note):
-        occ = [(s, "\\footnote{" + n + "}")] if k == "inline" else marker_places(t, m)
-        best = min(((abs(a - s) + 500 * (a > s) + 2000 * (a < 1000 and s > 2500), a, x) for a, x in occ), default=None)
-        if best is None:
-            out.append((None,) * 9)
-            continue
-        if around is None or t != last:
-            last, around = t, Contexts(t)
-        c = around.at(best[1])
-        out.append((*best, c is not None, *(c or (None,) * 5)))
-    kinds = ["Int32" if isinstance(f.dataType, IntegerType) else "object" for f in CITED]
-    return pd.DataFrame({f.name: pd.Series([o[i] for o in out], dtype=k) for i, (f, k) in enumerate(zip(CITED, kinds))})
+def _cited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each note of ``paper_id, file, body, notes`` with the best place of its marker and the sentence there.
+
+    The best place is the nearest, those behind the note and those of a front matter far from it later. Addresses pass as they come.
+    """
+    for batch in batches:
+        notes = batch.column("notes")
+        paper = pc.list_parent_indices(notes)
+        fields = dict(zip((f.name for f in notes.type.value_type), notes.flatten().flatten()))
+        texts = batch.column("body").to_pylist()
+        out: list[tuple] = []
+        last = around = None
+        for i, m, s, k, n in zip(paper.to_pylist(), *(fields[c].to_pylist() for c in ("marker", "start", "kind", "footnote_text"))):
+            t = texts[i]
+            occ = [(s, "\\footnote{" + n + "}")] if k == "inline" else marker_places(t, m)
+            best = min(((abs(a - s) + 500 * (a > s) + 2000 * (a < 1000 and s > 2500), a, x) for a, x in occ), default=None)
+            if best is None:
+                out.append((None,) * 9)
+                continue
+            if around is None or i != last:
+                last, around = i, Contexts(t)
+            c = around.at(best[1])
+            out.append((*best, c is not None, *(c or (None,) * 5)))
+        if out:
+            found = {f.name: pa.array(c, _KINDS[f.dataType]) for f, c in zip(CITED, zip(*out))}
+            yield pa.RecordBatch.from_pydict({"paper_id": batch.column("paper_id").take(paper), "file": batch.column("file").take(paper), **fields, **found})
 
 
 def _around(df: DataFrame) -> DataFrame:
@@ -195,14 +234,16 @@ def _around(df: DataFrame) -> DataFrame:
 
 def restored_footnotes(md: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Mentions with the note put into the citing sentence, and the notes that found none with their reason."""
-    n = footnotes(md).withColumn("c", _cited("body", "marker", "start", "kind", "footnote_text")).drop("body").select("*", "c.*").drop("c")
+    cited = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CITED)
+    n = _with_norm(_notes(md).mapInArrow(_cited, f"paper_id string, file string, {_NOTE_FIELDS}, {cited}"))
     lost = n.filter("at is null or not para")
     lost = lost.select("paper_id", "file", "marker", "urls", "footnote_text", F.when(F.col("at").isNull(), "marker_not_found").otherwise("sentence_not_found").alias("reason"))
     s = _around(n)
-    a = F.col("local") - F.col("sent_start")
-    s = s.withColumn("restored", cite.splice_offset(F.col("target"), a, a + F.length("surface"), F.col("footnote_text")))
-    rows = s.select("paper_id", "file", F.lit("footnote").alias("location"), "marker", "marker_norm", F.explode("urls").alias("url"), "footnote_text", "preceding", F.col("restored").alias("target"), F.col("target").alias("original_sentence"), "trailing", "at_paragraph_start", "at_paragraph_end", F.col("surface").alias("marker_surface"), F.col("at").alias("marker_start_char"), F.col("start").alias("footnote_start_char"), "kind")
+    rows = s.select("paper_id", "file", F.lit("footnote").alias("location"), "marker", "marker_norm", F.explode("urls").alias("url"), "footnote_text", "preceding", F.col("target").alias("original_sentence"), "trailing", "at_paragraph_start", "at_paragraph_end", F.col("surface").alias("marker_surface"), F.col("at").alias("marker_start_char"), F.col("start").alias("footnote_start_char"), "kind", (F.col("local") - F.col("sent_start")).alias("_a"))
     rows = first_by(rows, ["paper_id", "file", "marker_norm", F.lower("url"), F.lower("original_sentence")], ["footnote_start_char"])
+    # the note is put in where rows are left, so that its text isn't shuffled twice
+    restored = cite.splice_offset(F.col("original_sentence"), F.col("_a"), F.col("_a") + F.length("marker_surface"), F.col("footnote_text"))
+    rows = rows.select("paper_id", "file", "location", "marker", "marker_norm", "url", "footnote_text", "preceding", restored.alias("target"), "original_sentence", "trailing", "at_paragraph_start", "at_paragraph_end", "marker_surface", "marker_start_char", "footnote_start_char", "kind")
     return rows, lost
 
 

@@ -45,11 +45,31 @@ def _line_offsets(text: Column, hit) -> Column:
     return step["hits"]
 
 
+# What a line begins with that may be a heading of references: texts are cut before such lines only. Blanks by name, as a complement is slower.
+_MAY_BE_HEADING = rf"\n(?=[# \t\x0B\f\r]*(?iu:{'|'.join(REFERENCE_HEADINGS)}))"
+
+
+def _reference_piece(text: Column, pieces: Column) -> Column:
+    """Which of the pieces of a text (from 0) begins with the references' heading: the first in the last 65 %, else the last; null if there is none."""
+    hits = F.filter(F.transform(pieces, lambda x, k: F.when(heading_key(F.substring_index(x, "\n", 1)).isin(REFERENCE_HEADINGS), k)), lambda k: k.isNotNull())
+
+    def late(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast("int").alias("late"))
+        there = lambda acc: F.when((acc["at"] >= F.floor(F.length(text) * 0.35)) & F.array_contains(found, acc["k"]), acc["k"])
+        return F.aggregate(pieces, start, lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), (acc["k"] + 1).alias("k"), F.coalesce(acc["late"], there(acc)).alias("late")))["late"]
+
+    # offsets are needed only where there are several
+    return let(hits, lambda found: F.when(F.size(found) > 1, F.coalesce(late(found), F.try_element_at(found, F.lit(-1)))).otherwise(F.try_element_at(found, F.lit(1))))
+
+
+def _at_references(text: Column, use) -> Column:
+    """``use(pieces, k)`` of a text's pieces and the one that begins with the references' heading."""
+    return let(F.split(text, _MAY_BE_HEADING), lambda p: let(_reference_piece(text, p), lambda k: use(p, k)))
+
+
 def reference_start(text: Column) -> Column:
     """The offset of the references' heading: the first in the last 65 %, else the last; null if there is none."""
-    words = [w for w in REFERENCE_HEADINGS if not any(o != w and o in w for o in REFERENCE_HEADINGS)]
-    hits = _line_offsets(text, lambda x, at: _holds(x, words) & heading_key(x).isin(REFERENCE_HEADINGS))
-    return let(hits, lambda found: F.coalesce(F.try_element_at(F.filter(found, lambda h: h >= F.floor(F.length(text) * 0.35)), F.lit(1)), F.try_element_at(found, F.lit(-1))))
+    return _at_references(text, lambda p, k: F.when(k.isNotNull(), F.aggregate(F.slice(p, F.lit(1), k), F.lit(0), lambda at, x: at + F.length(x) + 1)))
 
 
 def layout_body_end(text: Column) -> Column:
@@ -60,25 +80,25 @@ def layout_body_end(text: Column) -> Column:
     return F.least(refs, acks)
 
 
-def _body(t: Column, at: Column) -> Column:
-    return F.when(at.isNull(), t).otherwise(F.substring(t, F.lit(1), at))
+def _body(t: Column, p: Column, k: Column) -> Column:
+    return F.when(k.isNull(), t).when(k == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(p, F.lit(1), k), "\n"), F.lit("\n")))
 
 
-def _references(t: Column, at: Column) -> Column:
+def _references(p: Column, k: Column) -> Column:
     ends = lambda rest: _line_offsets(rest, lambda x, pos: (pos > 200) & (heading_key(x).isin(AFTER_REFERENCES) | x.rlike(r"(?i)^\s*E-?mail address\s*:")))
     upto = lambda rest: let(F.try_element_at(ends(rest), F.lit(1)), lambda end: F.when(end.isNull(), rest).otherwise(F.substring(rest, F.lit(1), end)))
-    return F.when(at.isNull(), F.lit("")).otherwise(let(F.regexp_replace(F.substring(t, at + 1, F.length(t)), r"^[^\n]*\n?", ""), upto))
+    return F.when(k.isNull(), F.lit("")).otherwise(let(F.regexp_replace(F.array_join(F.slice(p, k + 1, F.size(p)), "\n"), r"^[^\n]*\n?", ""), upto))
 
 
 def split_references(text: Column) -> tuple[Column, Column]:
     """Body and references of a Markdown text without fenced code; the references end at a back-matter heading after 200 characters."""
-    part = lambda of: let(strip_fences(text), lambda t: let(reference_start(t), lambda at: of(t, at)))
-    return part(_body), part(_references)
+    part = lambda of: let(strip_fences(text), lambda t: _at_references(t, lambda p, k: of(t, p, k)))
+    return part(_body), part(lambda _, p, k: _references(p, k))
 
 
 def body_and_references(text: Column) -> Column:
     """The same as a struct ``body, refs``, for those that need both."""
-    return let(strip_fences(text), lambda t: let(reference_start(t), lambda at: F.struct(_body(t, at).alias("body"), _references(t, at).alias("refs"))))
+    return let(strip_fences(text), lambda t: _at_references(t, lambda p, k: F.struct(_body(t, p, k).alias("body"), _references(p, k).alias("refs"))))
 
 
 def blank_note_lines(text: Column) -> Column:

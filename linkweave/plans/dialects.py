@@ -6,6 +6,7 @@ extracted follows from the form, and the SQL says it. Files are written to the s
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -30,12 +31,13 @@ _GOLD = f"(select row_id::varchar as paper_id, row_id as i, {_PROSE} as w from p
 def _prose(spark: SparkSession, sf: str) -> DataFrame:
     """``paper_id, w``: the words of every target, ASCII letters only."""
     g = table(spark, sf, "pmc_footnote_gold").filter("target is not null")
-    return g.select(F.col("row_id").cast("string").alias("paper_id"), F.trim(F.regexp_replace(F.regexp_replace("target", "[^A-Za-z ]", " "), " +", " ")).alias("w"))
+    return g.select(F.col("row_id").cast("string").alias("paper_id"), F.trim(F.regexp_replace("target", "[^A-Za-z]+", " ")).alias("w"))
 
 
 def _filled(template: str) -> Column:
     """A template with ``{w}`` and ``{id}`` filled from the row."""
-    return F.replace(F.replace(F.lit(template), F.lit("{w}"), F.col("w")), F.lit("{id}"), F.col("paper_id"))
+    given = {"{w}": F.col("w"), "{id}": F.col("paper_id")}
+    return F.concat(*[given.get(x, F.lit(x)) for x in re.split(r"(\{w\}|\{id\})", template)])
 
 
 # --- TEI ---
